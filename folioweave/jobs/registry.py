@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from . import translation
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**translation.QUERIES}
+ORACLES: dict[str, str] = {**translation.ORACLES}
 FLAGSHIP = "batch_pack"
