@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 ROW = 64
-LEAST, MOST = 2_048, 65_536
+LEAST, MOST = 4_096, 65_536
 #: A cut where this many top bits of the gear hash are zero: 8 KB in the mean, after LEAST.
 CUT_BITS = 13
 LEVEL = 6
