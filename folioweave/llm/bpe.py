@@ -11,6 +11,9 @@ tokens: a window of k tokens of either side is merged anew, k doubling, until it
 sequence of tokens is the BPE encoding of its bytes if and only if each neighbouring pair is that of its own bytes, so this is exact as well.
 Where the piece around the seam is none that both sides share, all of it is encoded anew.
 
+Leaves and windows are encoded by ranks (tiktoken) where the file allows it: a byte-level vocabulary whose ids follow its merges, the
+usual pre-tokenizer, special tokens without options.  Both libraries were compared over every code point.  Other files go through tokenizers.
+
 Decoding maps ids to bytes and bytes to text (malformed UTF-8 becomes U+FFFD, as in the library).
 
 Defined cases: null and empty texts have no tokens; repeated rows are encoded row by row; an empty table gives no rows; other columns
@@ -37,6 +40,8 @@ LEAF = 16_384
 WINDOW, UNSPLIT = 64, 4_096
 #: Characters given to the encoder at once.
 SLICE = 1 << 18
+#: The pre-tokenizer's pattern, a fixed value of byte-level BPE files.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: A place before a blank and after a letter or digit of any script.
 SURE = re.compile(r"(?<=[^\W_])(?=[ \n])")
 
@@ -67,13 +72,37 @@ class Codec:
         self.letters = byte_alphabet()
         back = {c: b for b, c in enumerate(self.letters)}
         with open(path, encoding="utf-8") as f:
-            self.special = {t["id"]: t["content"] for t in json.load(f)["added_tokens"]}
+            file = json.load(f)
+        self.special = {t["id"]: t["content"] for t in file["added_tokens"]}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.bytes: list[bytes] = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
             self.bytes[i] = self.special[i].encode() if i in self.special else bytes(back[c] for c in token)
+        self.names = [str(i) for i in range(len(self.bytes))]
+        self.ranked = self.by_rank(file)
+        self.by_content = {c: i for i, c in self.special.items()}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.by_content, key=len, reverse=True))) + ")") if self.special else None
+
+    def by_rank(self, file: dict):
+        """An encoder by ranks, None if the file asks for more than ranks say."""
+        import tiktoken
+
+        model, split = file["model"], file["pre_tokenizer"] or {}
+        merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        ids = [model["vocab"][a + b] for a, b in merges]
+        plain_model = file["normalizer"] is None and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        plain_split = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+        plain_special = not any(t[k] for t in file["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized"))
+        ascending = ids == sorted(set(ids)) and len(ids) + 256 == len(self.bytes) - len(self.special)
+        if not (plain_model and plain_split and plain_special and ascending):
+            return None
+        ranks = {b: i for i, b in enumerate(self.bytes) if i not in self.special}
+        return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode_all(self, texts: list[str]) -> Iterator[list[int]]:
+        if self.ranked is not None:
+            yield from map(self.encode, texts)
+            return
         at = 0
         while at < len(texts):
             end, size = at, 0
@@ -84,7 +113,14 @@ class Codec:
             at = end
 
     def encode(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids if text else []
+        if self.ranked is None:
+            return self.tokenizer.encode(text, add_special_tokens=False).ids if text else []
+        if self.cut is None or self.cut.search(text) is None:
+            return self.ranked.encode_ordinary(text)
+        out: list[int] = []
+        for part in self.cut.split(text):
+            out += [self.by_content[part]] if part in self.by_content else self.ranked.encode_ordinary(part)
+        return out
 
     def merge(self, data: bytes) -> list[int]:
         """The tokens of bytes that the pre-tokenizer doesn't split."""
@@ -237,7 +273,7 @@ def encode_documents(docs: DataFrame, path: str, finish: Callable[[Codec, list[i
 
 
 def digest(own: Codec, ids: list[int]) -> tuple:
-    return len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(own.decode(ids).encode()).hexdigest()
+    return len(ids), hashlib.sha256(",".join(map(own.names.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(own.decode(ids).encode()).hexdigest()
 
 
 def scan(spark: SparkSession, sf_dir: str) -> DataFrame:
