@@ -44,10 +44,10 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, epoch
     else:
         named = [F.lit(x) for kv in weights.items() for x in kv]
         weight = F.coalesce(F.element_at(F.create_map(*named), F.col("source")), F.lit(0.0)) if named else F.lit(0.0)
-    sizes = sizes.withColumn("weight", weight)
-    totals = sizes.agg(F.sum("size").alias("all_size"), F.sum("weight").alias("all_weight"))  # one row
-    rate = F.when(F.col("size") == 0, F.lit(epochs)).otherwise(F.lit(epochs) * F.col("all_size") * F.col("weight") / (F.col("all_weight") * F.col("size")))
-    rates = sizes.join(F.broadcast(totals)).withColumn("rate", F.coalesce(rate, F.lit(0.0)))
+    sizes = written(sizes.withColumn("weight", weight), "sizes")
+    all_size, all_weight = sizes.agg(F.sum("size"), F.sum("weight")).first()  # two numbers
+    share = F.lit(epochs) * F.lit(all_size) * F.col("weight") / (F.lit(all_weight) * F.col("size")) if all_weight else F.lit(0.0)
+    rates = sizes.withColumn("rate", F.coalesce(F.when(F.col("size") == 0, F.lit(epochs)).otherwise(share), F.lit(0.0)))
     rates = rates.withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("rate") / RATE_STEP)).cast("int")).withColumn("mean", F.col("rate") / F.col("parts"))
     last = F.ceil(F.col("mean") + TAIL_SIGMAS * F.sqrt("mean") + TAIL).cast("int")
     first = F.exp(-F.col("mean"))
@@ -82,13 +82,13 @@ def mixed(docs: DataFrame, rates: DataFrame, seed: str = SEED) -> DataFrame:
 def scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op8: one row per copy."""
     docs = table(spark, sf_dir, "documents")
-    rates = written(source_rates(docs), "rates")
+    rates = source_rates(docs.select("source", "text"))
     return mixed(docs.select("doc_id", "source"), rates).select("doc_id", "source", "copies", "copy", "shuffle_key")
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
     """Pipeline stage: documents repeated by their counts, shuffled globally."""
-    rates = written(source_rates(docs.select("source", "text")), "rates")
+    rates = source_rates(docs.select("source", "text"))
     inner = docs.select("doc_id", "source", F.struct("*").alias("_row"))
     return mixed(inner, rates).select([F.col(f"_row.`{c}`") for c in docs.columns])
 

@@ -20,11 +20,11 @@ from pyspark.sql import functions as F
 
 from .common import SPAN, as_spans, joined, let, redacted, span, table, with_matches
 
-ASSIGN = (
+NAMED = (
     r"(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
-    r"[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]+"
+    r"[\"']?\x20*[:=]\x20*[\"']?"
 )
-VALUE = r"[A-Za-z0-9+/_.=-]+$"
+ASSIGN = NAMED + r"[A-Za-z0-9+/_.=-]+"
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{32,}"  # the maximal runs of [0-9a-f]+ that are long enough
 WINDOW = 20
@@ -108,7 +108,7 @@ def find_secrets(df: DataFrame, text_col: str = "text", allow: tuple[str, ...] =
     patterns = {"_assign": ASSIGN, "_access": ACCESS, "_hex": HEX} | {f"_{k}": f"{c}{{{WINDOW},}}" for k, (c, _, _) in CLASSES.items()}
     df = with_matches(df, text_col, patterns)
     base = F.concat(
-        as_spans(F.filter("_assign", lambda m: F.length(F.regexp_extract(m.value, VALUE, 0)) >= 8), 0, "assign"),
+        as_spans(F.filter("_assign", lambda m: F.length(F.regexp_replace(m.value, f"^{NAMED}", "")) >= 8), 0, "assign"),
         as_spans(F.filter("_access", lambda m: F.length(m.value) >= 16), 1, "access"),
         as_spans(F.col("_hex"), 2, "hex"),
     )
