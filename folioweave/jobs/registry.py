@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import translation
+from . import layout, translation
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**translation.QUERIES}
-ORACLES: dict[str, str] = {**translation.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**translation.QUERIES, **layout.QUERIES}
+ORACLES: dict[str, str] = {**translation.ORACLES, **layout.ORACLES}
 FLAGSHIP = "batch_pack"
