@@ -32,7 +32,7 @@ CUT = 0.7
 HELD_OUT = 2
 FEATURES = (
     "log_words", "mean_word", "upper_words", "symbols", "bangs", "digits", "distinct", "stops", "repeat_lines", "repeat_grams", "words_per_line",
-    "sentences", "symbol_runs", "pipes", "symbol_ends", "non_ascii", "under_10_words", "upper_any", "runs_any", "pipes_any",
+    "sentences", "symbol_runs", "pipes", "symbol_ends", "non_ascii", "upper_any", "runs_any", "pipes_any",
 )
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = re.compile(r"[#*$%&|<>{}\[\]\\^~_=]")
@@ -56,7 +56,7 @@ def features(text: str | None) -> list[float]:
         float(np.log1p(len(words))), sum(map(len, words)) / n / 10, upper, len(SYMBOLS.findall(text)) / size * 10, text.count("!") / n, len(DIGITS.findall(text)) / size * 10,
         len(set(lower)) / n, sum(len(w) <= 3 for w in words) / n, 1 - len(set(lines)) / max(1, len(lines)), 1 - len(set(grams)) / max(1, len(grams)),
         float(np.log1p(n / max(1, len(lines)))) / 5, len(ENDS.findall(text)) / n * 5, runs, pipes, sum(LETTER_END.search(w) is None for w in words) / n,
-        len(WIDE.findall(text)) / size, float(len(words) < 10), float(upper > 0.2), float(runs > 0.05), float(pipes > 0.05),
+        len(WIDE.findall(text)) / size, float(upper > 0.2), float(runs > 0.05), float(pipes > 0.05),
     ]
 
 

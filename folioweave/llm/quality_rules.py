@@ -123,8 +123,8 @@ def viterbi(field: Field, scores: list[float]) -> list[int]:
     return out[::-1]
 
 
-def fit(sequences: list[tuple[list[int], int]], rounds: int = ROUNDS) -> Field:
-    """Maximum likelihood by gradient ascent over (line bits, label of all lines), padded to one array."""
+def fit(sequences: list[tuple[list[int], int]], boilerplate: float, rounds: int = ROUNDS) -> Field:
+    """Maximum likelihood by gradient ascent over (line bits, label of all lines), padded to one array; boilerplate: the share of label 1."""
     k = len(FEATURES)
     longest, n = max(len(b) for b, _ in sequences), len(sequences)
     x = np.zeros((longest, n, k))
@@ -133,8 +133,8 @@ def fit(sequences: list[tuple[list[int], int]], rounds: int = ROUNDS) -> Field:
     for j, (bits, _) in enumerate(sequences):
         x[: len(bits), j] = (np.array(bits)[:, None] >> np.arange(k)) & 1
         live[: len(bits), j] = True
-    # Either kind of document counts half, however many there are, and its lines share its weight.
-    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) / live.sum(axis=0)
+    # Either kind of document counts by its share of all labelled ones, not of the sample; its lines share its weight.
+    weight = np.where(y == 1, boilerplate / max(1, (y == 1).sum()), (1 - boilerplate) / max(1, (y == 0).sum())) / live.sum(axis=0)
     w, t = np.zeros(k), np.zeros((2, 2))
     for _ in range(rounds):
         e = np.stack((np.zeros((longest, n)), x @ w), axis=-1)
@@ -176,7 +176,8 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Fiel
     lines = rows.mapInArrow(sample_lines, "order long, bits array<long>, quality int").where(F.size("bits") > 0)
     found = sorted((r.order, list(r.bits), 1 - r.quality) for r in lines.limit(2 * sample).collect())
     sequences = [(bits, label) for _, bits, label in found]
-    return fit(sequences) if len({label for _, label in sequences}) == 2 else DEFAULT
+    share = known.agg(F.avg(1 - F.col("quality"))).first()[0]
+    return fit(sequences, share) if len({label for _, label in sequences}) == 2 else DEFAULT
 
 
 COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, content_share double"
