@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ ITEM_END = ".,;:!?。，、；：！？）】》」』”’…"
 GLOSSARY_LENGTH = (2, 36)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once: an expression that is written several times is also evaluated several times."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^(?U)\s+|(?U)\s+$", "")
 
@@ -48,14 +55,24 @@ def fix_markers(c: Column) -> Column:
 
 def repair(source: Column, out: Column) -> Column:
     """out with the placeholders of source, the k-th becoming source's k-th; missing ones appended, surplus dropped; [[b]] balanced."""
-    wanted, found = F.regexp_extract_all(source, F.lit(f"({PLACEHOLDER})"), F.lit(1)), F.regexp_extract_all(out, F.lit(f"({PLACEHOLDER})"), F.lit(1))
-    n = F.size(found)
-    filled = F.array_join(F.transform(F.split(out, PLACEHOLDER, -1), lambda p, i: F.concat(p, F.when(i < n, F.coalesce(F.get(wanted, i), F.lit(""))).otherwise(""))), "")
-    missing = F.slice(wanted, n + 1, F.greatest(F.size(wanted) - n, F.lit(0)))
-    whole = F.when(wanted == found, out).when(F.size(wanted) > n, F.concat(rstrip(filled), F.lit(" "), F.array_join(missing, " "))).otherwise(filled)
-    opens, closes = (F.size(F.split(whole, F.lit(m), -1)) - 1 for m in (r"\[\[b\]\]", r"\[\[/b\]\]"))
-    balanced = F.concat(F.repeat(F.lit("[[b]]"), F.greatest(closes - opens, F.lit(0))), whole, F.repeat(F.lit("[[/b]]"), F.greatest(opens - closes, F.lit(0))))
-    return F.when(F.coalesce(F.length(source), F.lit(0)) == 0, out).otherwise(balanced)
+    placeholders = lambda c: F.regexp_extract_all(c, F.lit(f"({PLACEHOLDER})"), F.lit(1))
+
+    def renumbered(o: Column, wanted: Column, found: Column) -> Column:
+        n = F.size(found)
+        filled = F.array_join(F.transform(F.split(o, PLACEHOLDER, -1), lambda p, i: F.concat(p, F.when(i < n, F.coalesce(F.get(wanted, i), F.lit(""))).otherwise(""))), "")
+        missing = F.slice(wanted, n + 1, F.greatest(F.size(wanted) - n, F.lit(0)))
+        appended = lambda f: F.concat(rstrip(f), F.lit(" "), F.array_join(missing, " "))
+        return F.when(wanted == found, o).otherwise(let(filled, lambda f: F.when(F.size(wanted) > n, appended(f)).otherwise(f)))
+
+    def balanced(whole: Column) -> Column:
+        opens, closes = (F.size(F.split(whole, F.lit(m), -1)) - 1 for m in (r"\[\[b\]\]", r"\[\[/b\]\]"))
+        return F.concat(F.repeat(F.lit("[[b]]"), F.greatest(closes - opens, F.lit(0))), whole, F.repeat(F.lit("[[/b]]"), F.greatest(opens - closes, F.lit(0))))
+
+    def both(s: Column, o: Column) -> Column:
+        whole = let(placeholders(s), lambda w: let(placeholders(o), lambda f: renumbered(o, w, f)))
+        return F.when(F.coalesce(F.length(s), F.lit(0)) == 0, o).otherwise(let(whole, balanced))
+
+    return let(source, lambda s: let(out, lambda o: both(s, o)))
 
 
 def tidy(c: Column) -> Column:
@@ -70,17 +87,20 @@ def tidy(c: Column) -> Column:
             t = F.regexp_replace(t, r"（(?U)\s*（([^（）]*)）\s*）", "（$1）")
         return t
 
-    tokens = F.regexp_extract_all(c, F.lit(f"({TOKEN})"), F.lit(1))
-    s = F.array_join(F.transform(F.split(c, TOKEN, -1), lambda t, i: F.concat(chunk(t), F.coalesce(F.get(tokens, i), F.lit("")))), "")
-    s = F.regexp_replace(s, r"[ \t]{2,}", " ")
-    s = F.regexp_replace(s, r"(?U)\s+([，。；：、！？])", "$1")
-    s = F.regexp_replace(s, r"([（(])(?U)\s+", "$1")
-    return strip(F.regexp_replace(s, r"(?U)\s+([）)])", "$1"))
+    def whole(c: Column) -> Column:
+        tokens = F.regexp_extract_all(c, F.lit(f"({TOKEN})"), F.lit(1))
+        s = let(tokens, lambda found: F.array_join(F.transform(F.split(c, TOKEN, -1), lambda t, i: F.concat(chunk(t), F.coalesce(F.get(found, i), F.lit("")))), ""))
+        s = F.regexp_replace(s, r"[ \t]{2,}", " ")
+        s = F.regexp_replace(s, r"(?U)\s+([，。；：、！？])", "$1")
+        s = F.regexp_replace(s, r"([（(])(?U)\s+", "$1")
+        return strip(F.regexp_replace(s, r"(?U)\s+([）)])", "$1"))
+
+    return let(c, whole)
 
 
 def finalize(source: Column, out: Column) -> Column:
     """The finished unit: from the translation if there is one, else from the source."""
-    return F.when(out.isNull(), tidy(fix_markers(source))).otherwise(tidy(repair(fix_markers(source), fix_markers(out))))
+    return let(fix_markers(source), lambda s: tidy(F.when(out.isNull(), s).otherwise(repair(s, fix_markers(out)))))
 
 
 def strip_bullet(c: Column) -> Column:
