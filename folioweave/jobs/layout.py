@@ -13,6 +13,8 @@ from folioweave.sources import fixtures as S
 from folioweave.sources import layout_fixtures as G
 from folioweave.sources.tables import table
 
+from . import translation
+
 WITH = "WITH RECURSIVE " + G.SPANS_SQL
 NOW = "2024-01-31 00:00:00"
 
@@ -117,7 +119,17 @@ SCANS = f", {G.IMAGES_SQL}, {G.PAGE_TEXT_SQL}"
 STATS = S.PROBES_SQL + """, stats AS (SELECT model, count(*) AS n, count(sec) AS n_ok, sum(sec) AS sum_sec, min(ttft) AS ttft, bool_or(timed_out) AS timed_out, max(err) AS err, count(*) FILTER (sec IS NOT NULL AND zh >= greatest(1, items - 1)) AS zh_ok FROM probes GROUP BY model),
 judged AS (SELECT *, n_ok > 0 AND zh_ok >= (n + 1) // 2 AND NOT timed_out AS ok FROM stats)"""
 
+REPORT = (
+    "WITH RECURSIVE " + S.UNITS_SQL + f", {S.MEMORY_SQL}, {S.TRANSLATIONS_SQL}, given AS (SELECT doc_id, unit_no, value AS template FROM translations)" + translation.ITEMS_SQL.replace("FROM units", "FROM given")
+    + r""", states AS (SELECT u.doc_id, u.unit_no, t.key IS NOT NULL AS hit FROM units u LEFT JOIN tm t USING (key)),
+judged AS (SELECT source, doc_id, hit, role, regexp_matches(template, '[\x00-\x08\x0B\x0C\x0E-\x1F]') AS illegal, role = 'list' AND trim(regexp_replace(ltrim(template), '^[•·]', '')) = '' AS bare,
+  regexp_matches(regexp_replace(template, '\{\{[0-9]+\}\}|\[\[/?[bi]\]\]', '', 'g'), '\[\[|\]\]|\{\{|\}\}') AS leftover FROM items JOIN states USING (doc_id, unit_no) JOIN documents USING (doc_id))
+SELECT source, doc_id, count(*) AS n_units, count(*) FILTER (illegal) AS illegal_chars, count(*) FILTER (bare) AS empty_items, count(*) FILTER (leftover) AS leftover_marks, count(*) FILTER (hit) AS hits,
+  count(*) FILTER (role = 'list') AS list_items, grouping_id(source, doc_id) AS level FROM judged GROUP BY ROLLUP (source, doc_id)"""
+)
+
 ORACLES = {
+    "quality_report": REPORT,
     "body_font": f"{WITH} {FONT}", "body_size": f"{WITH} {SIZE}", "page_extent": f"{WITH} {EXTENT}",
     "doc_profile": f"{WITH}, f AS ({FONT}), z AS ({SIZE}), e AS ({EXTENT}), p AS (SELECT doc_id, max(page) + 1 AS n_pages FROM spans GROUP BY doc_id) SELECT * FROM p LEFT JOIN f USING (doc_id) LEFT JOIN z USING (doc_id) LEFT JOIN e USING (doc_id)",
     "scan_page": f"{WITH}{SCANS} SELECT * FROM scanned", "scan_ratio": f"{WITH}{SCANS} SELECT * FROM ratios", "route_docs": f"{WITH}{SCANS} SELECT doc_id, CASE WHEN ratio >= 0.6 THEN 'vision' ELSE 'layout' END AS route FROM ratios",
