@@ -102,3 +102,23 @@ def redacted(text: Column, spans: Column, mark: str) -> Column:
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s.start.alias("start"), s.end.alias("end"))))
     done = F.aggregate(ordered, first, step)
     return F.when(F.size(spans) > 0, let(done, lambda d: F.concat(d.out, text.substr(d["at"] + 1, F.length(text))))).otherwise(text)
+
+
+# ---- SQL of span lists: the same offsets, written with unnested matches and sums over windows ----
+
+
+def quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def matches_sql(patterns: dict[str, tuple[int, str]], source: str = "docs") -> str:
+    """SELECT rid, rank, kind, i, value, start, "end" of the leftmost non-overlapping matches of each kind's (rank, pattern)."""
+    each = " UNION ALL ".join(
+        f"SELECT rid, {rank} AS rank, '{kind}' AS kind, regexp_extract_all(text, {quoted(p)}) AS v, string_split_regex(text, {quoted(p)}) AS g FROM {source}" for kind, (rank, p) in patterns.items()
+    )
+    return f"""SELECT rid, rank, kind, i, value, stop - length(value) AS start, stop AS "end" FROM (
+  SELECT *, (sum(length(gap) + length(value)) OVER (PARTITION BY rid, rank ORDER BY i))::BIGINT AS stop FROM (SELECT rid, rank, kind, i, v[i] AS value, g[i] AS gap FROM ({each}), unnest(range(1, len(v) + 1)) AS u(i)))"""
+
+
+def joined_sql(where: str, order: str) -> str:
+    return f"""coalesce(string_agg(kind || ':' || start || ':' || "end", ',' ORDER BY {order}) FILTER ({where}), '')"""

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_spans, joined, let, redacted, table, with_matches
+from .common import as_spans, joined, joined_sql, let, matches_sql, quoted, redacted, table, with_matches
 from .secrets import count
 
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -121,3 +121,48 @@ def mask_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
     found = find_pii(docs.select(F.struct("*").alias("row"), F.col(text_col).alias("body")), "body")
     masked = found.select("row", redacted(F.col("body"), F.concat("base", "added"), "[PII]").alias("body"))
     return masked.select(*[F.col("body").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns])
+
+
+def fenced_sql(kind: str, rank: int, core: str, inside: str) -> str:
+    """Matches of core with no character of the class `inside` on either side.
+
+    This SQL's patterns can't look around, so each other character is written twice: one may end a match and the other begin the next.
+    """
+    pattern = f"(?:^|[^{inside}])(?:{core})(?:$|[^{inside}])"
+    other = lambda c: f"length(regexp_replace({c}, '[{inside}]', '', 'g'))"
+    real = lambda c: f"(length({c}) - {other(c)} // 2)"
+    return f"""SELECT rid, {rank} AS rank, '{kind}' AS kind, value, start, start + length(value) AS "end" FROM (
+  SELECT rid, replace(core, '  ', ' ') AS value, ({real("substr(twice, 1, cut)")})::BIGINT AS start FROM (
+    SELECT m.rid, twice, regexp_replace(value, '^[^{inside}]|[^{inside}]$', '', 'g') AS core, start + (NOT regexp_matches(value, '^[{inside}]'))::INT AS cut
+    FROM ({matches_sql({kind: (rank, pattern)}, f"(SELECT rid, regexp_replace(text, '([^{inside}])', chr(92) || '1' || chr(92) || '1', 'g') AS text FROM docs)")}) m
+    JOIN (SELECT rid, regexp_replace(text, '([^{inside}])', chr(92) || '1' || chr(92) || '1', 'g') AS twice FROM docs) t ON t.rid = m.rid))"""
+
+
+def oracle() -> str:
+    """SQL for scan(), with the contract's patterns as they stand."""
+    plain = {
+        "email": (0, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"), "ip": (1, r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+"), "card": (2, r"[0-9](?:[\x20-]?[0-9])+"), "phone": (3, PHONE),
+    }
+    fits = "list_bool_and(list_transform(string_split(value, '.'), lambda p: coalesce(TRY_CAST(nullif(regexp_replace(p, '^0+', ''), '') AS HUGEINT) <= 255, regexp_full_match(p, '0+'))))"
+    doubled = "list_transform(range(1, length(d) + 1), lambda k: substr(reverse(d), k, 1)::INT * (CASE WHEN k % 2 = 0 THEN 2 ELSE 1 END))"
+    luhn = f"list_sum(list_transform({doubled}, lambda n: CASE WHEN n > 9 THEN n - 9 ELSE n END)) % 10 = 0"
+    values = "list_transform(string_split(substr(c, 5) || substr(c, 1, 4), ''), lambda x: instr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', x)::INT - 1)"
+    mod97 = f"list_reduce({values}, lambda a, n: ((a * (CASE WHEN n > 9 THEN 100 ELSE 10 END) + n) % 97)::INT) = 1"
+    prior = " ".join(f"WHEN '{k}' THEN {PRIOR[k]}::DOUBLE" for k in ("iban", "short_card", "ssn"))
+    near = " ".join(f"WHEN '{k}' THEN regexp_matches(before, {quoted(NEAR[k])})" for k in ("iban", "short_card", "ssn"))
+    return f"""WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+found AS (SELECT *, regexp_replace(value, '[^0-9]', '', 'g') AS d FROM ({matches_sql(plain)})),
+numbers AS (SELECT * FROM found WHERE kind = 'card' AND length(d) BETWEEN 13 AND 19 AND {luhn}),
+base AS (SELECT rid, rank, kind, start, "end" FROM found WHERE kind = 'email' OR (kind = 'ip' AND {fits}) OR (kind = 'phone' AND length(d) BETWEEN 8 AND 15)
+  UNION ALL SELECT rid, rank, kind, start, "end" FROM numbers WHERE length(d) >= 16),
+ibans AS (SELECT *, replace(value, ' ', '') AS c FROM ({fenced_sql("iban", 4, r"[A-Z]{2}[0-9]{2}(?:(?:\x20\x20)?[A-Z0-9]){11,30}", "A-Za-z0-9")})),
+proposed AS (SELECT rid, rank, kind, start, "end" FROM ibans WHERE {mod97} UNION ALL SELECT rid, 5, 'short_card', start, "end" FROM numbers WHERE length(d) < 16
+  UNION ALL SELECT rid, rank, kind, start, "end" FROM ({fenced_sql("ssn", 6, "[0-9]{3}-[0-9]{2}-[0-9]{4}", "0-9-")})),
+seen AS (SELECT p.*, lower(substr(text, greatest(start - {CONTEXT}, 0) + 1, least(start, {CONTEXT}))) AS before FROM proposed p JOIN docs USING (rid)),
+scored AS (SELECT *, CASE kind {prior} END + CASE WHEN CASE kind {near} END THEN {BOOST}::DOUBLE ELSE 0 END - CASE WHEN regexp_matches(before, {quoted(AGAINST)}) THEN {BOOST}::DOUBLE ELSE 0 END AS score FROM seen),
+spans AS (SELECT * FROM base UNION ALL SELECT rid, rank, kind, start, "end" FROM scored WHERE score >= {THRESHOLD})
+SELECT any_value(doc_id) AS doc_id, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in ("email", "ip", "card", "phone", "iban"))},
+  sha256({joined_sql("rank < 4", 'rank, start, "end"')}) AS base_sha256, {joined_sql("rank IS NOT NULL", 'rank, start, "end"')} AS spans FROM docs LEFT JOIN spans USING (rid) GROUP BY rid"""
+
+
+ORACLE = oracle()

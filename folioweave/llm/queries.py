@@ -21,4 +21,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_media_columns": media.scan,
 }
 
-ORACLES: dict[str, str] = {"op4_chat_formatting": tool_calls.ORACLE, "op6_warc": warc.ORACLE, "op8_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {
+    "op1_secret_scans": secrets.ORACLE, "op9_pii": pii.ORACLE, "op4_chat_formatting": tool_calls.ORACLE, "op6_warc": warc.ORACLE, "op8_mixing": mixing.ORACLE,
+}

@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPAN, as_spans, joined, let, redacted, span, table, with_matches
+from .common import SPAN, as_spans, joined, joined_sql, let, matches_sql, quoted, redacted, span, table, with_matches
 
 NAMED = (
     r"(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
@@ -145,3 +145,25 @@ def redact_documents(docs: DataFrame) -> DataFrame:
     found = found.select("row", text.alias("body"))
     new = {"text": F.col("body"), "n_chars": F.length("body").cast("long")}
     return found.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in columns])
+
+
+def oracle() -> str:
+    """SQL for scan(): every window's characters are counted anew, and hot windows merge as islands."""
+    named = {"assign": (0, ASSIGN), "access": (1, ACCESS), "hex": (2, "[0-9a-f]+")}
+    classes = {k: (rank, f"{c}{{{WINDOW},}}") for rank, (k, (c, _, _)) in enumerate(CLASSES.items(), 3)}
+    limits = " ".join(f"WHEN '{k}' THEN {sum_limit(WINDOW, bits)}" for k, (_, _, bits) in CLASSES.items())
+    listed = quoted("|".join(f"(?:{x})" for x in ALLOW))
+    return f"""WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+base AS (SELECT * FROM ({matches_sql(named)}) WHERE CASE kind WHEN 'assign' THEN length(regexp_replace(value, {quoted("^" + NAMED)}, '')) >= 8 WHEN 'access' THEN length(value) >= 16 ELSE length(value) >= 32 END),
+runs AS (SELECT * FROM ({matches_sql(classes)}) WHERE NOT regexp_full_match(value, {listed})),
+windows AS (SELECT rid, rank, kind, i, start + w AS b, list_sum(list_transform(map_values(list_histogram(string_split(substr(value, w + 1, {WINDOW}), ''))), lambda n: {sum_table(WINDOW)}[n::BIGINT + 1])) AS s
+  FROM runs, unnest(range(0, length(value) - {WINDOW - 1})) AS u(w)),
+hot AS (SELECT *, coalesce(b > lag(b) OVER (PARTITION BY rid, rank, i ORDER BY b) + {WINDOW}, true) AS fresh FROM windows WHERE s <= CASE kind {limits} END),
+islands AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY rid, rank, i ORDER BY b) AS island FROM hot),
+added AS (SELECT rid, rank, kind, min(b) AS start, max(b) + {WINDOW} AS "end" FROM islands GROUP BY rid, rank, kind, i, island),
+spans AS (SELECT rid, rank, kind, start, "end" FROM base UNION ALL SELECT * FROM added a WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = a.rid AND b.start <= a.start AND b."end" >= a."end"))
+SELECT any_value(doc_id) AS doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  sha256({joined_sql("rank < 3", 'start, rank, "end"')}) AS base_sha256, {joined_sql("rank IS NOT NULL", 'start, rank, "end"')} AS spans FROM docs LEFT JOIN spans USING (rid) GROUP BY rid"""
+
+
+ORACLE = oracle()

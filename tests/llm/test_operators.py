@@ -8,6 +8,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -90,6 +91,26 @@ def test_secrets(spark, tricky):
     assert "entropy_b64" in by_text[texts()[14]].spans and "entropy" not in by_text[texts()[15]].spans
 
 
+@pytest.mark.parametrize("name", ["op1_secret_scans", "op9_pii"])
+def test_spans_equal_their_sql(spark, tricky, name):
+    for folder in (SF, tricky):
+        documents = spark.read.parquet(f"{folder}/documents.parquet").toPandas()
+        con = duckdb.connect()
+        con.register("documents", documents)
+        assert difference(queries.QUERIES[name](spark, folder), con, queries.ORACLES[name]) == ""
+
+
+def test_sql_fences_meet_at_one_character(spark, tmp_path):
+    ibans = ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00"]
+    lines = ["iban " + " ".join(ibans), "iban é" + ",".join(ibans) + "x", "ssn 078-05-1120 078-05-1120,078-05-1120-", "ssn 078-05-1120", "x" + ibans[0] + " iban " + ibans[1]]
+    spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    df = queries.QUERIES["op9_pii"](spark, str(tmp_path))
+    assert difference(df, con, queries.ORACLES["op9_pii"]) == ""
+    assert df.where("doc_id = 3").first().spans == "ssn:4:15"
+
+
 def test_entropy_windows_equal_brute_force(spark):
     kinds = secrets.CLASSES["entropy_b64"]
     r = random.Random(4)
