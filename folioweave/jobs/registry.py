@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import layout, markdown, translation
+from . import layout, markdown, render, translation
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**translation.QUERIES, **layout.QUERIES, **markdown.QUERIES}
-ORACLES: dict[str, str] = {**translation.ORACLES, **layout.ORACLES, **markdown.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**translation.QUERIES, **layout.QUERIES, **markdown.QUERIES, **render.QUERIES}
+ORACLES: dict[str, str] = {**translation.ORACLES, **layout.ORACLES, **markdown.ORACLES, **render.ORACLES}
 FLAGSHIP = "batch_pack"
