@@ -62,6 +62,18 @@ lines AS (SELECT doc_id, page, line_id, min(x0) AS x0, min(y0) AS y0, max(x1) AS
 )
 
 
+def banded_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Body spans, some of them moved to low lines of their own just above the line they stand in."""
+    moved = (F.col("ln") + F.col("wp")) % 17 == 0
+    y0 = F.lit(128.0) + 10 * (F.col("line_id") - 1)
+    b = body_spans(spark, sf_dir).withColumn("y1", F.when(moved, y0 + 8).otherwise(F.col("y1"))).withColumn("y0", F.when(moved, y0).otherwise(F.col("y0")))
+    return b.withColumn("line_id", F.when(moved, F.col("line_id") + 1).otherwise(F.col("line_id"))).drop("ln", "wp")
+
+
+BANDED_SQL = """banded AS (SELECT doc_id, page, line_id + ((ln + wp) % 17 = 0)::INT AS line_id, line_id AS r, span_no, text, x0, CASE WHEN (ln + wp) % 17 = 0 THEN 128.0::DOUBLE + 10 * (line_id - 1) ELSE y0 END AS y0, x1,
+  CASE WHEN (ln + wp) % 17 = 0 THEN 136.0::DOUBLE + 10 * (line_id - 1) ELSE y1 END AS y1 FROM body)"""
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return body_spans(spark, sf_dir).select("doc_id", "page").distinct()
 
