@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import layout, markdown, render, structure, translation
+from . import blocks, layout, markdown, render, structure, translation
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**translation.QUERIES, **layout.QUERIES, **markdown.QUERIES, **render.QUERIES, **structure.QUERIES}
-ORACLES: dict[str, str] = {**translation.ORACLES, **layout.ORACLES, **markdown.ORACLES, **render.ORACLES, **structure.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**translation.QUERIES, **layout.QUERIES, **markdown.QUERIES, **render.QUERIES, **structure.QUERIES, **blocks.QUERIES}
+ORACLES: dict[str, str] = {**translation.ORACLES, **layout.ORACLES, **markdown.ORACLES, **render.ORACLES, **structure.ORACLES, **blocks.ORACLES}
 FLAGSHIP = "batch_pack"
