@@ -53,3 +53,8 @@ def quality_report(final: DataFrame) -> DataFrame:
 def language_share(rows: DataFrame) -> DataFrame:
     """(doc_id, n, n_chinese) of rows(doc_id, value)."""
     return rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.col("value").rlike(r"[\x{4e00}-\x{9fff}]")).alias("n_chinese"))
+
+
+def write_ranking(ranking: DataFrame, path: str, at: str) -> None:
+    """Appends a ranking, with the time it was made, as one version among those at path; readers take the latest `made_at`."""
+    ranking.withColumn("made_at", F.lit(at).cast("timestamp")).write.mode("append").parquet(path)

@@ -89,3 +89,13 @@ def test_kinds_of_lines(spark):
     rows = {r.line_id: r for r in T.line_kinds(df).collect()}
     assert {k: (r.has_math, r.pure, r.bullet) for k, r in rows.items()} == {1: (True, True, False), 2: (True, True, True), 3: (True, False, False), 4: (False, False, True), 5: (False, False, True), 6: (True, True, False)}
     assert (rows[1].math_x0, rows[1].math_x1) == (50.0, 55.0) and rows[4].math_x0 is None
+
+
+def test_crop_masks(spark):
+    spans = [(1, 5, "x", 0.0, 10.0), (1, None, "a", 10.5, 20.0), (1, None, "é", 2.0, 8.0), (1, 6, "y", 40.0, 50.0)]
+    heights = [(100.0, 110.0), (100.0, 110.0), (114.0, 124.0), (100.0, 110.0)]
+    df = spark.createDataFrame([(1, 0, crop, t, 10.0, x0, y0, x1, y1) for (_, crop, t, x0, x1), (y0, y1) in zip(spans, heights, strict=True)], "doc_id long, page int, crop int, text string, size double, x0 double, y0 double, x1 double, y1 double")
+    rules = spark.createDataFrame([(1, 0, 2.0, 111.0, 8.0, 111.2), (1, 0, -9.0, 105.0, 30.0, 105.1), (1, 0, 0.0, 90.0, 60.0, 120.0)], "doc_id long, page int, x0 double, y0 double, x1 double, y1 double")
+    found = sorted((r.crop, r.kind, r.x0, r.y0, r.x1, r.y1) for r in T.crop_masks(df, rules).collect())
+    assert [f[:2] for f in found] == [(5, "rule"), (5, "span"), (5, "span")]
+    assert found[1][2:] == (2.0, 108.0, 8.0, 111.2) and found[2][2:] == (10.5, 100.0, 11.2, 110.0)
