@@ -153,10 +153,11 @@ def linked(homes: np.ndarray, members: np.ndarray, threshold: int = THRESHOLD) -
     at_home, at_member = where[: len(homes)], where[len(homes) :]
     label = np.arange(len(nodes))
     theirs = members.view(np.uint64)
+    itself = np.isin(homes, members)  # not so in most blocks of an anchor that is cut
     step = max(1, 2_000_000 // max(1, len(members)))
     for a in range(0, len(homes), step):
         near = np.bitwise_count(homes[a : a + step].view(np.uint64)[:, None] ^ theirs[None, :]) <= threshold
-        for i in np.flatnonzero(near.sum(axis=1) > 1):  # the home is a member, too
+        for i in np.flatnonzero(near.sum(axis=1) > itself[a : a + step]):
             met = np.unique(label[np.append(at_member[near[i]], at_home[a + i])])
             if len(met) > 1:
                 label[np.isin(label, met)] = met[0]
@@ -174,7 +175,7 @@ def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bounds = np.concatenate(([0], change, [len(rows)]))
         found: list[tuple[np.ndarray, np.ndarray]] = []
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            if b - a > 2 and home[a:b].any():
+            if home[a:b].any() and not home[a:b].all() and (b - a > 2 or fp[a] != fp[a + 1]):
                 x, y = linked(fp[a:b][home[a:b]], fp[a:b][~home[a:b]])
                 if len(x):
                     found.append((x, y))
