@@ -1,7 +1,7 @@
 """Chat formatting: tool calls linked to their results, ordered, validated, written as canonical JSON.  DataFrame functions only.
 
-Calls and results meet by a hash join on the call's identifier, after repeats of an identifier have been reduced map-side to the
-least (turn, ...) one.  A conversation's calls are put in topological order: again and again the earliest call whose
+Calls and results meet by a hash join on conversation and identifier, after repeats of an identifier in a conversation have been reduced
+map-side to the least (turn, ...) one.  A conversation's calls are put in topological order: again and again the earliest call whose
 dependencies (those the conversation holds) are done; in a cycle the earliest pending call goes first and is marked.
 Arguments are parsed as variants and checked against the tool's schema: required parameters, types, ranges, enumerations, unknown names.
 Canonical JSON has keys in byte order, no blanks, and numbers as the variant prints them.
@@ -9,7 +9,7 @@ Canonical JSON has keys in byte order, no blanks, and numbers as the variant pri
 A conversation is one record of the output, so its own calls, and only these, are gathered in a row.
 
 Defined cases: null texts are empty; a null conv_id is the conversation `null`; arguments that aren't a JSON object (or repeat a key) give the
-error `json` and are kept as a string; an unknown tool gives `tool`; a missing result is null; results without a call are counted as orphans;
+error `json` and are kept as a string; an unknown tool gives `tool`; a call without an identifier stays, with the error `id`, and has no result; a missing result is null; results without a call are counted as orphans;
 a conversation without calls has an empty list; empty tables give no rows; other columns are not carried.
 """
 
@@ -59,8 +59,12 @@ def ordered(calls: Column, kind: str) -> Column:
     """Topological order of an array of structs of type `kind` with fields id, depends and cyclic, which come by turn."""
     nothing = F.expr(f"cast(array() as array<{kind}>)")
 
+    def without(left: Column, p: Column) -> Column:
+        """left but for the call at place p (from 1); an identifier may be missing."""
+        return F.concat(F.slice(left, F.lit(1), p - 1), F.slice(left, p + 1, F.size(left)))
+
     def by_steps(all_calls: Column) -> Column:
-        ids = F.transform(all_calls, lambda c: c["id"])
+        ids = F.array_compact(F.transform(all_calls, lambda c: c["id"]))
         first = F.struct(F.expr("cast(array() as array<string>)").alias("done"), nothing.alias("out"), all_calls.alias("left"))
 
         def step(acc: Column, _: Column) -> Column:
@@ -69,7 +73,8 @@ def ordered(calls: Column, kind: str) -> Column:
             def take(r: Column) -> Column:
                 stuck = F.size(r) == 0
                 one = F.when(stuck, acc.left[0].withField("cyclic", F.lit(True))).otherwise(F.get(r, F.lit(0)))
-                return let(one, lambda c: F.struct(F.concat(acc.done, F.array(c["id"])).alias("done"), F.concat(acc.out, F.array(c)).alias("out"), F.filter(acc.left, lambda x: x["id"] != c["id"]).alias("left")))
+                place = F.when(stuck, F.lit(1)).otherwise(F.array_position(acc.left, F.get(r, F.lit(0))).cast("int"))
+                return let(one, lambda c: F.struct(F.concat(acc.done, F.array(c["id"])).alias("done"), F.concat(acc.out, F.array(c)).alias("out"), without(acc.left, place).alias("left")))
 
             return let(ready, take)
 
@@ -80,14 +85,19 @@ def ordered(calls: Column, kind: str) -> Column:
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, tuple]] = SCHEMAS) -> DataFrame:
     """One row per call of calls(conv_id, turn, call_id, name, arguments, depends), with the result of results(conv_id, turn, call_id, content); orphans have is_call false."""
-    call = calls.groupBy("call_id").agg(F.min(F.struct("turn", "conv_id", "name", "arguments", "depends")).alias("c"), F.lit(True).alias("is_call"))
-    result = results.groupBy("call_id").agg(F.min(F.struct("turn", "conv_id", "content")).alias("r"))
-    both = call.join(result, "call_id", "full").withColumn("args", F.try_parse_json("c.arguments"))
+    conv = F.coalesce(F.col("conv_id").cast("string"), F.lit("null")).alias("conv_id")
+    call_row, result_row = F.struct("turn", "name", "arguments", "depends"), F.struct("turn", "content")
+    calls, results = calls.select(conv, "call_id", call_row.alias("c")), results.select(conv, "call_id", result_row.alias("r"))
+    call = calls.where("call_id is not null").groupBy("conv_id", "call_id").agg(F.min("c").alias("c"), F.lit(True).alias("is_call"))
+    result = results.where("call_id is not null").groupBy("conv_id", "call_id").agg(F.min("r").alias("r"))
+    both = call.join(result, ["conv_id", "call_id"], "full")
+    both = both.unionByName(calls.where("call_id is null").withColumn("is_call", F.lit(True)), allowMissingColumns=True)
+    both = both.unionByName(results.where("call_id is null"), allowMissingColumns=True).withColumn("args", F.try_parse_json("c.arguments"))
     checked = errors(F.col("c.name"), F.col("args"), schemas)
     kept = F.when(F.array_contains("errors", "json"), F.to_json(F.struct(F.col("c.arguments").alias("v")), JSON)).otherwise(F.to_json(F.struct(F.col("args").alias("v")), JSON))
-    both = both.withColumn("errors", checked)
+    both = both.withColumn("errors", F.when(F.col("call_id").isNull(), F.concat(F.array(F.lit("id")), checked)).otherwise(checked))
     return both.select(
-        F.coalesce("c.conv_id", "r.conv_id").alias("conv_id"), F.coalesce("is_call", F.lit(False)).alias("is_call"),
+        "conv_id", F.coalesce("is_call", F.lit(False)).alias("is_call"),
         F.struct(
             F.col("c.turn").alias("turn"), F.col("call_id").alias("id"), F.coalesce("c.depends", F.expr("cast(array() as array<string>)")).alias("depends"), F.lit(False).alias("cyclic"),
             F.col("c.name").alias("name"), kept.substr(F.lit(6), F.length(kept) - 6).alias("arguments"), F.col("errors").alias("errors"), F.col("r.content").alias("result"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from folioweave.llm import simhash
+from folioweave.llm import simhash, tool_calls
 
 
 def test_isolated_pairs_at_one_cut_anchor_stay_linked(spark, monkeypatch):
@@ -18,3 +18,15 @@ def test_isolated_pairs_at_one_cut_anchor_stay_linked(spark, monkeypatch):
     fps = spark.createDataFrame([(x,) for p in pairs for x in p], "fp long")
     found = {tuple(sorted((r.a, r.b))) for r in simhash.fingerprint_links(fps).collect()}
     assert found == {tuple(sorted(p)) for p in pairs}
+
+
+def test_calls_of_other_conversations_and_calls_without_an_identifier_stay(spark):
+    calls = [(c, 1, "call_1", "search", '{"query":"q"}', []) for c in ("a", "b")] + [("a", t, None, "search", '{"query":"q"}', [None]) for t in (2, 2, 3)]
+    results = [("a", 2, "call_1", "of a"), ("b", 2, "call_1", "of b"), ("b", 3, None, "lost"), ("b", 3, None, "lost")]
+    linked = tool_calls.link(
+        spark.createDataFrame(calls, "conv_id string, turn long, call_id string, name string, arguments string, depends array<string>"),
+        spark.createDataFrame(results, "conv_id string, turn long, call_id string, content string"),
+    )
+    rows = {r.conv_id: r for r in tool_calls.conversations_json(linked).collect()}
+    assert [(r.n_calls, r.n_linked, r.n_orphans, r.n_invalid, r.cyclic, r.call_order) for r in (rows["a"], rows["b"])] == [(4, 1, 0, 3, False, "1,2,2,3"), (1, 1, 2, 0, False, "1")]
+    assert '"result":"of a"' in rows["a"].record and rows["a"].record.count('"errors":["id"],"id":null') == 3 and '"result":"of b"' in rows["b"].record
