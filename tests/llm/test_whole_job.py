@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 
-from folioweave.llm import simhash, tool_calls
+from folioweave.llm import media, queries, simhash, tool_calls
 
 
 def test_isolated_pairs_at_one_cut_anchor_stay_linked(spark, monkeypatch):
@@ -30,3 +32,17 @@ def test_calls_of_other_conversations_and_calls_without_an_identifier_stay(spark
     rows = {r.conv_id: r for r in tool_calls.conversations_json(linked).collect()}
     assert [(r.n_calls, r.n_linked, r.n_orphans, r.n_invalid, r.cyclic, r.call_order) for r in (rows["a"], rows["b"])] == [(4, 1, 0, 3, False, "1,2,2,3"), (1, 1, 2, 0, False, "1")]
     assert '"result":"of a"' in rows["a"].record and rows["a"].record.count('"errors":["id"],"id":null') == 3 and '"result":"of b"' in rows["b"].record
+
+
+def test_short_media_share_the_chunks_of_a_common_passage(spark, tmp_path):
+    rng = random.Random(6)
+    words = lambda n: " ".join("".join(rng.choices("etaoinshrdlu", k=5)) for _ in range(n))
+    passage = words(500)
+    docs = spark.createDataFrame([(i, f"{words(20)} {passage}") for i in range(3)], "doc_id long, text string")
+    lists = [set(map(bytes, r.chunks)) for r in media.recipes(docs).collect()]
+    common = lists[0] & lists[1] & lists[2]
+    assert common and min(map(len, lists)) > 1
+    assert media.chunk_store(docs).count() == len(set.union(*lists)) < sum(map(len, lists))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = queries.QUERIES["op10_media_columns"](spark, str(tmp_path)).collect()
+    assert len(rows) == 3 and all(int(r.feature.split(":")[-1]) > 1 for r in rows)
