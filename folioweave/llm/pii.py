@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_spans, joined, joined_sql, let, matches_sql, quoted, redacted, table, with_matches
+from .common import as_spans, joined, joined_sql, let, matches_sql, quoted, redacted, span, table, with_matches
 from .secrets import count
 
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -24,6 +24,18 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 DIGITS = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])"
+#: All capitals and digits, in groups, from a possible IBAN on: it may hold several, and other words.
+IBAN_RUN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]*+(?![a-z])(?:\x20[A-Z0-9]++(?![a-z]))*+"
+#: Registered lengths by country.
+IBAN_LENGTHS = {
+    c: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FK FO FI GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+        24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+        31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for c in countries.split()
+}
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 CONTEXT, BOOST, THRESHOLD = 40, 0.4, 0.5
 PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.7, "short_card": 0.3, "ssn": 0.3}
@@ -38,6 +50,9 @@ NEAR = {
 }
 AGAINST = r"version|isbn|order|invoice|serial|example"
 
+#: The same words, whole ones only, and not `in order`.
+AGAINST_WORDS = r"\b(?:version|isbn|(?<!\bin )order|invoice|serial|example)s?\b"
+
 
 def digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
@@ -116,10 +131,46 @@ def scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def ibans_in_runs(text: Column, runs: Column) -> Column:
+    """Spans of the IBANs that begin and end at groups of the runs; from each beginning the longest of the country's length that passes mod-97."""
+    lengths = F.create_map(*[F.lit(x) for kv in IBAN_LENGTHS.items() for x in kv])
+
+    def from_group(m: Column, groups: Column, i: Column) -> Column:
+        def fits(k: Column) -> Column:
+            code = F.array_join(F.slice(groups, i, k), "")
+            n = F.length(code)
+            right = n == F.coalesce(F.element_at(lengths, code.substr(F.lit(1), F.lit(2))), n)
+            return F.when(n.between(15, 34) & right, mod97(code)).otherwise(F.lit(False))
+
+        most = F.array_max(F.filter(F.sequence(F.lit(1), F.least(F.lit(31), F.size(groups) - i + 1)), fits))
+        before = F.when(i == 1, 0).otherwise(F.length(F.array_join(F.slice(groups, F.lit(1), i - 1), " ")) + 1)
+
+        def spanned(k: Column) -> Column:
+            value = F.array_join(F.slice(groups, i, k), " ")
+            return F.when(k.isNotNull(), span(m.start + before, m.start + before + F.length(value), 4, "iban", value))
+
+        return let(most, spanned)
+
+    def in_run(m: Column) -> Column:
+        def in_groups(groups: Column) -> Column:
+            begins = F.filter(F.sequence(F.lit(1), F.size(groups)), lambda i: F.element_at(groups, i).rlike("^[A-Z]{2}[0-9]{2}"))
+            return F.array_compact(F.transform(begins, lambda i: from_group(m, groups, i)))
+
+        return let(F.split(m.value, " "), in_groups)
+
+    def stands(s: Column) -> Column:
+        before = F.lower(text.substr(F.greatest(s.start - CONTEXT, F.lit(0)) + 1, F.least(s.start, F.lit(CONTEXT))))
+        return before.rlike(NEAR["iban"]) | ~before.rlike(AGAINST_WORDS)
+
+    return F.filter(F.flatten(F.transform(runs, in_run)), stands)
+
+
 def mask_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Every row stays; personal data in its text is replaced by [PII]."""
+    """Every row stays; personal data in its text is replaced by [PII], IBANs among other capitals and digits, too."""
     found = find_pii(docs.select(F.struct("*").alias("row"), F.col(text_col).alias("body")), "body")
-    masked = found.select("row", redacted(F.col("body"), F.concat("base", "added"), "[PII]").alias("body"))
+    found = with_matches(found, "body", {"_runs": IBAN_RUN})
+    bounds = [F.transform(s, lambda x: F.struct(x.start.alias("start"), x.end.alias("end"))) for s in (F.col("base"), F.col("added"), ibans_in_runs(F.col("body"), F.col("_runs")))]
+    masked = found.select("row", redacted(F.col("body"), F.concat(*bounds), "[PII]").alias("body"))
     return masked.select(*[F.col("body").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns])
 
 

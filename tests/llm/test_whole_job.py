@@ -6,7 +6,7 @@ import random
 
 import numpy as np
 
-from folioweave.llm import media, queries, simhash, tool_calls
+from folioweave.llm import media, pii, queries, simhash, tool_calls
 
 
 def test_isolated_pairs_at_one_cut_anchor_stay_linked(spark, monkeypatch):
@@ -46,3 +46,14 @@ def test_short_media_share_the_chunks_of_a_common_passage(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     rows = queries.QUERIES["op10_media_columns"](spark, str(tmp_path)).collect()
     assert len(rows) == 3 and all(int(r.feature.split(":")[-1]) > 1 for r in rows)
+
+
+def test_ibans_among_other_capitals_and_digits_are_masked(spark):
+    de, gb, no = "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "NO9386011117947"
+    cases = {
+        f"{de} 12 May": "[PII] 12 May", f"{de.replace(' ', '')} BIC COBADEFFXXX": "[PII] BIC COBADEFFXXX", f"{gb} A customer": "[PII] A customer",
+        f"{no} {gb} {de}": "[PII] [PII] [PII]", f"AB12 {gb} now": "AB12 [PII] now", f"at the border, in order to pay {gb}": "at the border, in order to pay [PII]",
+        "GB83WEST12345698765432 A customer": "GB83WEST12345698765432 A customer", f"x{gb}": f"x{gb}", f"{gb} " + "A1 " * 9_000: "[PII] " + "A1 " * 9_000,
+    }
+    rows = pii.mask_documents(spark.createDataFrame([(t,) for t in cases], "text string")).collect()
+    assert sorted(r.text for r in rows) == sorted(cases.values())
