@@ -3,7 +3,7 @@
 Base kinds (patterns, leftmost non-overlapping, failing matches dropped): assign, access, hex.
 Method kinds: entropy_hex and entropy_b64.  Maximal runs of a character class of at least WINDOW characters are
 candidates; a window of WINDOW characters slides over each, its character counts are kept by adding what enters and taking off
-what leaves, and with them the sum of c*log2(c), in millionths, so that every engine gets the same integers.  Windows whose
+what leaves (in constant work, see hot_windows), and with them the sum of c*log2(c), in millionths, so that every engine gets the same integers.  Windows whose
 entropy reaches the class's threshold are merged into spans.  A candidate on the allow-list, and a
 span that a base span covers already, is suppressed.
 
@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPAN, as_spans, joined, joined_sql, let, matches_sql, quoted, redacted, span, table, with_matches
+from .common import SPAN, as_spans, fold_out, joined, joined_sql, let, matches_sql, quoted, redacted, span, stepped, table, with_matches
 
 NAMED = (
     r"(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
@@ -36,7 +36,7 @@ CLASSES = {
 }
 #: Candidates that match one of these as a whole are no secrets: words, numbers, UUIDs, placeholders.
 ALLOW = (
-    r"[A-Za-z]+(?:[_/+-]+[A-Za-z]+)*[_/+-]*",
+    r"[A-Za-z][A-Za-z_/+-]*",
     r"[0-9_/+-]+",
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
     r"(?i).*(?:example|changeme|placeholder|xxxxxxxx|01234567|abcdefgh).*",
@@ -52,56 +52,80 @@ def sum_limit(window: int, bits: float) -> int:
     return math.floor(SCALE * window * (math.log2(window) - bits) + 1e-6)
 
 
-def hot_windows(value: Column, alphabet: str, window: int, bits: float) -> Column:
-    """Merged windows of value (relative offsets) whose entropy reaches bits: array<struct<start:int,end:int>>."""
-    pieces = F.expr("cast(array() as array<struct<start:int,end:int>>)")
-    codes = F.transform(F.sequence(F.lit(1), F.length(value)), lambda i: F.instr(F.lit(alphabet), value.substr(i, F.lit(1))) - 1)
+#: A character's count is a field of so many bits in one of several whole numbers; WINDOW is below 1 << BITS.
+BITS, PER_WORD = 5, 12
+
+
+def hot_windows(characters: Column, alphabet: str, window: int, bits: float) -> Column:
+    """Merged windows of an array of characters (offsets in it) whose entropy reaches bits: array<struct<start:int,end:int>>.
+
+    The counts of a window's characters are fields of a few whole numbers, so that a step adds what enters and takes off what leaves in constant work.
+    """
+    empty = F.expr("cast(array() as array<struct<start:int,end:int>>)")
+    codes = F.transform(characters, lambda c: F.instr(F.lit(alphabet), c) - 1)
     sums = F.array(*[F.lit(x).cast("bigint") for x in sum_table(window)])
-    limit = sum_limit(window, bits)
+    units = F.array(*[F.lit(1 << BITS * k).cast("bigint") for k in range(PER_WORD)])
+    limit, words = sum_limit(window, bits), -(-len(alphabet) // PER_WORD)
+    one = lambda begin, end: F.array(F.struct(begin.alias("start"), end.alias("end")))
 
-    def slide(a: Column, t: Column) -> Column:
+    def slide(a: Column, t: Column, u: Column) -> Column:
+        word = lambda code: F.floor(code / PER_WORD).cast("int")
+        counted = lambda n, code: F.call_function("shiftright", n[word(code)], code % PER_WORD * BITS).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
         first = F.struct(
-            F.array_repeat(F.lit(0), len(alphabet)).alias("n"), F.lit(0).cast("bigint").alias("s"),
-            F.lit(-1).alias("from"), F.lit(-1).alias("to"), pieces.alias("out"),
+            F.array_repeat(F.lit(0).cast("bigint"), words).alias("n"), F.lit(0).cast("bigint").alias("s"), F.lit(-1).alias("from"), F.lit(-1).alias("to"),
         )
 
         def step(acc: Column, i: Column) -> Column:
             enters, full = a[i], i >= window
             leaves = F.when(full, a[F.greatest(i - window, F.lit(0))]).otherwise(F.lit(-1))
-            was = F.when(full, acc.n[F.greatest(leaves, F.lit(0))]).otherwise(F.lit(1))
-            now = acc.n[enters] - F.when(leaves == enters, F.lit(1)).otherwise(F.lit(0))
-            s = acc.s - F.when(full, t[was] - t[was - 1]).otherwise(F.lit(0).cast("bigint")) + t[now + 1] - t[now]
-            n = F.transform(acc.n, lambda v, j: v + F.when(j == enters, 1).otherwise(0) - F.when(j == leaves, 1).otherwise(0))
+            return let(F.struct(enters.alias("enters"), leaves.alias("leaves")), lambda x: counts(acc, i, x.enters, x.leaves, full))
+
+        def counts(acc: Column, i: Column, enters: Column, leaves: Column, full: Column) -> Column:
+            out_word, out_unit = F.when(full, word(leaves)).otherwise(F.lit(-1)), u[F.greatest(leaves, F.lit(0)) % PER_WORD]
+            was = F.when(full, counted(acc.n, F.greatest(leaves, F.lit(0)))).otherwise(F.lit(1))
+            now = counted(acc.n, enters) - F.when(leaves == enters, F.lit(1)).otherwise(F.lit(0))
+            s = acc.s - F.when(full, let(was, lambda c: t[c] - t[c - 1])).otherwise(F.lit(0).cast("bigint")) + let(now, lambda c: t[c + 1] - t[c])
+            add = F.lit(0).cast("bigint")
+            n = F.transform(acc.n, lambda v, j: v + F.when(j == word(enters), u[enters % PER_WORD]).otherwise(add) - F.when(j == out_word, out_unit).otherwise(add))
             begin = i - (window - 1)
 
-            def moved(s: Column) -> Column:
-                hot = (begin >= 0) & (s <= limit)
-                apart = hot & (begin > acc.to)
-                flush = apart & (acc.to >= 0)
-                return F.struct(
-                    n.alias("n"), s.alias("s"),
-                    F.when(apart, begin).otherwise(acc["from"]).alias("from"), F.when(hot, i + 1).otherwise(acc.to).alias("to"),
-                    F.when(flush, F.concat(acc.out, F.array(F.struct(acc["from"].alias("start"), acc.to.alias("end"))))).otherwise(acc.out).alias("out"),
-                )
+            def moved(x: Column) -> Column:
+                hot = (begin >= 0) & (x.s <= limit)
+                apart = hot & (begin > acc["to"])
+                after = F.struct(x.n.alias("n"), x.s.alias("s"), F.when(apart, begin).otherwise(acc["from"]).alias("from"), F.when(hot, i + 1).otherwise(acc["to"]).alias("to"))
+                return stepped(after, F.when(apart & (acc["to"] >= 0), one(acc["from"], acc["to"])).otherwise(empty))
 
-            return let(s, moved)
+            return let(F.struct(n.alias("n"), s.alias("s")), moved)
 
-        def last(acc: Column) -> Column:
-            return F.when(acc.to >= 0, F.concat(acc.out, F.array(F.struct(acc["from"].alias("start"), acc.to.alias("end"))))).otherwise(acc.out)
+        done = fold_out(F.sequence(F.lit(0), F.size(a) - 1), first, step, "struct<start:int,end:int>")
+        return let(done, lambda d: F.when(d.state["to"] >= 0, F.concat(d.out, one(d.state["from"], d.state["to"]))).otherwise(d.out))
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(a) - 1), first, step, last)
-
-    return let(codes, lambda a: let(sums, lambda t: slide(a, t)))
+    return let(codes, lambda a: let(sums, lambda t: let(units, lambda u: slide(a, t, u))))
 
 
 def in_candidate(kind: str, rank: int, alphabet: str, bits: float):
     def spans(m: Column) -> Column:
-        at = lambda w: span(m.start + w.start, m.start + w.end, rank, kind, m.value.substr(w.start + 1, w.end - w.start))
-        return F.transform(hot_windows(m.value, alphabet, WINDOW, bits), at)
+        def cut(cs: Column) -> Column:
+            at = lambda w: span(m.start + w.start, m.start + w.end, rank, kind, F.array_join(F.slice(cs, w.start + 1, w.end - w.start), ""))
+            return F.transform(hot_windows(cs, alphabet, WINDOW, bits), at)
+
+        return let(F.slice(F.split(m.value, ""), F.lit(1), F.length(m.value)), cut)
 
     return spans
 
 
+def not_covered(found: Column, base: Column) -> Column:
+    """The spans of found that no base span covers, by one pass over both in the order of their starts."""
+    row = lambda s, own: F.struct(s.start.alias("start"), F.lit(own).alias("own"), s.end.alias("end"), s.alias("span"))
+    events = F.array_sort(F.concat(F.transform(base, lambda b: row(b, 0)), F.transform(found, lambda s: row(s, 1))))
+
+    def step(reach: Column, x: Column) -> Column:
+        bare = (x.own == 1) & (x.end > reach)
+        return stepped(F.when(x.own == 0, F.greatest(reach, x.end)).otherwise(reach), F.when(bare, F.array(x.span)).otherwise(F.expr(f"cast(array() as array<{SPAN}>)")))
+
+    return fold_out(events, F.lit(-1), step, SPAN).out
+
+
 def find_secrets(df: DataFrame, text_col: str = "text", allow: tuple[str, ...] = ALLOW) -> DataFrame:
     """df's id-like columns are the caller's: adds `base` and `added`, arrays of SPAN, to df[text_col] (null: empty)."""
     df = df.withColumn(text_col, F.coalesce(F.col(text_col).cast("string"), F.lit("")))
@@ -118,8 +142,7 @@ def find_secrets(df: DataFrame, text_col: str = "text", allow: tuple[str, ...] =
     for rank, (kind, (_, alphabet, bits)) in enumerate(CLASSES.items(), 3):
         kept = F.filter(f"_{kind}", lambda m: ~m.value.rlike(f"^(?:{listed})$")) if allow else F.col(f"_{kind}")
         found = F.flatten(F.transform(kept, in_candidate(kind, rank, alphabet, bits)))
-        bare = F.filter(found, lambda s: ~F.exists("base", lambda b: (b.start <= s.start) & (b.end >= s.end)))
-        added.append(F.when(F.size(kept) > 0, bare).otherwise(F.expr(f"cast(array() as array<{SPAN}>)")))
+        added.append(F.when(F.size(kept) > 0, not_covered(found, F.col("base"))).otherwise(F.expr(f"cast(array() as array<{SPAN}>)")))
     return df.withColumn("added", F.concat(*added)).drop(*patterns)
 
 
