@@ -2,7 +2,8 @@
 
 A payload becomes a medium: a binary greymap (PGM) of 64 samples a row, 8 bits each.  A gear hash rolls over its bytes; where the
 hash's top bits are zero the medium is cut, no chunk being shorter than LEAST or longer than MOST bytes.  Chunks go by their SHA-256;
-equal ones are stored once (Zstandard-coded).  A recipe lists a medium's chunks in order.  Rebuilding joins recipes
+equal ones are stored once (Zstandard-coded, with a dictionary
+trained on a bounded sample, as chunks are small).  A recipe lists a medium's chunks in order.  Rebuilding joins recipes
 to the chunk store, puts each medium together in order, and verifies its length and SHA-256; then come the features.
 
 The gear hash of a place depends on the 32 bytes up to it, so it is computed for all places at once, by doubling.
@@ -25,13 +26,15 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import Scratch, hashed_sample, table
 
 ROW = 64
 LEAST, MOST = 256, 65_536
 #: A cut where this many top bits of the gear hash are zero: 1 KB in the mean, after LEAST.
 CUT_BITS = 10
 LEVEL = 6
+#: The dictionary's size, the documents it is trained on, and the characters taken of each.
+DICTIONARY_BYTES, SAMPLE, SAMPLE_BYTES = 64 << 10, 1_000, 4_096
 SPAN = 32
 
 
@@ -119,11 +122,31 @@ def recipes(docs: DataFrame) -> DataFrame:
     return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, media_id binary, n_bytes long, chunks array<binary>")
 
 
-def chunk_store(texts: DataFrame) -> DataFrame:
+def loaded(dictionary: bytes) -> zstandard.ZstdCompressionDict | None:
+    return zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+
+
+def train_dictionary(texts: DataFrame) -> bytes:
+    """A compression dictionary for small chunks, from the chunks of at most SAMPLE documents (SAMPLE_BYTES of each); empty if they are too few.
+
+    It changes how chunks are stored, never what they hold.
+    """
+    sample = hashed_sample(texts.select("doc_id", "text"), ["doc_id", "text"], SAMPLE, 3).select(F.substring("text", 1, SAMPLE_BYTES).alias("text"))
+    gear = gear_table()
+    parts = [data[x:y] for r in sample.collect() for data, _ in [medium(r.text)] for ends in [cuts(data, gear)] for x, y in zip([0, *ends[:-1]], ends, strict=True)]
+    if len(parts) < 64:
+        return b""
+    try:
+        return zstandard.train_dictionary(DICTIONARY_BYTES, parts).as_bytes()
+    except zstandard.ZstdError:  # the chunks have nothing in common
+        return b""
+
+
+def chunk_store(texts: DataFrame, dictionary: bytes = b"") -> DataFrame:
     """(chunk_id, body) of every distinct chunk of texts(text); body is Zstandard-coded.  Equal chunks meet map-side first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gear, pack = gear_table(), zstandard.ZstdCompressor(level=LEVEL)
+        gear, pack = gear_table(), zstandard.ZstdCompressor(level=LEVEL, dict_data=loaded(dictionary), write_checksum=False, write_dict_id=False)
         for b in batches:
             seen: dict[bytes, bytes] = {}
             held = 0
@@ -145,14 +168,14 @@ def chunk_store(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "chunk_id binary, body binary").groupBy("chunk_id").agg(F.first("body").alias("body"))
 
 
-def rebuild(lists: DataFrame, store: DataFrame) -> DataFrame:
+def rebuild(lists: DataFrame, store: DataFrame, dictionary: bytes = b"") -> DataFrame:
     """Features of the media of lists(media_id, chunks), each put together from the store, one at a time."""
     places = lists.select("media_id", F.size("chunks").alias("n"), F.posexplode("chunks").alias("place", "chunk_id"))
     parts = places.join(store, "chunk_id", "left").select("media_id", "n", "place", "body")
     ordered = parts.repartition("media_id").sortWithinPartitions("media_id", "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
+        unpack = zstandard.ZstdDecompressor(dict_data=loaded(dictionary))
         held: list[bytes] = []
         for b in batches:
             done = []
@@ -174,7 +197,8 @@ def rebuild(lists: DataFrame, store: DataFrame) -> DataFrame:
 def scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op10: one row per document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    made = written(recipes(docs), "recipes")
+    made = Scratch(spark, "media").written(recipes(docs), "recipes")
+    words = train_dictionary(docs)
     lists = made.groupBy("media_id").agg(F.first("chunks").alias("chunks"))
-    rows = made.select("doc_id", "media_id", "n_bytes").join(rebuild(lists, chunk_store(docs)), "media_id")
+    rows = made.select("doc_id", "media_id", "n_bytes").join(rebuild(lists, chunk_store(docs, words), words), "media_id")
     return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")

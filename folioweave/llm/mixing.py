@@ -13,30 +13,36 @@ no rows.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import Scratch, table
 
 SEED = "mix-1"
 EPOCHS = 1.0
 #: Without explicit weights a source's weight is its size to this power: large sources are damped, small ones repeated.
 TEMPERATURE = 0.7
 RATE_STEP = 32.0
+#: Hashes are below this.
+KEYS = 1 << 52
+#: Characters of a partition of mixed documents.
+PARTITION = 64 << 20
 #: So many entries beyond the mean have the rest of the distribution below the resolution of a double.
 TAIL_SIGMAS, TAIL = 12.0, 30.0
 
 
 def uniform(*parts: Column) -> Column:
     """A number in [0, 1) with 52 bits, hashed from the parts."""
-    return hashed(*parts) / F.lit(float(1 << 52))
+    return hashed(*parts) / F.lit(float(KEYS))
 
 
 def hashed(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts]).cast("binary")), 1, 13), 16, 10).cast("bigint")
 
 
-def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = EPOCHS) -> DataFrame:
+def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = EPOCHS, scratch: Scratch | None = None) -> DataFrame:
     """(source, size, rate, parts, cdf) of every source of docs(source, text)."""
     sizes = docs.groupBy("source").agg(F.sum(F.coalesce(F.length("text"), F.lit(0)).cast("bigint")).alias("size"))
     if weights is None:
@@ -44,7 +50,7 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, epoch
     else:
         named = [F.lit(x) for kv in weights.items() for x in kv]
         weight = F.coalesce(F.element_at(F.create_map(*named), F.col("source")), F.lit(0.0)) if named else F.lit(0.0)
-    sizes = written(sizes.withColumn("weight", weight), "sizes")
+    sizes = (scratch or Scratch(docs.sparkSession, "mixing")).written(sizes.withColumn("weight", weight), "sizes")
     all_size, all_weight = sizes.agg(F.sum("size"), F.sum("weight")).first()  # two numbers
     share = F.lit(epochs) * F.lit(all_size) * F.col("weight") / (F.lit(all_weight) * F.col("size")) if all_weight else F.lit(0.0)
     rates = sizes.withColumn("rate", F.coalesce(F.when(F.col("size") == 0, F.lit(epochs)).otherwise(share), F.lit(0.0)))
@@ -72,11 +78,17 @@ def with_copies(docs: DataFrame, rates: DataFrame, seed: str = SEED) -> DataFram
     return joined.withColumn("copies", F.when(F.col("parts") == 1, single).otherwise(parts)).drop("_u", "_of", "parts", "cdf")
 
 
-def mixed(docs: DataFrame, rates: DataFrame, seed: str = SEED) -> DataFrame:
-    """docs, each row as often as its count, in the global order of shuffle_key; `copy` numbers the copies from 1."""
+def mixed(docs: DataFrame, rates: DataFrame, seed: str = SEED, partitions: int | None = None) -> DataFrame:
+    """docs, each row as often as its count, in the global order of shuffle_key; `copy` numbers the copies from 1.
+
+    The key is a uniform hash, so equal slices of its range are equal partitions: no pass samples the rows to find the bounds.
+    """
+    n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counted = with_copies(docs, rates, seed).where("copies > 0")
     copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return copies.withColumn("shuffle_key", hashed(F.lit(seed), F.lit("order"), F.col("doc_id"), F.col("copy"))).orderBy("shuffle_key", "doc_id", "copy")
+    copies = copies.withColumn("shuffle_key", hashed(F.lit(seed), F.lit("order"), F.col("doc_id"), F.col("copy")))
+    slice_of = F.least(F.lit(n - 1), F.floor(F.col("shuffle_key") / float(KEYS) * n)).cast("int")
+    return copies.repartitionById(n, slice_of).sortWithinPartitions("shuffle_key", "doc_id", "copy")
 
 
 def scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,8 +101,10 @@ def scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mix_documents(docs: DataFrame) -> DataFrame:
     """Pipeline stage: documents repeated by their counts, shuffled globally."""
     rates = source_rates(docs.select("source", "text"))
+    total = rates.agg(F.sum(F.col("size") * F.col("rate"))).first()[0] or 0.0  # one number
+    partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / PARTITION))
     inner = docs.select("doc_id", "source", F.struct("*").alias("_row"))
-    return mixed(inner, rates).select([F.col(f"_row.`{c}`") for c in docs.columns])
+    return mixed(inner, rates, partitions=partitions).select([F.col(f"_row.`{c}`") for c in docs.columns])
 
 
 ORACLE = f"""

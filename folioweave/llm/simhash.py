@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import Scratch, table
 
 SEED = 42
 SHINGLE = 4
@@ -198,11 +198,11 @@ def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield edges(pd.concat(held, ignore_index=True))
 
 
-def fingerprint_links(fps: DataFrame) -> DataFrame:
+def fingerprint_links(fps: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """Edges (a, b) that connect the distinct fingerprints fps(fp) just as all their links do; linear in size."""
     rows = fps.select("fp").mapInArrow(to_anchors, "anchor long, fp long, home boolean")
     heavy = rows.groupBy("anchor").agg(F.count("*").alias("n"), F.sum(F.col("home").cast("long")).alias("n_home")).where(F.col("n") > BLOCK)
-    heavy = written(heavy, "anchors")
+    heavy = (scratch or Scratch(fps.sparkSession, "links")).written(heavy, "anchors")
     rows = rows.join(heavy, "anchor", "left")
     blocks = {c: F.greatest(F.lit(1), F.ceil(F.coalesce(F.col(n), F.lit(0)) / BLOCK)).cast("int") for c, n in (("bi", "n_home"), ("bj", "n"))}
     rows = rows.withColumns(blocks).withColumn("x", F.pmod(F.xxhash64("fp"), F.when(F.col("home"), F.col("bi")).otherwise(F.col("bj"))).cast("int"))
@@ -212,35 +212,41 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
     return rows.mapInPandas(compare, "a long, b long").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(node, root) of every node of edges(a, b): root is the same for two nodes exactly if a path joins them.
 
     Every round hooks each node to its least neighbour, follows pointers once more, and keeps the edges between different ones.
     At least half of the nodes that still have edges go in a round, so the rounds are logarithmic.
     """
-    pairs = written(edges.where("a <> b"), "edges")
-    labels = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().select("node", F.col("node").alias("root")), "labels")
+    scratch = scratch or Scratch(edges.sparkSession, "components")
+    pairs = scratch.written(edges.where("a <> b"), "edges")
+    labels = scratch.written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().select("node", F.col("node").alias("root")), "labels")
     while not pairs.isEmpty():
         both = pairs.select("a", "b").union(pairs.select("b", "a"))
-        hooked = written(both.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("to")), "hooks")
+        hooked = scratch.written(both.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("to")), "hooks")
         up = hooked.select(F.col("a").alias("to"), F.col("to").alias("top"))
-        hooks = written(hooked.join(up, "to").select("a", "top"), "hooks")
-        labels = written(labels.join(hooks, labels.root == hooks.a, "left").select("node", F.coalesce("top", "root").alias("root")), "labels")
+        hooks = scratch.written(hooked.join(up, "to").select("a", "top"), "hooks")
+        old, labels = (labels, pairs, hooked, hooks), scratch.written(labels.join(hooks, labels.root == hooks.a, "left").select("node", F.coalesce("top", "root").alias("root")), "labels")
         ends = hooks.select(F.col("a").alias("b"), F.col("top").alias("b_top"))
         moved = pairs.join(hooks, "a").join(ends, "b").where("top <> b_top")
-        pairs = written(moved.select(F.least("top", "b_top").alias("a"), F.greatest("top", "b_top").alias("b")).distinct(), "edges")
+        pairs = scratch.written(moved.select(F.least("top", "b_top").alias("a"), F.greatest("top", "b_top").alias("b")).distinct(), "edges")
+        scratch.drop(*old)
+    scratch.drop(pairs)
     return labels
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, fp, component_id) of every row of docs."""
+    scratch = scratch or Scratch(docs.sparkSession, "near-duplicates")
+    written = scratch.written
     rows = written(with_fingerprints(docs), "fingerprints")
     fps = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(fingerprint_links(fps)).withColumnRenamed("node", "fp")
+    roots = components(fingerprint_links(fps, scratch), scratch).withColumnRenamed("node", "fp")
     members = written(fps.join(roots, "fp"), "members")
     least = members.groupBy("root").agg(F.min("least").alias("component_id"))
     named = members.join(least, "root").select("fp", "component_id", F.lit(True).alias("linked"))
     classes = written(fps.join(named, "fp", "left").select("fp", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("least")).alias("component_id")), "classes")
+    scratch.drop(fps, members)
     return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -253,9 +259,10 @@ def scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def deduplicate_documents(docs: DataFrame) -> DataFrame:
     """Pipeline stage: of each component the document with the least doc_id stays.
 
-    If rows repeat that id, one of them stays.  Rows without a doc_id can't be named by a component; they all stay.
+    If rows repeat that id, the least of them by all columns in their order stays (null first).  Rows without a doc_id can't be named by a component; they all stay.
     """
     found = near_duplicates(docs.select("doc_id", "text"))
     stay = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    named = docs.where(F.col("doc_id").isNotNull()).join(stay, "doc_id", "left_semi")
+    named = named.groupBy("doc_id").agg(F.min(F.struct("*")).alias("row")).select([F.col(f"row.`{c}`") for c in docs.columns])
+    return named.unionByName(docs.where(F.col("doc_id").isNull()))

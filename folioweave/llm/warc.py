@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import Scratch, table
 
 SKIPPABLE = 0x184D2A5D
 FRAME = b"\x28\xb5\x2f\xfd"
@@ -216,7 +216,7 @@ def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
 
 def scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op6: one row per page, read back from the archives."""
-    archives = written(write_archives(with_revisits(table(spark, sf_dir, "pages"))), "archives")
+    archives = Scratch(spark, "warc").written(write_archives(with_revisits(table(spark, sf_dir, "pages"))), "archives")
     records = read_archives(archives, with_payload=False)
     checked = records.withColumn("page_id", F.when(F.col("error").isNull(), F.col("page_id")).otherwise(F.raise_error(F.col("error")).cast("long")))
     return checked.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
