@@ -1,7 +1,7 @@
 """BPE encoding and decoding by tree concatenation.
 
 Texts of at most LEAF characters are encoded as they are.  Longer ones are cut into leaves, wherever that falls, which are rows of
-their own and are encoded in parallel all over the cluster; the leaves of a text then meet in order, and neighbours are joined
+their own and are encoded in parallel all over the cluster (those of equal texts once); the leaves of a text then meet in order, and neighbours are joined
 pairwise, level by level.  A join keeps both sides' tokens but for a window around the seam, which is encoded anew: first a
 small one, then larger ones, until its first and last tokens agree with those of the sides there.  Its ends are laid where a
 word ends before a blank: there every text is cut before merges begin, whatever stands around, so the join is exact.
@@ -210,66 +210,71 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def encode_documents(docs: DataFrame, path: str, finish: Callable[[Codec, list[int]], tuple], made: pa.Schema, made_sql: str, leaf: int = LEAF) -> DataFrame:
-    """docs' doc_id, and what finish makes of each text's ids, as `made` (in DDL: made_sql)."""
-    source = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    kind = source.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", *made.names]
+def encode_documents(
+    docs: DataFrame, path: str, finish: Callable[[Codec, list[int]], tuple], made: pa.Schema, made_sql: str, leaf: int = LEAF, keep: tuple[str, ...] = ("doc_id",)
+) -> DataFrame:
+    """docs' columns `keep` (none of them named as in `made`), and what finish makes of each text's ids, as `made` (in DDL: made_sql).
 
-    def out(keys: list, rows: list[tuple], key_type: pa.DataType) -> pa.RecordBatch:
+    Long texts are known by their SHA-256: equal ones are cut and encoded once, and a recomputed task names them alike.
+    """
+    source = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    at = len(keep)
+    kept_sql = ", ".join(f"c{i} {source.schema[f'c{i}'].dataType.simpleString()}" for i in range(at))
+
+    def out(keys: list, names: list[str], rows: list[tuple]) -> pa.RecordBatch:
         columns = zip(*rows, strict=True) if rows else [[]] * len(made)
-        return pa.RecordBatch.from_arrays([pa.array(keys, key_type), *(pa.array(list(c), t) for c, t in zip(columns, made.types, strict=True))], names=names)
+        return pa.RecordBatch.from_arrays([*keys, *(pa.array(list(c), t) for c, t in zip(columns, made.types, strict=True))], names=[*names, *made.names])
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                yield out(part.column(0).to_pylist(), [finish(own, ids) for ids in own.encode_all(part.column(1).to_pylist())], b.schema.types[0])
+            for first in range(0, b.num_rows, 512):
+                part = b.slice(first, 512)
+                yield out(part.columns[:at], part.schema.names[:at], [finish(own, ids) for ids in own.encode_all(part.column(at).to_pylist())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row, doc_id, text in zip(*(b.column(i) for i in range(3)), strict=True):
+            for name, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 text = text.as_py()
                 parts = [text[i : i + leaf] for i in range(0, len(text), leaf)]
                 n = len(parts)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([row.as_py()] * n, pa.int64()), pa.array([doc_id.as_py()] * n, b.schema.types[1]), pa.array(range(n), pa.int32()), pa.array([n] * n, pa.int32()), pa.array(parts)],
-                    names=["row", "doc_id", "leaf", "leaves", "text"],
-                )
+                    [pa.array([name] * n, pa.string()), pa.array(range(n), pa.int32()), pa.array([n] * n, pa.int32()), pa.array(parts)], names=["digest", "leaf", "leaves", "text"],
+                )
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for b in batches:
-            for at in range(0, b.num_rows, 32):
-                part = b.slice(at, 32)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(list(own.encode_all(part.column(4).to_pylist())), pa.list_(pa.int32()))], names=[*part.schema.names, "ids"])
+            for first in range(0, b.num_rows, 32):
+                part = b.slice(first, 32)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(list(own.encode_all(part.column(3).to_pylist())), pa.list_(pa.int32()))], names=[*part.schema.names, "ids"])
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         held: list[tuple[str, list[int]]] = []
         for b in batches:
-            keys, rows = [], []
-            for doc_id, place, n, text, ids in zip(*(b.column(i) for i in (1, 2, 3, 4, 5)), strict=True):
+            names, rows = [], []
+            for name, place, n, text, ids in zip(*(b.column(i) for i in range(5)), strict=True):
                 if place.as_py() != len(held):
                     raise ValueError("a leaf is missing")
                 held.append((text.as_py(), ids.as_py()))
                 if len(held) == n.as_py():
-                    keys.append(doc_id.as_py())
+                    names.append(name.as_py())
                     rows.append(finish(own, own.tree(held)))
                     held = []
-            if keys:
-                yield out(keys, rows, b.schema.types[1])
+            if names:
+                yield out([pa.array(names, pa.string())], ["digest"], rows)
         if held:
             raise ValueError("a leaf is missing")
 
-    few = source.where(F.length("text") <= leaf).mapInArrow(short, f"doc_id {kind}, {made_sql}")
-    # The row's number is fixed by file and place: docs come from files, so a recomputed task numbers alike.
-    long = source.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").where(F.length("text") > leaf)
-    leaves = long.mapInArrow(cut, f"row long, doc_id {kind}, leaf int, leaves int, text string").repartition("row", "leaf")
-    tokens = leaves.mapInArrow(encoded, f"row long, doc_id {kind}, leaf int, leaves int, text string, ids array<int>")
-    whole = tokens.repartition("row").sortWithinPartitions("row", "leaf").mapInArrow(joined, f"doc_id {kind}, {made_sql}")
-    return few.unionByName(whole)
+    few = source.where(F.length("text") <= leaf).mapInArrow(short, f"{kept_sql}, {made_sql}")
+    long = source.where(F.length("text") > leaf).withColumn("digest", F.sha2("text", 256))
+    leaf_sql = "digest string, leaf int, leaves int, text string"
+    leaves = long.select("digest", "text").mapInArrow(cut, leaf_sql).groupBy("digest", "leaf", "leaves").agg(F.first("text").alias("text"))
+    tokens = leaves.mapInArrow(encoded, f"{leaf_sql}, ids array<int>")
+    whole = tokens.repartition("digest").sortWithinPartitions("digest", "leaf").mapInArrow(joined, f"digest string, {made_sql}")
+    several = long.drop("text").join(whole, "digest").drop("digest")
+    return few.unionByName(several).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], *made.names)
 
 
 def digest(own: Codec, ids: list[int]) -> tuple:
@@ -282,7 +287,19 @@ def scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), default_path(), digest, made, "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def token_documents(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids array<int>) of every row; the pipeline's last stage."""
+def token_documents(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """docs' columns `keep`, n_tokens and ids array<int> of every row."""
     made = pa.schema([("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
-    return encode_documents(docs, path, lambda own, ids: (len(ids), ids), made, "n_tokens long, ids array<int>")
+    return encode_documents(docs, path, lambda own, ids: (len(ids), ids), made, "n_tokens long, ids array<int>", keep=keep)
+
+
+def token_files(docs: DataFrame, path: str) -> DataFrame:
+    """(doc_id, n_tokens, ids) of every row of docs, which come from files, in the files' order; the pipeline's last stage.
+
+    The files' numbers and the rows' places in them are carried along, and the rows dealt back by number: partition i holds what part i held.
+    """
+    part = F.coalesce(F.try_to_number(F.regexp_extract("_metadata.file_name", r"part-([0-9]+)", 1), F.lit("9999999999")).cast("int"), F.lit(0))
+    placed = docs.select("doc_id", "text", part.alias("part"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("place"))
+    n = 1 + max((int(m[1]) for f in docs.inputFiles() if (m := re.search(r"part-([0-9]+)", f.rsplit("/", 1)[-1]))), default=0)
+    tokens = token_documents(placed, path, ("doc_id", "part", "file", "place"))
+    return tokens.repartitionById(n, F.col("part")).sortWithinPartitions("file", "place").select("doc_id", "n_tokens", "ids")
