@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from folioweave.llm import bpe, mixing, quality_rules, secrets, simhash
-from folioweave.llm.common import table, written
+from folioweave.llm.common import Scratch, table
 
 ORACLE_SQL = None
 
@@ -35,7 +35,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.token_documents(docs, bpe.default_path())
+    return bpe.token_files(docs, bpe.default_path())
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -48,7 +48,14 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages' rows, in the order that mixing gave them.  Intermediates go as soon as the next stage is written."""
+    own = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        before = list(Scratch.live)
+        made = own.written(stage(spark, docs, sf_dir), name)
+        for scratch in [s for s in Scratch.live if s not in before]:
+            scratch.clear()
+        own.drop(docs)
+        docs = made
     return docs
