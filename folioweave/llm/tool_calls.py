@@ -1,16 +1,21 @@
 """Chat formatting: tool calls linked to their results, ordered, validated, written as canonical JSON.  DataFrame functions only.
 
-Calls and results meet by a hash join on conversation and identifier, after repeats of an identifier in a conversation have been reduced
-map-side to the least (turn, ...) one.  A conversation's calls are put in topological order: again and again the earliest call whose
-dependencies (those the conversation holds) are done; in a cycle the earliest pending call goes first and is marked.
-Arguments are parsed as variants and checked against the tool's schema: required parameters, types, ranges, enumerations, unknown names.
-Canonical JSON has keys in byte order, no blanks, and numbers as the variant prints them.
+Calls and results meet by a hash join on conversation and identifier.  Arguments are parsed as variants and checked against the tool's
+schema: required parameters, types, ranges, enumerations, unknown names.  Every call is a record of its own, and so is every result without
+a call: no conversation is gathered in a row, however many of the rows it holds.
+
+The topological order is a level: 0 for calls that depend on no call of their conversation, else one more than the highest level among those they depend on.
+Rounds of joins release the calls whose dependencies are released; each round handles only what still waits.  Where a round releases nothing, the
+waiting calls that others wait for form knots of cycles; there, dependencies on later calls (by turn, then key) are cut, and calls that lose one
+are marked cyclic.  Records sorted by (conversation, level, turn, identifier) are the conversation's order.
 
-A conversation is one record of the output, so its own calls, and only these, are gathered in a row.
+Canonical JSON has keys in byte order, no blanks, and numbers as the variant prints them.
 
-Defined cases: null texts are empty; a null conv_id is the conversation `null`; arguments that aren't a JSON object (or repeat a key) give the
-error `json` and are kept as a string; an unknown tool gives `tool`; a call without an identifier stays, with the error `id`, and has no result; a missing result is null; results without a call are counted as orphans;
-a conversation without calls has an empty list; empty tables give no rows; other columns are not carried.
+Defined cases: null texts are empty; equal rows are one record with their number as `copies`; of several calls with one identifier in a conversation the
+least (turn, name, digest of its arguments) is linked, the others stay with the error `duplicate`; of several results the least (turn, digest) is linked,
+the others are orphans; a call without an identifier stays with the error `id`, one without a conversation with `conversation`, neither has a result;
+arguments that aren't a JSON object (or repeat a key) give the error `json` and are kept as a string; an unknown tool gives `tool`;
+a missing result is null; empty tables give no rows; other columns are not carried.
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, table
+from .common import Scratch, let, table
 
 #: Tool: parameter: (type, required, least, most, values).
 SCHEMAS: dict[str, dict[str, tuple]] = {
@@ -55,99 +60,119 @@ def errors(name: Column, args: Column, schemas: dict[str, dict[str, tuple]] = SC
     return out.otherwise(F.array(F.lit("tool")))
 
 
-def ordered(calls: Column, kind: str) -> Column:
-    """Topological order of an array of structs of type `kind` with fields id, depends and cyclic, which come by turn."""
-    nothing = F.expr(f"cast(array() as array<{kind}>)")
-
-    def without(left: Column, p: Column) -> Column:
-        """left but for the call at place p (from 1); an identifier may be missing."""
-        return F.concat(F.slice(left, F.lit(1), p - 1), F.slice(left, p + 1, F.size(left)))
-
-    def by_steps(all_calls: Column) -> Column:
-        ids = F.array_compact(F.transform(all_calls, lambda c: c["id"]))
-        first = F.struct(F.expr("cast(array() as array<string>)").alias("done"), nothing.alias("out"), all_calls.alias("left"))
-
-        def step(acc: Column, _: Column) -> Column:
-            ready = F.filter(acc.left, lambda c: F.size(F.array_except(F.array_intersect(c.depends, ids), acc.done)) == 0)
-
-            def take(r: Column) -> Column:
-                stuck = F.size(r) == 0
-                one = F.when(stuck, acc.left[0].withField("cyclic", F.lit(True))).otherwise(F.get(r, F.lit(0)))
-                place = F.when(stuck, F.lit(1)).otherwise(F.array_position(acc.left, F.get(r, F.lit(0))).cast("int"))
-                return let(one, lambda c: F.struct(F.concat(acc.done, F.array(c["id"])).alias("done"), F.concat(acc.out, F.array(c)).alias("out"), without(acc.left, place).alias("left")))
-
-            return let(ready, take)
-
-        return F.when(F.size(all_calls) == 0, nothing).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(all_calls))), first, step, lambda acc: acc.out))
-
-    return let(calls, by_steps)
-
-
-def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, tuple]] = SCHEMAS) -> DataFrame:
-    """One row per call of calls(conv_id, turn, call_id, name, arguments, depends), with the result of results(conv_id, turn, call_id, content); orphans have is_call false."""
-    conv = F.coalesce(F.col("conv_id").cast("string"), F.lit("null")).alias("conv_id")
-    call_row, result_row = F.struct("turn", "name", "arguments", "depends"), F.struct("turn", "content")
-    calls, results = calls.select(conv, "call_id", call_row.alias("c")), results.select(conv, "call_id", result_row.alias("r"))
-    call = calls.where("call_id is not null").groupBy("conv_id", "call_id").agg(F.min("c").alias("c"), F.lit(True).alias("is_call"))
-    result = results.where("call_id is not null").groupBy("conv_id", "call_id").agg(F.min("r").alias("r"))
-    both = call.join(result, ["conv_id", "call_id"], "full")
-    both = both.unionByName(calls.where("call_id is null").withColumn("is_call", F.lit(True)), allowMissingColumns=True)
-    both = both.unionByName(results.where("call_id is null"), allowMissingColumns=True).withColumn("args", F.try_parse_json("c.arguments"))
-    checked = errors(F.col("c.name"), F.col("args"), schemas)
-    kept = F.when(F.array_contains("errors", "json"), F.to_json(F.struct(F.col("c.arguments").alias("v")), JSON)).otherwise(F.to_json(F.struct(F.col("args").alias("v")), JSON))
-    both = both.withColumn("errors", F.when(F.col("call_id").isNull(), F.concat(F.array(F.lit("id")), checked)).otherwise(checked))
-    return both.select(
-        "conv_id", F.coalesce("is_call", F.lit(False)).alias("is_call"),
-        F.struct(
-            F.col("c.turn").alias("turn"), F.col("call_id").alias("id"), F.coalesce("c.depends", F.expr("cast(array() as array<string>)")).alias("depends"), F.lit(False).alias("cyclic"),
-            F.col("c.name").alias("name"), kept.substr(F.lit(6), F.length(kept) - 6).alias("arguments"), F.col("errors").alias("errors"), F.col("r.content").alias("result"),
-        ).alias("call"),
-    )
-
-
-CALL = "struct<turn:bigint,id:string,depends:array<string>,cyclic:boolean,name:string,arguments:string,errors:array<string>,result:string>"
-
-
 def quoted(text: Column) -> Column:
     """text as a JSON string, or null."""
     return let(F.to_json(F.struct(text.alias("v")), JSON), lambda j: j.substr(F.lit(6), F.length(j) - 6))
 
 
-def call_json(c: Column) -> Column:
-    return F.concat(
-        F.lit('{"arguments":'), c.arguments, F.lit(',"errors":['), F.array_join(F.transform(c.errors, quoted), ","), F.lit('],"id":'), quoted(c["id"]),
-        F.lit(',"name":'), quoted(c["name"]), F.lit(',"result":'), quoted(c.result), F.lit("}"),
+def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, tuple]] = SCHEMAS) -> DataFrame:
+    """A row per distinct call of calls(conv_id, turn, call_id, name, arguments, depends) and per distinct result without a call.
+
+    results(conv_id, turn, call_id, content).  Columns: kind (call or orphan), conv_id, call_id, turn, name, args (canonical JSON), depends, errors,
+    result, copies, node (a key of the row), holder (whether others can name it as a dependency).
+    """
+    key, has_key = ["conv_id", "call_id"], F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
+    # Counted map-side first, so that repeats, null keys among them, are few rows.
+    calls = calls.groupBy(*key, "turn", "name", "arguments", "depends").agg(F.count("*").alias("copies"))
+    results = results.groupBy(*key, "turn", "content").agg(F.count("*").alias("copies"))
+    calls = calls.withColumn("tag", F.struct("turn", "name", F.md5(F.coalesce("arguments", F.lit(""))), F.to_json(F.struct("depends"))))
+    results = results.withColumn("tag", F.struct("turn", F.md5(F.coalesce("content", F.lit("")))))
+
+    def first_of_key(df: DataFrame) -> DataFrame:
+        least = df.where(has_key).groupBy(*key).agg(F.min("tag").alias("least"))
+        return df.where(has_key).join(least, key).withColumn("first", F.col("tag") == F.col("least")).drop("least", "tag")
+
+    def without_key(df: DataFrame) -> DataFrame:
+        return df.where(~has_key).drop("tag").withColumn("first", F.lit(False))
+
+    calls, results = first_of_key(calls).unionByName(without_key(calls)), first_of_key(results).unionByName(without_key(results))
+    call = calls.select(*key, F.struct("turn", "name", "arguments", "depends", "copies").alias("c"), "first")
+    result = results.select(*key, F.struct("turn", "content", "copies").alias("r"), "first")
+    both = call.where("first").drop("first").join(result.where("first").drop("first"), key, "full").withColumn("holder", F.col("c").isNotNull())
+    both = both.unionByName(call.where("not first").drop("first").withColumn("holder", F.lit(False)), allowMissingColumns=True)
+    both = both.unionByName(result.where("not first").drop("first").withColumn("holder", F.lit(False)), allowMissingColumns=True)
+    both = both.withColumn("args", F.try_parse_json("c.arguments")).withColumn("checked", errors(F.col("c.name"), F.col("args"), schemas))
+    json = let(F.when(F.array_contains("checked", "json"), F.to_json(F.struct(F.col("c.arguments").alias("v")), JSON)).otherwise(F.to_json(F.struct(F.col("args").alias("v")), JSON)), lambda j: j.substr(F.lit(6), F.length(j) - 6))
+    wrong = F.when(F.col("conv_id").isNull(), "conversation").when(F.col("call_id").isNull(), "id").when(~F.col("holder"), "duplicate")
+    is_call = F.col("c").isNotNull()
+    return both.select(
+        F.when(is_call, "call").otherwise("orphan").alias("kind"), *key, F.when(is_call, F.col("c.turn")).otherwise(F.col("r.turn")).alias("turn"), F.col("c.name").alias("name"),
+        F.when(is_call, json).alias("args"), F.coalesce("c.depends", F.expr("cast(array() as array<string>)")).alias("depends"),
+        F.when(is_call, F.concat(F.array_compact(F.array(wrong)), F.col("checked"))).otherwise(F.array(F.lit("orphan"))).alias("errors"),
+        F.col("r.content").alias("result"), F.coalesce("c.copies", "r.copies").alias("copies"), F.coalesce("r.copies", F.lit(0)).alias("result_copies"), "holder",
+        F.md5(F.to_json(F.struct(*key, "c", F.when(~is_call, F.col("r"))), JSON)).alias("node"),
     )
 
 
-def conversations_json(linked: DataFrame) -> DataFrame:
-    """One row per conversation: counts, the order of its calls, and their canonical JSON."""
-    grouped = linked.groupBy("conv_id").agg(
-        F.array_sort(F.collect_list(F.when(F.col("is_call"), F.col("call")))).cast(f"array<{CALL}>").alias("calls"), F.count_if(~F.col("is_call")).alias("n_orphans"),
-    )
-    sorted_calls = grouped.withColumn("calls", ordered(F.col("calls"), CALL))
-    return sorted_calls.select(
-        "conv_id", F.size("calls").cast("long").alias("n_calls"), F.size(F.filter("calls", lambda c: c.result.isNotNull())).cast("long").alias("n_linked"), "n_orphans",
-        F.size(F.filter("calls", lambda c: F.size(c.errors) > 0)).cast("long").alias("n_invalid"), F.exists("calls", lambda c: c.cyclic).alias("cyclic"),
-        F.array_join(F.transform("calls", lambda c: c.turn.cast("string")), ",").alias("call_order"),
-        F.concat(F.lit('{"calls":['), F.array_join(F.transform("calls", call_json), ","), F.lit('],"conversation":'), quoted(F.col("conv_id")), F.lit("}")).alias("record"),
+def levels(linked: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, level, cyclic) of every call of link()'s rows that depends on another of its conversation."""
+    wants = linked.where("kind = 'call'").select("conv_id", "node", "turn", F.explode(F.array_distinct("depends")).alias("dep"))
+    named = linked.where("holder").select("conv_id", F.col("call_id").alias("dep"), F.col("node").alias("on"), F.col("turn").alias("on_turn"))
+    pending = scratch.written(wants.join(named, ["conv_id", "dep"]).select("node", F.struct(F.col("turn"), "node").alias("at"), "on", F.struct(F.col("on_turn").alias("turn"), F.col("on").alias("node")).alias("on_at")), "pending")
+    found, cut, level = [], [], 0
+    n = pending.count()
+    while n:
+        level += 1
+        waiting = pending.select("node").distinct()
+        left = scratch.written(pending.join(waiting.withColumnRenamed("node", "on"), "on", "left_semi"), "left")
+        n_left = left.count()
+        if n_left < n:
+            found.append(scratch.written(waiting.join(left.select("node").distinct(), "node", "left_anti").withColumn("level", F.lit(level)), "released"))
+        else:  # knots of cycles, and what waits for them
+            level -= 1
+            left, gone = untied(left, scratch)
+            cut.append(gone)
+            n_left = left.count()
+            free = scratch.written(waiting.join(left.select("node").distinct(), "node", "left_anti").withColumn("level", F.lit(level)), "released")
+            found.append(free)
+        scratch.drop(pending)
+        pending, n = left, n_left
+    known = pending.select("node", F.lit(0).alias("level")).limit(0)
+    for part in found:
+        known = known.unionByName(part)
+    loose = pending.select("node").limit(0)
+    for part in cut:
+        loose = loose.unionByName(part)
+    return known.join(loose.distinct().withColumn("cyclic", F.lit(True)), "node", "left").select("node", "level", F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
+
+
+def untied(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """edges without those of its knots that go to a later call (or to itself), and the nodes that lost one."""
+    core, n = edges, -1
+    while n != (now := core.count()):
+        n = now
+        core = scratch.written(core.join(core.select(F.col("on").alias("node")).distinct(), "node", "left_semi"), "core")
+    late = scratch.written(core.where("on_at >= at").select("node", "on").distinct(), "late")
+    return scratch.written(edges.join(late, ["node", "on"], "left_anti"), "left"), late.select("node").distinct()
+
+
+def records(linked: DataFrame, scratch: Scratch) -> DataFrame:
+    """link()'s rows with their level and canonical JSON, in order."""
+    linked = scratch.written(linked, "linked")
+    placed = linked.join(levels(linked, scratch), "node", "left").withColumns({"level": F.coalesce("level", F.lit(0)), "cyclic": F.coalesce("cyclic", F.lit(False))})
+    record = F.concat(
+        F.lit('{"arguments":'), F.coalesce("args", F.lit("null")), F.lit(',"conversation":'), quoted(F.col("conv_id")), F.lit(',"errors":['), F.array_join(F.transform("errors", quoted), ","),
+        F.lit('],"id":'), quoted(F.col("call_id")), F.lit(',"level":'), F.col("level"), F.lit(',"name":'), quoted(F.col("name")), F.lit(',"result":'), quoted(F.col("result")),
+        F.lit(',"turn":'), F.coalesce(F.col("turn").cast("string"), F.lit("null")), F.lit("}"),
     )
+    made = placed.select("conv_id", "level", "turn", "call_id", "kind", F.col("result").isNotNull().alias("has_result"), F.size("errors").alias("n_errors"), "cyclic", "copies", "result_copies", record.alias("record"))
+    return scratch.written(made, "records").orderBy("conv_id", "level", "turn", "call_id", "record")
 
 
 def derived(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results from plain conversations, by rule: each assistant turn is a call (its tool by turn), the user turn after it the result.
 
-    A call of turn 3 modulo 4 depends on that two turns before, but one of turn 1 modulo 8 on that two turns after.  Limits, targets and
-    missing parameters vary with the text's length, so that some calls break their schema.
+    A call of turn 5 to 7 modulo 8 depends on that two turns before, one of turn 1 modulo 8 on that two turns after.  Limits, targets and
+    missing parameters vary with the text's length, so that some calls break their schema.  A null conversation stays null.
     """
     text, n = F.coalesce("text", F.lit("")), F.length(F.coalesce("text", F.lit("")))
-    conv, turn = F.coalesce(F.col("conv_id").cast("string"), F.lit("null")), F.coalesce(F.col("turn"), F.lit(-1)).cast("long")
-    name_of = lambda t: F.concat_ws("-", conv, t.cast("string"))
+    conv, turn = F.col("conv_id").cast("string"), F.coalesce(F.col("turn"), F.lit(-1)).cast("long")
+    name_of = lambda t: F.concat(conv, F.lit("-"), t.cast("string"))
     tool = F.element_at(F.array(*map(F.lit, sorted(SCHEMAS))), (F.pmod(F.floor(turn / 2), F.lit(3)) + 1).cast("int"))
     target = F.element_at(F.array(*map(F.lit, ("de", "en", "es", "fr", "xx"))), n % 5 + 1)
-    args = F.when(tool == "search", F.to_json(F.struct(F.element_at(F.split(text, "\n"), 1).alias("query"), (n % 25).alias("limit"))))
-    args = args.when(tool == "summarize", F.to_json(F.struct(F.when(n % 7 > 0, text).alias("text"), (n % 30).alias("max_words")))).otherwise(F.to_json(F.struct(text.alias("text"), target.alias("target"))))
-    late, soon = F.pmod(turn, F.lit(8)) == 1, (F.pmod(turn, F.lit(4)) == 3) & (F.pmod(turn, F.lit(8)) != 3)
+    args = F.when(tool == "search", F.to_json(F.struct((n % 25).alias("limit"), text.alias("query"))))
+    args = args.when(tool == "summarize", F.to_json(F.struct((n % 30).alias("max_words"), F.when(n % 7 > 0, text).alias("text")))).otherwise(F.to_json(F.struct(target.alias("target"), text.alias("text"))))
+    late, soon = F.pmod(turn, F.lit(8)) == 1, F.pmod(turn, F.lit(8)) >= 5
     depends = F.when(late, F.array(name_of(turn + 2))).when(soon, F.array(name_of(turn - 2))).otherwise(F.expr("cast(array() as array<string>)"))
     calls = conversations.where("role = 'assistant'").select(conv.alias("conv_id"), turn.alias("turn"), name_of(turn).alias("call_id"), tool.alias("name"), args.alias("arguments"), depends.alias("depends"))
     results = conversations.where("role = 'user' and turn > 0").select(conv.alias("conv_id"), turn.alias("turn"), name_of(turn - 1).alias("call_id"), text.alias("content"))
@@ -155,28 +180,40 @@ def derived(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op4: one row per conversation that has a call or a result."""
+    """op4: one row per distinct call, and per distinct result without a call."""
     calls, results = derived(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
-    return conversations_json(link(calls, results))
+    return records(link(calls, results), Scratch(spark, "tool-calls"))
 
 
 ORACLE = """
-WITH t AS (SELECT coalesce(conv_id::VARCHAR, 'null') AS conv_id, coalesce(turn, -1) AS turn, role, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM conversations),
-calls AS (SELECT conv_id, turn, conv_id || '-' || turn AS id, ['search', 'summarize', 'translate'][1 + (turn // 2) % 3] AS name, text, n FROM t WHERE role = 'assistant'),
-results AS (SELECT conv_id, turn, conv_id || '-' || (turn - 1) AS id, text FROM t WHERE role = 'user' AND turn > 0),
-call AS (SELECT c.*, CASE WHEN turn % 8 = 1 AND EXISTS (SELECT 1 FROM calls o WHERE o.conv_id = c.conv_id AND o.turn = c.turn + 2) THEN turn + 2.5 ELSE turn END AS place,
-  CASE name WHEN 'search' THEN '{"limit":' || (n % 25) || ',"query":' || to_json(split_part(text, chr(10), 1)) || '}'
+WITH t AS (SELECT conv_id::VARCHAR AS conv_id, coalesce(turn, -1) AS turn, role, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM conversations),
+said AS (SELECT conv_id, turn, conv_id || '-' || turn AS id, ['search', 'summarize', 'translate'][1 + (floor(turn / 2)::BIGINT % 3 + 3) % 3] AS name, text, n, count(*) AS copies FROM t WHERE role = 'assistant' GROUP BY ALL),
+checked AS (SELECT conv_id, turn, id, name, copies,
+  CASE name WHEN 'search' THEN '{"limit":' || (n % 25) || ',"query":' || to_json(text) || '}'
             WHEN 'summarize' THEN '{"max_words":' || (n % 30) || CASE WHEN n % 7 > 0 THEN ',"text":' || to_json(text) ELSE '' END || '}'
             ELSE '{"target":"' || ['de', 'en', 'es', 'fr', 'xx'][1 + n % 5] || '","text":' || to_json(text) || '}' END AS arguments,
   CASE name WHEN 'search' THEN CASE WHEN n % 25 BETWEEN 1 AND 20 THEN [] ELSE ['range:limit'] END
             WHEN 'summarize' THEN list_concat(CASE WHEN n % 30 >= 10 THEN [] ELSE ['range:max_words'] END, CASE WHEN n % 7 > 0 THEN [] ELSE ['missing:text'] END)
-            ELSE CASE WHEN n % 5 < 4 THEN [] ELSE ['enum:target'] END END AS errors FROM calls c),
-both_sides AS (SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, c.id IS NOT NULL AS is_call, c.turn, c.place, c.errors, r.text AS result,
-  '{"arguments":' || c.arguments || ',"errors":[' || list_aggregate(list_transform(c.errors, lambda x: '"' || x || '"'), 'string_agg', ',') || '],"id":"' || c.id || '","name":"' || c.name || '","result":' || coalesce(to_json(r.text)::VARCHAR, 'null') || '}' AS faulty,
-  '{"arguments":' || c.arguments || ',"errors":[],"id":"' || c.id || '","name":"' || c.name || '","result":' || coalesce(to_json(r.text)::VARCHAR, 'null') || '}' AS clean
-  FROM call c FULL JOIN results r ON c.id = r.id)
-SELECT conv_id, count(*) FILTER (is_call) AS n_calls, count(*) FILTER (is_call AND result IS NOT NULL) AS n_linked, count(*) FILTER (NOT is_call) AS n_orphans,
-  count(*) FILTER (is_call AND len(errors) > 0) AS n_invalid, false AS cyclic, coalesce(string_agg(turn::VARCHAR, ',' ORDER BY place) FILTER (is_call), '') AS call_order,
-  '{"calls":[' || coalesce(string_agg(CASE WHEN len(errors) > 0 THEN faulty ELSE clean END, ',' ORDER BY place) FILTER (is_call), '') || '],"conversation":"' || conv_id || '"}' AS record
-FROM both_sides GROUP BY conv_id
+            ELSE CASE WHEN n % 5 < 4 THEN [] ELSE ['enum:target'] END END AS wrong FROM said),
+calls AS (SELECT *, id IS NOT NULL AND row_number() OVER (PARTITION BY conv_id, id ORDER BY md5(arguments)) = 1 AS holder FROM checked),
+answers AS (SELECT conv_id, turn, conv_id || '-' || (turn - 1) AS id, text, count(*) AS copies FROM t WHERE role = 'user' AND turn > 0 GROUP BY ALL),
+results AS (SELECT *, id IS NOT NULL AND row_number() OVER (PARTITION BY conv_id, id ORDER BY turn, md5(text)) = 1 AS first FROM answers),
+holders AS (SELECT conv_id, turn FROM calls WHERE holder),
+fifth AS (SELECT conv_id, turn, turn % 8 = 5 AND EXISTS (SELECT 1 FROM holders o WHERE o.conv_id = h.conv_id AND o.turn = h.turn - 2) AS waits FROM holders h),
+level AS (SELECT c.*, CASE turn % 8
+  WHEN 1 THEN EXISTS (SELECT 1 FROM holders o WHERE o.conv_id = c.conv_id AND o.turn = c.turn + 2)::INT
+  WHEN 5 THEN EXISTS (SELECT 1 FROM holders o WHERE o.conv_id = c.conv_id AND o.turn = c.turn - 2)::INT
+  WHEN 6 THEN EXISTS (SELECT 1 FROM holders o WHERE o.conv_id = c.conv_id AND o.turn = c.turn - 2)::INT
+  WHEN 7 THEN coalesce((SELECT 1 + waits::INT FROM fifth o WHERE o.conv_id = c.conv_id AND o.turn = c.turn - 2), 0)
+  ELSE 0 END AS level FROM calls c),
+rows_ AS (
+  SELECT 'call' AS kind, c.conv_id, c.turn, c.id, c.name, c.arguments, list_concat(CASE WHEN c.conv_id IS NULL THEN ['conversation'] WHEN NOT holder THEN ['duplicate'] ELSE [] END, c.wrong) AS errors,
+    r.text AS result, c.copies, coalesce(r.copies, 0) AS result_copies, level
+  FROM level c LEFT JOIN results r ON c.holder AND r.first AND r.conv_id = c.conv_id AND r.id = c.id
+  UNION ALL SELECT 'orphan', r.conv_id, r.turn, r.id, NULL, 'null', ['orphan'], r.text, r.copies, r.copies, 0 FROM results r
+  WHERE NOT (first AND EXISTS (SELECT 1 FROM calls c WHERE c.holder AND c.conv_id = r.conv_id AND c.id = r.id)))
+SELECT conv_id, level, turn, id AS call_id, kind, result IS NOT NULL AS has_result, len(errors)::INT AS n_errors, false AS cyclic, copies, result_copies,
+  '{"arguments":' || arguments || ',"conversation":' || coalesce('"' || conv_id || '"', 'null') || ',"errors":[' || coalesce(list_aggregate(list_transform(errors, lambda x: '"' || x || '"'), 'string_agg', ','), '')
+  || '],"id":' || coalesce('"' || id || '"', 'null') || ',"level":' || level || ',"name":' || coalesce('"' || name || '"', 'null') || ',"result":' || coalesce(to_json(result)::VARCHAR, 'null') || ',"turn":' || turn || '}' AS record
+FROM rows_
 """

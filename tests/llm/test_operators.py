@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -15,6 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from folioweave.llm import bpe, media, mixing, pii, pu_quality, quality_rules, queries, secrets, simhash, tool_calls, warc
+from folioweave.llm.common import Scratch
 from tests.oracle import connect, difference
 
 SF = "/root/testdata/sf0.001"
@@ -244,22 +246,50 @@ def test_pu_risk_learns_without_negatives():
 
 
 def test_tool_calls(spark, tricky):
-    rows = {r.conv_id: r for r in queries.QUERIES["op4_chat_formatting"](spark, tricky).collect()}
-    assert rows["1"].n_calls == 1 and rows["1"].n_linked == 1 and rows["2"].n_orphans == 1 and rows["null"].n_calls == 1
-    df = queries.QUERIES["op4_chat_formatting"](spark, SF)
-    assert difference(df, connect(SF), queries.ORACLES["op4_chat_formatting"]) == ""
+    rows = queries.QUERIES["op4_chat_formatting"](spark, tricky).collect()
+    assert [(r.kind, r.copies, r.n_errors) for r in rows if r.conv_id is None] == [("call", 1, 1)]
+    assert sorted((r.kind, "duplicate" in r.record) for r in rows if r.conv_id == "1") == [("call", False), ("call", True)]
+    assert [r.kind for r in rows if r.conv_id == "2"] == ["orphan"]
+    for folder in (SF, "/root/testdata/sf0.01"):
+        assert difference(queries.QUERIES["op4_chat_formatting"](spark, folder), connect(folder), queries.ORACLES["op4_chat_formatting"]) == ""
+    con = duckdb.connect()
+    con.register("conversations", spark.read.parquet(f"{tricky}/conversations.parquet").toPandas().astype({"conv_id": "Int64", "turn": "Int64"}))
+    assert difference(queries.QUERIES["op4_chat_formatting"](spark, tricky), con, queries.ORACLES["op4_chat_formatting"]) == ""
+
+
+CALLS = "conv_id string, turn long, call_id string, name string, arguments string, depends array<string>"
+RESULTS = "conv_id string, turn long, call_id string, content string"
+
+
+def chat(spark, calls, results):
+    linked = tool_calls.link(spark.createDataFrame(calls, CALLS), spark.createDataFrame(results, RESULTS))
+    return [(r, json.loads(r.record)) for r in tool_calls.records(linked, Scratch(spark, "test")).collect()]
 
 
 def test_tool_call_errors_and_cycles(spark):
     args = ['{"query":"q","limit":3}', '{"limit":"3","query":1}', '{"query":"q","limit":99,"z":1,"a":2}', "[1]", "{bad", '{"b":1,"query":"x\\u00e9","a":{"d":1,"c":[2,1]}}', None]
-    calls = spark.createDataFrame([("c", i, f"c-{i}", "search", a, [f"c-{(i + 1) % 3}"] if i < 3 else []) for i, a in enumerate(args)] + [("c", 9, "c-9", "fly", "{}", ["elsewhere"])], "conv_id string, turn long, call_id string, name string, arguments string, depends array<string>")
-    linked = tool_calls.link(calls, spark.createDataFrame([("c", 1, "c-0", "r1"), ("c", 0, "c-0", "r0")], "conv_id string, turn long, call_id string, content string"))
-    found = {r.call.id: r.call for r in linked.collect()}
-    assert [found[f"c-{i}"].errors for i in range(5)] == [[], ["type:limit", "type:query"], ["range:limit", "unknown:a", "unknown:z"], ["json"], ["json"]]
-    assert found["c-9"].errors == ["tool"] and found["c-6"].errors == ["json"] and found["c-0"].result == "r0"
-    assert found["c-5"].arguments == '{"a":{"c":[2,1],"d":1},"b":1,"query":"xé"}'
-    row = tool_calls.conversations_json(linked).first()
-    assert row.cyclic and row.call_order == "3,4,5,6,9,0,2,1"
+    calls = [("c", i, f"c-{i}", "search", a, [f"c-{(i + 1) % 3}"] if i < 3 else []) for i, a in enumerate(args)] + [("c", 9, "c-9", "fly", "{}", ["elsewhere"])]
+    rows = chat(spark, calls, [("c", 1, "c-0", "r1"), ("c", 0, "c-0", "r0")])
+    found = {d["id"]: d for r, d in rows if r.kind == "call"}
+    assert [found[f"c-{i}"]["errors"] for i in range(5)] == [[], ["type:limit", "type:query"], ["range:limit", "unknown:a", "unknown:z"], ["json"], ["json"]]
+    assert found["c-9"]["errors"] == ["tool"] and found["c-6"]["errors"] == ["json"] and found["c-0"]["result"] == "r0"
+    assert [d["result"] for r, d in rows if r.kind == "orphan"] == ["r1"]
+    assert any('"arguments":{"a":{"c":[2,1],"d":1},"b":1,"query":"xé"}' in r.record for r, _ in rows)
+    # c-0 waits for c-1, c-1 for c-2, c-2 for c-0: the first two wait for later ones and are freed
+    assert {d["id"]: (r.level, r.cyclic) for r, d in rows if r.kind == "call" and d["id"] < "c-3"} == {"c-0": (0, True), "c-1": (0, True), "c-2": (1, False)}
+
+
+def test_levels_equal_longest_paths(spark):
+    r = random.Random(12)
+    calls = [("k" if i % 3 else "m", i, f"x{i}", "search", '{"query":"q"}', [f"x{j}" for j in r.sample(range(60), r.randint(0, 3)) if j < i] + ["none"]) for i in range(60)]
+    r.shuffle(calls)
+    by_id = {c[2]: c for c in calls}
+
+    def level(c):
+        return max((1 + level(by_id[d]) for d in c[5] if d in by_id and by_id[d][0] == c[0]), default=0)
+
+    got = {d["id"]: (row.level, row.cyclic) for row, d in chat(spark, calls, [])}
+    assert got == {c[2]: (level(c), False) for c in calls} and max(v for v, _ in got.values()) >= 2
 
 
 def test_warc(spark, tricky):
