@@ -5,8 +5,9 @@ their label.  With prior p, positive risk R_P+ and the risks R_P-, R_U- of calli
 minimises  p R_P+ + max(0, R_U- - p R_P-)  by gradient descent; where the second term is negative, its gradient is turned round.
 The model is linear over dense text features (FEATURES) under the logistic loss, so the score is a probability.
 
-The prior is estimated as the share of quality 1 among labelled training rows (labels are a random part of the web text).  Only
-rows whose crc32(doc_id as text) mod 4 is not 2 are learnt from, as positives and as unlabelled.  The fit takes at most SAMPLE
+The prior is estimated from positives and unlabelled rows alone: a linear model tells the two apart on one half of each; on the other half, the share of
+unlabelled rows above a score, over that of positives above it, bounds the prior from above at every score.  The estimate is the least such bound, each
+widened by what chance allows (prior_of).  Only rows whose crc32(doc_id as text) mod 4 is not 2 are learnt from, as positives and as unlabelled.  The fit takes at most SAMPLE
 rows of each kind, those whose ids hash lowest; scores are given to every row.
 
 Defined cases: null and empty texts get the score of the all-zero counts; without positives the score is the prior everywhere (0.5 if
@@ -24,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import hashed_sample, table
 
 SAMPLE = 6_000
 ROUNDS, RATE, RIDGE = 800, 0.05, 1e-3
 CUT = 0.7
+#: Chance that a bound on the prior fails.
+CONFIDENCE = 0.1
 HELD_OUT = 2
 FEATURES = (
     "log_words", "mean_word", "upper_words", "symbols", "bangs", "digits", "distinct", "stops", "repeat_lines", "repeat_grams", "words_per_line",
@@ -78,8 +81,8 @@ def constant(prior: float) -> Model:
     return Model((0.0,) * k, float(np.log(p / (1 - p))), (0.0,) * k, (1.0,) * k)
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = ROUNDS) -> Model:
-    """Minimises the non-negative unbiased risk (full batches, Adam steps)."""
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = ROUNDS, separate: bool = False) -> Model:
+    """Minimises the non-negative unbiased risk (full batches, Adam steps); with `separate`, the plain logistic risk of telling the two sets apart."""
     mean, scale = unlabelled.mean(axis=0), unlabelled.std(axis=0) + 1e-3
     p, u = (np.clip((x - mean) / scale, -8, 8) for x in (positive, unlabelled))
     theta = np.zeros(p.shape[1] + 1)
@@ -91,8 +94,9 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int
         zp, zu = p @ theta, u @ theta
         sp, su = 1 / (1 + np.exp(-zp)), 1 / (1 + np.exp(-zu))
         # logistic loss: l(z, +) = log(1 + e^-z), with derivative s - 1; l(z, -) = log(1 + e^z), with derivative s
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        slope = (u * su[:, None]).mean(axis=0) - prior * (p * sp[:, None]).mean(axis=0)
+        off = 0.0 if separate else prior
+        negative = np.logaddexp(0, zu).mean() - off * np.logaddexp(0, zp).mean()
+        slope = (u * su[:, None]).mean(axis=0) - off * (p * sp[:, None]).mean(axis=0)
         grad = prior * (p * (sp - 1)[:, None]).mean(axis=0) + slope if negative >= 0 else -slope
         grad[:-1] += RIDGE * theta[:-1]
         first = 0.9 * first + 0.1 * grad
@@ -101,6 +105,19 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int
     return Model(tuple(map(float, theta[:-1])), float(theta[-1]), tuple(map(float, mean)), tuple(map(float, scale)))
 
 
+def prior_of(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives among the unlabelled, from 0.02 to 0.98."""
+    apart = fit(positive[::2], unlabelled[::2], 0.5, separate=True)
+    p, u = (apart.scores(x if len(x) else y) for x, y in ((positive[1::2], positive), (unlabelled[1::2], unlabelled)))
+    at = np.unique(p)
+    above = lambda s: 1 - np.searchsorted(np.sort(s), at, side="left") / len(s)
+    slack = sum(np.sqrt(np.log(4 / CONFIDENCE) / (2 * len(s))) for s in (p, u))
+    enough = above(p) > 0
+    a, b = above(p)[enough], above(u)[enough]
+    best = int(np.argmin((b + slack) / a))
+    return float(min(max(b[best] / a[best], 0.02), 0.98))
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == HELD_OUT, F.lit(True))
 
@@ -112,8 +129,9 @@ def to_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def gathered(rows: DataFrame, sample: int) -> np.ndarray:
     """Features of rows(order, text), at most `sample` of them, in an order of their own."""
-    found = sorted((r.order, list(r.x)) for r in rows.mapInArrow(to_features, "order long, x array<double>").limit(2 * sample).collect())
-    return np.array([x for _, x in found[:sample]]) if found else np.empty((0, len(FEATURES)))
+    each = rows.mapInArrow(to_features, "order long, x array<double>").groupBy("order").agg(F.min("x").alias("x"))  # one row for each id
+    found = each.orderBy("order").limit(sample).collect()
+    return np.array([r.x for r in found]) if found else np.empty((0, len(FEATURES)))
 
 
 def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -123,12 +141,11 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mode
     if not n:
         return constant(0.5)
     learnt = documents.select("doc_id", "text").where(~held_out(F.col("doc_id")))
-    by_hash = lambda df, seed: df.select("doc_id", F.xxhash64("doc_id", F.lit(seed)).alias("order")).orderBy("order", "doc_id").limit(sample)
+    by_hash = lambda df, seed: hashed_sample(df.select("doc_id"), ["doc_id"], sample, seed)
     # Both lists are bounded by `sample`, so they may be broadcast.
     trusted = gathered(learnt.join(F.broadcast(by_hash(known.where("quality = 1"), 1)), "doc_id").select("order", "text"), sample)
     web = gathered(learnt.join(F.broadcast(by_hash(learnt.select("doc_id"), 2)), "doc_id").select("order", "text"), sample)
-    prior = min(max(share, 0.02), 0.98)
-    return fit(trusted, web, prior) if len(trusted) and len(web) else constant(share)
+    return fit(trusted, web, prior_of(trusted, web)) if len(trusted) and len(web) else constant(share)
 
 
 def with_scores(docs: DataFrame, model: Model) -> DataFrame:
