@@ -3,7 +3,7 @@
 Base kinds (patterns, leftmost non-overlapping, failing matches dropped): assign, access, hex.
 Method kinds: entropy_hex and entropy_b64.  Maximal runs of a character class of at least WINDOW characters are
 candidates; a window of WINDOW characters slides over each, its character counts are kept by adding what enters and taking off
-what leaves (in constant work, see hot_windows), and with them the sum of c*log2(c), in millionths, so that every engine gets the same integers.  Windows whose
+what leaves (in constant work, see hot_in), and with them the sum of c*log2(c), in millionths, so that every engine gets the same integers.  Windows whose
 entropy reaches the class's threshold are merged into spans.  A candidate on the allow-list, and a
 span that a base span covers already, is suppressed.
 
@@ -56,7 +56,7 @@ def sum_limit(window: int, bits: float) -> int:
 BITS, PER_WORD = 5, 12
 
 
-def hot_windows(characters: Column, alphabet: str, window: int, bits: float) -> Column:
+def hot_in(characters: Column, alphabet: str, window: int, bits: float) -> Column:
     """Merged windows of an array of characters (offsets in it) whose entropy reaches bits: array<struct<start:int,end:int>>.
 
     The counts of a window's characters are fields of a few whole numbers, so that a step adds what enters and takes off what leaves in constant work.
@@ -103,13 +103,22 @@ def hot_windows(characters: Column, alphabet: str, window: int, bits: float) ->
     return let(codes, lambda a: let(sums, lambda t: let(units, lambda u: slide(a, t, u))))
 
 
+def characters_of(value: Column) -> Column:
+    return F.slice(F.split(value, ""), F.lit(1), F.length(value))
+
+
+def hot_windows(value: Column, alphabet: str, window: int, bits: float) -> Column:
+    """hot_in() of a string."""
+    return let(characters_of(value), lambda cs: hot_in(cs, alphabet, window, bits))
+
+
 def in_candidate(kind: str, rank: int, alphabet: str, bits: float):
     def spans(m: Column) -> Column:
         def cut(cs: Column) -> Column:
             at = lambda w: span(m.start + w.start, m.start + w.end, rank, kind, F.array_join(F.slice(cs, w.start + 1, w.end - w.start), ""))
-            return F.transform(hot_windows(cs, alphabet, WINDOW, bits), at)
+            return F.transform(hot_in(cs, alphabet, WINDOW, bits), at)
 
-        return let(F.slice(F.split(m.value, ""), F.lit(1), F.length(m.value)), cut)
+        return let(characters_of(m.value), cut)
 
     return spans
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import json
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -129,6 +131,24 @@ def test_entropy_windows_equal_brute_force(spark):
         assert [[w.start, w.end] for w in row.w] == merged
 
 
+@pytest.mark.parametrize("kind", ["hyphens", "base64", "addresses", "passwords"])
+def test_long_texts_take_linear_time(spark, tmp_path, kind):
+    r = random.Random(9)
+    text = {
+        "hyphens": "ab-" * 40_000, "base64": "".join(r.choices(secrets.CLASSES["entropy_b64"][1], k=300_000)), "addresses": "ab@c.de " * 30_000, "passwords": "password=abcdefgh1 " * 20_000,
+    }[kind]
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    began = time.monotonic()
+    found = {n: queries.QUERIES[n](spark, str(tmp_path)).first() for n in ("op1_secret_scans", "op9_pii")}
+    assert found["op9_pii"].n_email == text.count("@") and found["op1_secret_scans"].n_assign == text.count("password")
+    assert ("entropy_b64" in found["op1_secret_scans"].spans) == (kind == "base64")
+    if kind in ("passwords", "addresses"):
+        out = (secrets.redact_documents if kind == "passwords" else pii.mask_documents)(docs).first().text
+        assert out in ("[SECRET] " * 20_000, "[PII] " * 30_000)
+    assert time.monotonic() - began < 90
+
+
 def test_redaction_keeps_every_document(spark, tricky):
     docs = spark.read.parquet(f"{tricky}/documents.parquet")
     out = secrets.redact_documents(docs)
@@ -238,6 +258,84 @@ def test_quality_labels_are_met(spark):
     assert np.mean([g > b for g in good for b in bad]) > 0.95
 
 
+def test_training_slopes_equal_numeric_ones():
+    r = np.random.default_rng(5)
+    k = len(quality_rules.FEATURES)
+    docs = [([int(b) for b in r.integers(0, 2**k, n)], [int(x) for x in r.integers(5, 60, n)], int(y)) for n, y in zip(r.integers(1, 7, 12), r.integers(0, 2, 12), strict=True)]
+    lines, w, t, tilt = quality_rules.lines_of(docs, 0.4), r.normal(0, 0.5, k), r.normal(0, 0.5, (2, 2)), r.normal(0, 1, 12)
+    _, slope, slope_t, share = quality_rules.gain(lines, w, t, tilt)
+    for i in range(k):
+        d = np.zeros(k)
+        d[i] = 1e-2
+        assert abs((quality_rules.gain(lines, w + d, t, tilt)[0] - quality_rules.gain(lines, w - d, t, tilt)[0]) / 2e-2 - slope[i]) < 2e-3
+    for a, b in ((0, 0), (0, 1), (1, 0), (1, 1)):
+        d = np.zeros((2, 2))
+        d[a, b] = 1e-3
+        assert abs((quality_rules.gain(lines, w, t + d, tilt)[0] - quality_rules.gain(lines, w, t - d, tilt)[0]) / 2e-3 - slope_t[a, b]) < 1e-3
+    for j, (n, own) in enumerate(zip(lines.lengths, tilt, strict=True)):  # shares by enumeration of all labellings
+        e = lines.x[:n, j] @ w + own
+        odds = {y: np.exp(sum(x for x, l in zip(e, y, strict=True) if l) + sum(t[a, b] for a, b in zip(y, y[1:], strict=False))) for y in itertools.product((0, 1), repeat=n)}  # noqa: E741
+        assert abs(sum(v * np.dot(y, lines.sizes[:n, j]) for y, v in odds.items()) / sum(odds.values()) - share[j]) < 1e-4
+
+
+def test_planted_boilerplate_in_good_documents_is_found(spark):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    field = quality_rules.train(docs, labels)
+    quality = {r.doc_id: r.quality for r in labels.collect()}
+    known = [(quality[r.doc_id], [x for x in r.text.split("\n") if x.split()]) for r in docs.collect() if r.doc_id in quality]
+    junk = [x for q, rows in known if not q for x in rows if any(m in x for m in ("!! ", "|", "***", "&&&", "###", "$$$", "%%%"))]
+    junk += ["Copyright 2020 A Company. All rights reserved.", "Home | About | Contact | Login", "Accept cookies to continue", "Click here to read more >>", "Subscribe to our newsletter!"] * 40
+    rnd, planted, content = random.Random(1), [], []
+    for rows in [rows for q, rows in known if q and len(rows) > 3][:60]:
+        mixed = [(x, p) for i, x in enumerate(rows) for x, p in ([(x, 0)] if i % 2 else [(x, 0), (rnd.choice(junk), 1)])]
+        bits = quality_rules.describe("\n".join(x for x, _ in mixed))[5]
+        for (_, p), label in zip(mixed, quality_rules.viterbi(field, quality_rules.emissions(field, bits)), strict=True):
+            (planted if p else content).append(label)
+    assert len(planted) > 100 and np.mean(planted) > 0.95 and np.mean(content) < 0.05
+
+
+@pytest.mark.parametrize("prior", [0.15, 0.4, 0.8])
+def test_prior_is_found_without_negatives(prior):
+    r = np.random.default_rng(7)
+    n = int(4_000 * prior)
+    positive, unlabelled = r.normal(1.5, 1, (3_000, 3)), np.vstack((r.normal(1.5, 1, (n, 3)), r.normal(-1.5, 1, (4_000 - n, 3))))
+    assert abs(pu_quality.prior_of(positive, unlabelled[r.permutation(4_000)]) - prior) < 0.06
+
+
+def test_quality_scores_equal_plain_arithmetic(spark, tricky):
+    docs, labels = spark.read.parquet(f"{tricky}/documents.parquet"), spark.read.parquet(f"{tricky}/labels.parquet")
+    model = pu_quality.train(docs, labels)
+    for text, r in rows_by_text(spark, tricky, "op5_quality_classifier"):
+        x = [max(-8, min(8, (v - m) / s)) for v, m, s in zip(plain_features(text or ""), model.mean, model.scale, strict=True)]
+        score = 1 / (1 + np.exp(-max(-30, min(30, sum(a * b for a, b in zip(x, model.weights, strict=True)) + model.bias))))
+        assert abs(r.score - score) < 1e-9 and r.predicted == (r.score >= 0.7)
+
+
+def plain_features(text):
+    """FEATURES of a text, by loops over words and characters."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if x.strip()]
+    n, size, low = max(1, len(words)), max(1, len(text)), [w.lower() for w in words]
+    grams = [tuple(low[i : i + 4]) for i in range(len(low) - 3)]
+    upper = len([w for w in words if len(w) > 1 and w.isupper()]) / n
+    runs, i = 0, 0
+    while i < len(text):  # runs of two or more equal characters that are no letter, digit, blank, underscore or full stop
+        j = i
+        while j < len(text) and text[j] == text[i]:
+            j += 1
+        runs += j - i > 1 and not (text[i].isalnum() or text[i] in "_." or text[i].isspace() or re.match(r"\w", text[i]) is not None)
+        i = j
+    pipes = text.count("|") / n
+    ends = len(re.findall(r"[.?]+(?=\s|\Z)", text))
+    tail = sum(1 for w in words if not (re.match(r"\w", w[-1]) or w[-1] in ".,;:!?\"')-"))
+    return [
+        np.log1p(len(words)), sum(len(w) for w in words) / n / 10, upper, sum(text.count(c) for c in "#*$%&|<>{}[]\\^~_=") / size * 10, text.count("!") / n, sum(text.count(c) for c in "0123456789") / size * 10,
+        len(set(low)) / n, len([w for w in words if len(w) <= 3]) / n, 1 - len(set(lines)) / max(1, len(lines)), 1 - len(set(grams)) / max(1, len(grams)), np.log1p(n / max(1, len(lines))) / 5,
+        ends / n * 5, runs / n, pipes, tail / n, len([c for c in text if ord(c) > 127]) / size, float(upper > 0.2), float(runs / n > 0.05), float(pipes > 0.05),
+    ]
+
+
 def test_pu_risk_learns_without_negatives():
     r = np.random.default_rng(3)
     positive, unlabelled = r.normal(1, 1, (500, 3)), np.vstack((r.normal(1, 1, (300, 3)), r.normal(-2, 1, (700, 3))))
@@ -384,6 +482,13 @@ def test_media(spark, tricky):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
         whole = b"P5\n64 %d\n255\n" % (len(payload) // 64) + payload
         assert (r.media_bytes, r.media_sha256) == (len(whole), hashlib.sha256(whole).hexdigest())
+        steps = sum(abs(a - b) for a, b in zip(payload, payload[1:], strict=False))
+        gear, chunks, start, h = media.gear_table(), 1, 0, 0
+        for i, byte in enumerate(whole[:-1]):  # a rolling hash, cut by cut
+            h = (h * 2 + int(gear[byte])) % 2**32
+            if i + 1 - start >= media.LEAST and len(whole) - start > media.LEAST and (h >> (32 - media.CUT_BITS) == 0 or i + 1 - start == media.MOST):
+                chunks, start = chunks + 1, i + 1
+        assert r.feature == f"{len(payload) // 64}:{1000 * sum(payload) // len(payload)}:{min(payload)}:{max(payload)}:{len(set(payload))}:{1000 * steps // (len(payload) - 1)}:{chunks}"
 
 
 def test_gear_cuts_equal_a_rolling_loop_and_survive_an_insertion():

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import pathlib
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from folioweave.llm import media, pii, queries, simhash, tool_calls
+from folioweave.llm import bpe, media, pii, queries, simhash, tool_calls
+from folioweave.llm.common import Scratch
 
 
 def test_isolated_pairs_at_one_cut_anchor_stay_linked(spark, monkeypatch):
@@ -36,6 +39,45 @@ def test_calls_of_other_conversations_and_calls_without_an_identifier_stay(spark
     ], key=str)
 
 
+def test_components_are_the_same_however_anchors_are_cut(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    found = []
+    for block in (3, 20_000):
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        found.append(sorted(map(tuple, simhash.near_duplicates(docs).collect())))
+    assert found[0] == found[1]
+
+
+def test_of_rows_with_one_id_the_least_stays(spark):
+    docs = spark.createDataFrame([(1, "b", 2), (1, "a", 9), (1, None, 5), (None, "a", 1)], "doc_id long, text string, n long").repartition(3)
+    kept = sorted((r.doc_id is None, r.text, r.n) for r in simhash.deduplicate_documents(docs).collect())
+    assert kept == [(False, None, 5), (True, "a", 1)]
+
+
+def test_tokens_keep_the_order_of_files_and_equal_long_texts_meet(spark, tmp_path):
+    rng = random.Random(2)
+    long = ["x" * 40_000, " ".join("".join(rng.choices("abcdef", k=5)) for _ in range(9_000))]
+    rows = [(i, long[i % 2] if i % 7 == 0 else f"short text {i}") for i in range(60)]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartitionById(4, F.pmod("doc_id", F.lit(4)).cast("int"))
+    docs.write.parquet(f"{tmp_path}/docs")
+    own = bpe.codec(bpe.default_path())
+    written = [r for i in range(4) for f in sorted(tmp_path.glob(f"docs/part-0000{i}*")) for r in spark.read.parquet(str(f)).collect()]
+    got = bpe.token_files(spark.read.parquet(f"{tmp_path}/docs"), bpe.default_path()).collect()
+    assert [(r.doc_id, list(r.ids)) for r in got] == [(r.doc_id, own.encode(r.text)) for r in written]
+
+
+def test_scratch_is_cleared_by_its_owner(spark):
+    scratch = Scratch(spark, "test")
+    a, b = scratch.written(spark.range(3), "a"), scratch.written(spark.range(4), "b")
+    local = pathlib.Path(scratch.path.removeprefix("file:"))
+    assert len(list(local.iterdir())) == 2
+    scratch.drop(a)
+    assert len(list(local.iterdir())) == 1 and b.count() == 4
+    scratch.clear()
+    assert not local.exists() and scratch not in Scratch.live
+
+
 def test_short_media_share_the_chunks_of_a_common_passage(spark, tmp_path):
     rng = random.Random(6)
     words = lambda n: " ".join("".join(rng.choices("etaoinshrdlu", k=5)) for _ in range(n))
