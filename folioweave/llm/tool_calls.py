@@ -71,21 +71,17 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, tupl
     results(conv_id, turn, call_id, content).  Columns: kind (call or orphan), conv_id, call_id, turn, name, args (canonical JSON), depends, errors,
     result, copies, node (a key of the row), holder (whether others can name it as a dependency).
     """
-    key, has_key = ["conv_id", "call_id"], F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
-    # Counted map-side first, so that repeats, null keys among them, are few rows.
-    calls = calls.groupBy(*key, "turn", "name", "arguments", "depends").agg(F.count("*").alias("copies"))
-    results = results.groupBy(*key, "turn", "content").agg(F.count("*").alias("copies"))
-    calls = calls.withColumn("tag", F.struct("turn", "name", F.md5(F.coalesce("arguments", F.lit(""))), F.to_json(F.struct("depends"))))
-    results = results.withColumn("tag", F.struct("turn", F.md5(F.coalesce("content", F.lit("")))))
+    key = ["conv_id", "call_id"]
+    call_tag = F.struct("turn", "name", F.md5(F.coalesce("arguments", F.lit(""))), F.to_json(F.struct("depends")))
+    result_tag = F.struct("turn", F.md5(F.coalesce("content", F.lit(""))))
 
-    def first_of_key(df: DataFrame) -> DataFrame:
-        least = df.where(has_key).groupBy(*key).agg(F.min("tag").alias("least"))
-        return df.where(has_key).join(least, key).withColumn("first", F.col("tag") == F.col("least")).drop("least", "tag")
+    def counted(df: DataFrame, tag: Column, columns: list[str]) -> DataFrame:
+        """Equal rows with their number, counted map-side first; `first` marks the least of its key, never one with a null key."""
+        least = df.groupBy(*key).agg(F.min(tag).alias("least"))
+        rows = df.groupBy(*key, *columns).agg(F.count("*").alias("copies"))
+        return rows.join(least, key, "left").withColumn("first", F.coalesce(tag == F.col("least"), F.lit(False))).drop("least")
 
-    def without_key(df: DataFrame) -> DataFrame:
-        return df.where(~has_key).drop("tag").withColumn("first", F.lit(False))
-
-    calls, results = first_of_key(calls).unionByName(without_key(calls)), first_of_key(results).unionByName(without_key(results))
+    calls, results = counted(calls, call_tag, ["turn", "name", "arguments", "depends"]), counted(results, result_tag, ["turn", "content"])
     call = calls.select(*key, F.struct("turn", "name", "arguments", "depends", "copies").alias("c"), "first")
     result = results.select(*key, F.struct("turn", "content", "copies").alias("r"), "first")
     both = call.where("first").drop("first").join(result.where("first").drop("first"), key, "full").withColumn("holder", F.col("c").isNotNull())
@@ -156,7 +152,7 @@ def records(linked: DataFrame, scratch: Scratch) -> DataFrame:
         F.lit(',"turn":'), F.coalesce(F.col("turn").cast("string"), F.lit("null")), F.lit("}"),
     )
     made = placed.select("conv_id", "level", "turn", "call_id", "kind", F.col("result").isNotNull().alias("has_result"), F.size("errors").alias("n_errors"), "cyclic", "copies", "result_copies", record.alias("record"))
-    return scratch.written(made, "records").orderBy("conv_id", "level", "turn", "call_id", "record")
+    return made.orderBy("conv_id", "level", "turn", "call_id", "record")
 
 
 def derived(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
