@@ -11,7 +11,7 @@ from folioweave.operators import metrics as M
 from folioweave.operators import units as U
 from folioweave.sources import fixtures as S
 from folioweave.sources import layout_fixtures as G
-from folioweave.sources.tables import table
+from folioweave.sources.tables import load_layout, shared_folder, table
 
 from . import translation
 
@@ -24,7 +24,26 @@ def lines(spark: SparkSession, sf_dir: str, running: bool = True) -> DataFrame:
 
 
 def doc_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.doc_profile(G.spans(spark, sf_dir))
+    return L.doc_profile(G.spans(spark, sf_dir), G.page_sizes(spark, sf_dir))
+
+
+def layout_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans as a decoder would leave them, with another column and rows that are no spans, written and read by schema."""
+    given = G.spans(spark, sf_dir).withColumn("extra", F.lit("x"))
+    noise = given.where("span_no = 0").withColumns({"text": F.when(F.col("page") % 2 == 0, "").otherwise(F.lit(None)), "span_no": F.lit(99)})
+    path = shared_folder(spark, "spans")
+    given.unionByName(noise).write.parquet(path)
+    read = load_layout(spark, path, "spans")
+    blank = X.strip(F.col("text")) == ""
+    return read.groupBy("doc_id", "page").agg(F.count("*").alias("n"), F.count_if(blank).alias("n_blank"), F.sum("x1").alias("sum_x1"), F.countDistinct("line_id").alias("n_lines"), F.max("span_no").cast("long").alias("last"))
+
+
+def write_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two versions of the ranking are written; the latest comes back."""
+    path = shared_folder(spark, "speed")
+    for at in ("2024-01-30 00:00:00", NOW):
+        M.write_ranking(M.model_ranking(M.probe_stats(S.probes(spark, sf_dir))), path, at)
+    return M.latest_ranking(spark, path).withColumn("made_at", F.date_format("made_at", "yyyy-MM-dd HH:mm:ss"))
 
 
 def span_math(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +105,8 @@ def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "body_font": lambda s, d: L.body_font(G.spans(s, d)), "body_size": lambda s, d: L.body_size(G.spans(s, d)), "page_extent": lambda s, d: L.page_extent(G.spans(s, d)), "doc_profile": doc_profile,
+    "body_font": lambda s, d: L.body_font(G.spans(s, d)), "body_size": lambda s, d: L.body_size(G.spans(s, d)), "page_extent": lambda s, d: L.page_extent(G.spans(s, d), G.page_sizes(s, d)), "doc_profile": doc_profile,
+    "layout_source": layout_source, "write_speed": write_speed,
     "scan_page": scan_page, "scan_ratio": lambda s, d: L.scan_ratio(scan_page(s, d)), "route_docs": lambda s, d: L.route(L.scan_ratio(scan_page(s, d))),
     "font_family": lambda s, d: G.spans(s, d).groupBy("doc_id", X.font_family(F.col("font")).alias("family")).agg(F.count("*").alias("n")), "span_math": span_math,
     "norm_edge_text": lambda s, d: lines(s, d).select("doc_id", "page", "line_id", X.edge_text(F.col("text")).alias("norm")), "repeated_edge_lines": lambda s, d: L.repeated_edge_lines(lines(s, d)),
@@ -103,6 +123,7 @@ FAMILY = "CASE WHEN font LIKE '%CMMI%' THEN 'CMMI' ELSE 'Helvetica' END"
 MODE = "SELECT doc_id, v AS {name} FROM (SELECT doc_id, {value} AS v, sum(length(trim(text))) AS n, min(row(page, y0, x0, line_id, span_no)) AS a FROM spans WHERE {full} GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, a) = 1"
 FONT, SIZE = MODE.format(name="body_font", value=FAMILY, full=FULL), MODE.format(name="body_size", value="size", full=FULL)
 EXTENT = "SELECT doc_id, min(x0) AS \"left\", min(y0) AS top, 595.0::DOUBLE - max(x1) AS \"right\", 842.0::DOUBLE - max(y1) AS bottom FROM lines GROUP BY doc_id"
+SIZED = "SELECT doc_id, min(x0) AS \"left\", min(y0) AS top, any_value(width) - max(x1) AS \"right\", any_value(height) - max(y1) AS bottom, any_value(width) AS width, any_value(height) AS height FROM lines JOIN (SELECT doc_id, width, height FROM page_sizes WHERE page = 0) USING (doc_id) GROUP BY doc_id"
 EDGES = """, edge AS (SELECT *, regexp_replace(regexp_replace(text, '[0-9]+', '#', 'g'), '\\s+', '', 'g') AS norm FROM lines),
 page_counts AS (SELECT doc_id, max(page) + 1 AS n_pages FROM lines GROUP BY doc_id),
 again AS (SELECT doc_id, norm, count(*) AS n FROM edge JOIN page_counts USING (doc_id) WHERE length(text) BETWEEN 1 AND 140 AND (y0 < 0.14 * 842 OR y0 > 0.86 * 842) GROUP BY doc_id, norm, n_pages HAVING count(*) >= greatest(2, floor(0.6 * n_pages))),
@@ -116,8 +137,11 @@ PARAS = BODY_LINES + """, lows AS (SELECT *, max(y1) OVER (PARTITION BY doc_id,
 paras AS (SELECT *, sum(CASE WHEN y0 - low > 5.5 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page ORDER BY y0, x0, line_id ROWS UNBOUNDED PRECEDING)::INT AS para, regexp_matches(ltrim(text), '^[•·]') AS dot, regexp_matches(ltrim(text), '^[•·]|^[0-9]{1,2}[.)、]\\s') AS bullet FROM lows),
 segments AS (SELECT *, sum(bullet::INT) OVER (PARTITION BY doc_id, page, para ORDER BY y0, x0, line_id ROWS UNBOUNDED PRECEDING)::INT AS segment FROM paras)"""
 SCANS = f", {G.IMAGES_SQL}, {G.PAGE_TEXT_SQL}"
-STATS = S.PROBES_SQL + """, stats AS (SELECT model, count(*) AS n, count(sec) AS n_ok, sum(sec) AS sum_sec, min(ttft) AS ttft, bool_or(timed_out) AS timed_out, max(err) AS err, count(*) FILTER (sec IS NOT NULL AND zh >= greatest(1, items - 1)) AS zh_ok FROM probes GROUP BY model),
-judged AS (SELECT *, n_ok > 0 AND zh_ok >= (n + 1) // 2 AND NOT timed_out AS ok FROM stats)"""
+STATS = S.PROBES_SQL + """, stats AS (SELECT model, count(*) AS n, count(sec) AS n_ok, sum(sec) AS sum_sec, min(ttft) AS ttft, bool_or(timed_out) AS timed_out, max(err) AS err, max(wall) AS wall, count(*) FILTER (sec IS NOT NULL AND zh >= greatest(1, items - 1)) AS zh_ok FROM probes GROUP BY model),
+judged AS (SELECT *, CASE WHEN n_ok > 0 THEN sum_sec / n_ok END AS sec, n_ok > 0 AND zh_ok >= (n + 1) // 2 AND NOT timed_out AS ok FROM stats)"""
+
+RANKED = """placed AS (SELECT model, ok, row_number() OVER (ORDER BY NOT ok, coalesce(sec, 9e9), model) AS place FROM judged),
+ranking AS (SELECT *, ok AND place = 1 AS best, ok AND place <= 6 AS listed FROM placed)"""
 
 REPORT = (
     "WITH RECURSIVE " + S.UNITS_SQL + f", {S.MEMORY_SQL}, {S.TRANSLATIONS_SQL}, given AS (SELECT doc_id, unit_no, value AS template FROM translations)" + translation.ITEMS_SQL.replace("FROM units", "FROM given")
@@ -130,8 +154,8 @@ SELECT source, doc_id, count(*) AS n_units, count(*) FILTER (illegal) AS illegal
 
 ORACLES = {
     "quality_report": REPORT,
-    "body_font": f"{WITH} {FONT}", "body_size": f"{WITH} {SIZE}", "page_extent": f"{WITH} {EXTENT}",
-    "doc_profile": f"{WITH}, f AS ({FONT}), z AS ({SIZE}), e AS ({EXTENT}), p AS (SELECT doc_id, max(page) + 1 AS n_pages FROM spans GROUP BY doc_id) SELECT * FROM p LEFT JOIN f USING (doc_id) LEFT JOIN z USING (doc_id) LEFT JOIN e USING (doc_id)",
+    "body_font": f"{WITH} {FONT}", "body_size": f"{WITH} {SIZE}", "page_extent": f"{WITH}, {G.SIZES_SQL} {SIZED}",
+    "doc_profile": f"{WITH}, {G.SIZES_SQL}, f AS ({FONT}), z AS ({SIZE}), e AS ({SIZED}), p AS (SELECT doc_id, max(page) + 1 AS n_pages FROM spans GROUP BY doc_id) SELECT * FROM p LEFT JOIN f USING (doc_id) LEFT JOIN z USING (doc_id) LEFT JOIN e USING (doc_id)",
     "scan_page": f"{WITH}{SCANS} SELECT * FROM scanned", "scan_ratio": f"{WITH}{SCANS} SELECT * FROM ratios", "route_docs": f"{WITH}{SCANS} SELECT doc_id, CASE WHEN ratio >= 0.6 THEN 'vision' ELSE 'layout' END AS route FROM ratios",
     "font_family": f"{WITH} SELECT doc_id, {FAMILY} AS family, count(*) AS n FROM spans GROUP BY ALL",
     "span_math": f"{WITH}, f AS ({FONT}) SELECT doc_id, page, count(*) AS n, count(*) FILTER (regexp_matches(text, '[·±×÷→]') OR (font LIKE '%CMMI%' AND body_font IS DISTINCT FROM 'CMMI')) AS n_math FROM spans LEFT JOIN f USING (doc_id) GROUP BY ALL",
@@ -147,7 +171,9 @@ ORACLES = {
     "fraction_words": f"{WITH}, {G.RULES_SQL} SELECT s.doc_id, s.page, s.line_id, s.span_no FROM body s WHERE regexp_matches(trim(text), '^[\\p{{L}}]+$') AND EXISTS (SELECT 1 FROM rules r WHERE r.doc_id = s.doc_id AND r.page = s.page AND r.y1 - r.y0 <= 2.6 AND r.x1 - r.x0 <= 3 * greatest(s.x1 - s.x0, 8) AND least(s.x1, r.x1) - greatest(s.x0, r.x0) >= 0.7::DOUBLE * (s.x1 - s.x0) AND (r.y0 - s.y1 BETWEEN -1.5 AND 4 OR s.y0 - r.y1 BETWEEN -1.5 AND 4))",
     "intake_validate": "WITH f AS (SELECT 'f' || doc_id || CASE WHEN doc_id % 10 = 9 THEN '.txt' WHEN doc_id % 10 = 8 THEN '.PDF' ELSE '.pdf' END AS path, n_chars * 20000 AS length, 1 + n_chars // 100 AS n_pages FROM documents) SELECT *, CASE WHEN lower(path) NOT LIKE '%.pdf' THEN 'type' WHEN length > 31457280 THEN 'size' WHEN n_pages > 60 THEN 'pages' END AS reason FROM f",
     "probe_stats": f"WITH {STATS} SELECT *, CASE WHEN timed_out THEN 'timeout' WHEN n_ok = 0 THEN err WHEN NOT ok THEN 'failed' ELSE '' END AS note FROM judged",
-    "model_ranking": f"WITH {STATS} SELECT model, ok, row_number() OVER (ORDER BY NOT ok, coalesce(sum_sec / n_ok, 9e9), model) AS place FROM judged",
+    "model_ranking": f"WITH {STATS}, {RANKED} SELECT * FROM ranking",
+    "write_speed": f"WITH {STATS}, {RANKED} SELECT *, '{NOW}' AS made_at, count(*) OVER () AS total, count(*) FILTER (ok) OVER () AS done FROM ranking",
+    "layout_source": f"{WITH} SELECT doc_id, page, count(*) AS n, count(*) FILTER (trim(text) = '') AS n_blank, sum(x1) AS sum_x1, count(DISTINCT line_id) AS n_lines, max(span_no)::BIGINT AS last FROM spans GROUP BY ALL",
     "stale_results": f"SELECT event_id, s AS stale, event_type = 'click' OR (s AND user_id % 3 = 0 AND event_type <> 'view') AS refresh FROM (SELECT *, epoch(TIMESTAMP '{NOW}') - floor(epoch(ts)) > 900 AS s FROM events)",
     "expired_jobs": f"SELECT event_id AS job_id FROM events WHERE event_type <> 'error' AND epoch(TIMESTAMP '{NOW}') - floor(epoch(ts)) > 7200",
     "lang_share": "WITH RECURSIVE " + S.UNITS_SQL + f", {S.TRANSLATIONS_SQL} SELECT doc_id, count(*) AS n, count(*) FILTER (regexp_matches(value, '[一-鿿]')) AS n_chinese FROM translations GROUP BY doc_id",

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from folioweave.functions import text as X
 from folioweave.operators import units as U
 from folioweave.sources import fixtures as S
-from folioweave.sources.tables import upsert_memory
+from folioweave.sources.tables import load_memory, shared_folder, table, upsert_memory
 
-HEADER = "Translate each numbered line into Simplified Chinese. Keep {{n}} and [[b]] as they are. Answer with one JSON object: number to text."
+TARGET = "Simplified Chinese"
 TOKEN_SQL = r"\{\{[0-9]+\}\}|\[\[/?[bi]\]\]"
 PLAIN_SQL = r"regexp_replace({}, '\{{\{{[0-9]+\}}\}}|\[\[/?[bi]\]\]|\s', '', 'g')"
 UNITS, MEMORY, TRANSLATIONS = "WITH RECURSIVE " + S.UNITS_SQL, S.MEMORY_SQL, S.TRANSLATIONS_SQL
@@ -97,12 +97,16 @@ def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prompt_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return U.prompts(batches(spark, sf_dir), HEADER)
+    return U.prompts(batches(spark, sf_dir), table(spark, sf_dir, "documents"), TARGET, U.glossary(S.translations(spark, sf_dir)))
 
 
-PROMPT = UNITS + f", {BATCHES_SQL}" + f"""
-SELECT doc_id, batch_id, count(*) AS n_items, '{HEADER}' || chr(10) || string_agg(k || chr(9) || regexp_replace(template, '[\\r\\n]', ' ', 'g'), chr(10) ORDER BY k) AS prompt
-FROM steps JOIN sized USING (doc_id, unit_no) GROUP BY doc_id, batch_id"""
+def prompt_requeue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strict prompts for the units that came back unchanged or merged."""
+    out = S.translations(spark, sf_dir)
+    again = U.untranslated(out).union(U.merged_suspects(out)).distinct().join(texted(spark, sf_dir), ["doc_id", "unit_no"])
+    packs = U.pack(again.select("doc_id", "unit_no", F.length("template").alias("size")))
+    batched = packs.join(again.select("doc_id", "unit_no", F.col("template").alias("text")), ["doc_id", "unit_no"])
+    return U.prompts(batched, table(spark, sf_dir, "documents"), TARGET, U.glossary(out), strict=True)
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,14 +114,23 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     obj = F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("k").cast("string").alias("k"), "value")))))
     raw = rows.groupBy("doc_id", "batch_id").agg(obj.alias("obj"))
     m = F.col("batch_id") % 3
-    return raw.select("doc_id", "batch_id", F.when(m == 0, F.col("obj")).when(m == 1, F.concat(F.lit("Voici: "), "obj", F.lit(" fin"))).otherwise("[]").alias("raw"))
+    doc = F.col("doc_id") % 5
+    wrapped = F.concat(F.when(doc == 0, "[Note] ").otherwise("Voici: "), "obj", F.lit(" fin"))
+    failed = F.when(doc == 1, F.concat(F.lit("["), "obj", F.lit("]"))).when(doc == 2, F.concat(F.lit("Voici: "), F.col("obj"), F.lit(" {"), F.lit("}"))).when(doc == 3, "12").otherwise("[]")
+    return raw.select("doc_id", "batch_id", F.when(m == 0, F.col("obj")).when(m == 1, wrapped).otherwise(failed).alias("raw"))
 
 
 def response_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.parse_responses(responses(spark, sf_dir)).select("doc_id", "batch_id", F.coalesce(F.size("obj").cast("long"), F.lit(0)).alias("n_values"), F.col("obj").isNull().alias("failed"))
 
 
-PARSE = UNITS + f", {BATCHES_SQL} SELECT doc_id, batch_id, CASE WHEN batch_id % 3 = 2 THEN 0 ELSE count(*) END AS n_values, batch_id % 3 = 2 AS failed FROM steps GROUP BY doc_id, batch_id"
+PARSE = UNITS + f", {BATCHES_SQL}, {TRANSLATIONS}" + r""",
+objects AS (SELECT s.doc_id, batch_id, json_group_object(k::VARCHAR, t.value)::VARCHAR AS obj FROM steps s JOIN translations t ON s.doc_id = t.doc_id AND s.unit_no = t.unit_no GROUP BY ALL),
+answers AS (SELECT doc_id, batch_id, CASE batch_id % 3 WHEN 0 THEN obj WHEN 1 THEN CASE WHEN doc_id % 5 = 0 THEN '[Note] ' ELSE 'Voici: ' END || obj || ' fin'
+  ELSE CASE doc_id % 5 WHEN 1 THEN '[' || obj || ']' WHEN 2 THEN 'Voici: ' || obj || ' {}' WHEN 3 THEN '12' ELSE '[]' END END AS raw FROM objects),
+found AS (SELECT doc_id, batch_id, CASE WHEN json_valid(raw) THEN raw ELSE regexp_extract(raw, '(?s)\{.*\}') END AS o FROM answers),
+parsed AS (SELECT doc_id, batch_id, CASE WHEN json_valid(o) AND json_type(o) = 'OBJECT' THEN len(json_keys(o)) END AS n FROM (SELECT doc_id, batch_id, CASE WHEN json_valid(o) THEN o END AS o FROM found))
+SELECT doc_id, batch_id, coalesce(n, 0)::BIGINT AS n_values, n IS NULL AS failed FROM parsed"""
 
 
 def response_align(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,11 +229,10 @@ STRIP = UNITS + ITEMS_SQL + r" SELECT doc_id, unit_no, part, CASE WHEN regexp_ma
 
 
 def assign_back(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = S.translations(spark, sf_dir).where(F.col("doc_id") % 2 == 0)
-    return U.assign_back(S.units(spark, sf_dir), values).select("doc_id", "unit_no", "template")
+    return U.assign_back(S.units(spark, sf_dir), S.translations(spark, sf_dir)).select("doc_id", "unit_no", "template")
 
 
-ASSIGN = UNITS + f", {TRANSLATIONS} SELECT u.doc_id, u.unit_no, coalesce(t.value, u.template) AS template FROM units u LEFT JOIN translations t ON t.doc_id = u.doc_id AND t.unit_no = u.unit_no AND t.doc_id % 2 = 0"
+ASSIGN = UNITS + f", {TRANSLATIONS} SELECT u.doc_id, u.unit_no, coalesce(t.value, u.template) AS template FROM units u LEFT JOIN translations t ON t.doc_id = u.doc_id AND t.unit_no = u.unit_no"
 
 
 def sse_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,16 +241,38 @@ def sse_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SSE = "SELECT conv_id || '-' || turn AS request_id, coalesce(text, '') AS text, conv_id % 10 <> 0 AS finished FROM conversations WHERE conv_id % 10 <> 0 OR length(text) > 0"
 
+def tm_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark, "memory")
+    S.memory(spark, sf_dir).write.parquet(path)
+    return load_memory(spark, path)
+
+
+#: Values of terms as glossary() lists them, and the head of a prompt.
+KNOWN_SQL = f"""known AS (SELECT doc_id, string_agg(term, '、' ORDER BY rank) AS known FROM ({GLOSSARY}) GROUP BY doc_id)"""
+HEAD_SQL = f"""'Translate each numbered line from ' || lang || ' into {TARGET}. Keep {{{{n}}}} and [[b]] as they are. Answer with one JSON object: number to text.'
+  || coalesce(chr(10) || 'These terms have their note already, don''t repeat it: ' || known, '')"""
+STRICT_SQL = """ || chr(10) || 'These lines came back unchanged: translate every one, leave no word of ' || lang || ', and don''t join it with its neighbours.'"""
+
+
+def prompt_sql(strict: str) -> str:
+    return f"""SELECT s.doc_id, batch_id, count(*) AS n_items, any_value({HEAD_SQL}{strict}) || chr(10) || string_agg(k || chr(9) || regexp_replace(template, '[\\r\\n]', ' ', 'g'), chr(10) ORDER BY k) AS prompt
+FROM steps s JOIN sized z ON s.doc_id = z.doc_id AND s.unit_no = z.unit_no JOIN documents d ON d.doc_id = s.doc_id LEFT JOIN known w ON w.doc_id = s.doc_id GROUP BY s.doc_id, batch_id"""
+
+
+PROMPT = UNITS + f", {BATCHES_SQL}, {KNOWN_SQL} " + prompt_sql("")
+REQUEUED = BATCHES_SQL.replace("FROM units WHERE texted", "FROM units JOIN requeued USING (doc_id, unit_no) WHERE texted")
+REQUEUE_PROMPT = UNITS + f", requeued AS ((FROM ({UNTRANSLATED})) UNION (FROM ({MERGED}))), {REQUEUED}, {KNOWN_SQL} " + prompt_sql(STRICT_SQL)
+
 QUERIES = {
     "collect_units": collect_units, "has_text": has_text, "unit_sig": unit_sig, "unit_key": unit_key, "tm_lookup": tm_lookup, "tm_hits": tm_hits, "tm_pending": tm_pending, "tm_upsert": tm_upsert,
-    "batch_pack": packed, "prompt_build": prompt_build, "response_parse": response_parse, "response_align": response_align, "glossary": glossary, "merged_suspects": merged_suspects,
+    "batch_pack": packed, "prompt_build": prompt_build, "prompt_requeue": prompt_requeue, "tm_load": tm_load, "response_parse": response_parse, "response_align": response_align, "glossary": glossary, "merged_suspects": merged_suspects,
     "untranslated": untranslated, "placeholder_repair": column("repaired", lambda: X.repair(F.col("template"), F.col("value"))), "fix_markers": column("fixed", lambda: X.fix_markers(F.col("value"))),
     "tidy_text": column("tidied", lambda: X.tidy(F.col("value"))), "finalize_units": finalize_units, "strip_bullet": strip_bullet, "split_items": lambda s, d: U.split_items(S.units(s, d)),
     "assign_back": assign_back, "sse_assemble": sse_assemble,
 }
 ORACLES = {
     "collect_units": COLLECT, "has_text": UNITS + " SELECT doc_id, unit_no, texted AS has_text FROM units", "unit_sig": SIG, "unit_key": UNITS + " SELECT doc_id, unit_no, key FROM units", "tm_lookup": LOOKUP,
-    "tm_hits": HITS, "tm_pending": PENDING, "tm_upsert": UPSERT, "batch_pack": PACK, "prompt_build": PROMPT, "response_parse": PARSE, "response_align": ALIGN, "glossary": GLOSSARY,
+    "tm_hits": HITS, "tm_pending": PENDING, "tm_upsert": UPSERT, "batch_pack": PACK, "prompt_build": PROMPT, "prompt_requeue": REQUEUE_PROMPT, "tm_load": UNITS + f", {MEMORY} SELECT key, value FROM tm", "response_parse": PARSE, "response_align": ALIGN, "glossary": GLOSSARY,
     "merged_suspects": MERGED, "untranslated": UNTRANSLATED, "placeholder_repair": REPAIR, "fix_markers": FIX, "tidy_text": TIDY, "finalize_units": FINAL, "strip_bullet": STRIP, "split_items": SPLIT,
     "assign_back": ASSIGN, "sse_assemble": SSE,
 }

@@ -41,16 +41,24 @@ def body_size(spans: DataFrame) -> DataFrame:
     return weighted_mode(spans, F.round("size", 1), "body_size")
 
 
-def page_extent(spans: DataFrame, width: float = 595.0, height: float = 842.0) -> DataFrame:
-    """Margins of each document: the extent of its lines that have a non-blank span."""
+def page_extent(spans: DataFrame, sizes: DataFrame | None = None, width: float = 595.0, height: float = 842.0) -> DataFrame:
+    """Margins of each document: the extent of its lines that have a non-blank span, within its first page's size.
+
+    sizes(doc_id, page, width, height); documents without a first page there have the given width and height.
+    """
     lines = spans.groupBy("doc_id", "page", "line_id").agg(*(f(c).alias(c) for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))), F.bool_or(X.strip(F.col("text")) != "").alias("full"))
     e = lines.where("full").groupBy("doc_id").agg(F.min("x0").alias("left"), F.min("y0").alias("top"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
-    return e.select("doc_id", "left", "top", (F.lit(width) - F.col("x1")).alias("right"), (F.lit(height) - F.col("y1")).alias("bottom"))
+    if sizes is None:
+        e = e.withColumns({"width": F.lit(width), "height": F.lit(height)})
+    else:
+        first = sizes.where("page = 0").groupBy("doc_id").agg(F.min("width").alias("width"), F.min("height").alias("height"))
+        e = e.join(first, "doc_id", "left").withColumns({"width": F.coalesce("width", F.lit(width)), "height": F.coalesce("height", F.lit(height))})
+    return e.select("doc_id", "left", "top", (F.col("width") - F.col("x1")).alias("right"), (F.col("height") - F.col("y1")).alias("bottom"), "width", "height")
 
 
-def doc_profile(spans: DataFrame) -> DataFrame:
+def doc_profile(spans: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     pages = spans.groupBy("doc_id").agg((F.max("page") + 1).alias("n_pages"))
-    out = pages.join(body_font(spans), "doc_id", "left").join(body_size(spans), "doc_id", "left").join(page_extent(spans), "doc_id", "left")
+    out = pages.join(body_font(spans), "doc_id", "left").join(body_size(spans), "doc_id", "left").join(page_extent(spans, sizes), "doc_id", "left")
     return out.withColumn("body_size", F.coalesce("body_size", F.lit(BODY_SIZE)))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -67,21 +67,48 @@ def pack(units: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.inline(F.aggregate("items", first, add, lambda acc: acc.out)))
 
 
-def prompts(batched: DataFrame, header: str) -> DataFrame:
-    """(doc_id, batch_id, n_items, prompt) of batched(doc_id, batch_id, k, text): the header, then `k TAB text` lines."""
+def prompt_head(source: Column, target: str, known: Column, strict: bool) -> Column:
+    """The instructions of a prompt: the language pair, terms whose note has been given already, and demands on lines that came back unchanged."""
+    parts = [
+        F.lit("Translate each numbered line from "), source, F.lit(f" into {target}. Keep {{{{n}}}} and [[b]] as they are. Answer with one JSON object: number to text."),
+        F.coalesce(F.concat(F.lit("\nThese terms have their note already, don't repeat it: "), known), F.lit("")),
+    ]
+    if strict:
+        parts += [F.lit("\nThese lines came back unchanged: translate every one, leave no word of "), source, F.lit(", and don't join it with its neighbours.")]
+    return F.concat(*parts)
+
+
+def prompts(batched: DataFrame, sources: DataFrame, target: str, terms: DataFrame, strict: bool = False) -> DataFrame:
+    """(doc_id, batch_id, n_items, prompt) of batched(doc_id, batch_id, k, text): instructions, then `k TAB text` lines.
+
+    sources(doc_id, lang) gives the language translated from, terms(doc_id, rank, term) the known terms, as glossary() bounds them.
+    """
+    known = terms.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("t"))
+    known = known.select("doc_id", F.array_join(F.transform("t", lambda x: x.term), "、").alias("known"))
     clean = F.regexp_replace("text", r"[\r\n]", " ")
     lines = batched.groupBy("doc_id", "batch_id").agg(F.array_sort(F.collect_list(F.struct("k", clean.alias("text")))).alias("lines"))
     body = F.array_join(F.transform("lines", lambda x: F.concat(x.k.cast("string"), F.lit("\t"), x.text)), "\n")
-    return lines.select("doc_id", "batch_id", F.size("lines").cast("long").alias("n_items"), F.concat(F.lit(header), F.lit("\n"), body).alias("prompt"))
+    both = lines.join(sources.select("doc_id", "lang"), "doc_id", "left").join(known, "doc_id", "left")
+    head = prompt_head(F.coalesce("lang", F.lit("the source language")), target, F.col("known"), strict)
+    return both.select("doc_id", "batch_id", F.size("lines").cast("long").alias("n_items"), F.concat(head, F.lit("\n"), body).alias("prompt"))
 
 
 def parse_responses(responses: DataFrame) -> DataFrame:
-    """responses with `obj`, map<string,string>: of the whole raw text, else of its first { to its last }; null if neither is an object."""
-    whole = F.from_json("raw", "map<string,string>")
-    looks = F.trim("raw").startswith("[")  # an array is a failure, even if it holds an object
-    inner = F.from_json(F.regexp_extract("raw", r"(?s)(\{.*\})", 1), "map<string,string>")
-    valid = lambda m: F.when(F.size(m) > 0, m)
-    return responses.withColumn("obj", F.when(~looks, F.coalesce(valid(whole), valid(inner))))
+    """responses with `obj`, map<string,string>: of the whole raw text if that is JSON, else of its first { to its last }; null if that is no object.
+
+    Text that is JSON as a whole but no object (an array, even one that holds an object) is a failure.
+    """
+
+    # A parser may stop after the first value; framed in two ways, text is JSON only if it is one value and nothing else.
+    framed = lambda text: F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    is_json = lambda text: framed(text).isNotNull() & F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).isNotNull()
+
+    def as_map(text: Column) -> Column:
+        kind = F.schema_of_variant(F.try_variant_get(framed(text), "$.v", "variant"))
+        return F.when(is_json(text) & kind.startswith("OBJECT"), F.from_json(text, "map<string,string>"))
+
+    inner = F.regexp_extract("raw", r"(?s)(\{.*\})", 1)
+    return responses.withColumn("obj", F.when(is_json(F.col("raw")), as_map(F.col("raw"))).otherwise(as_map(inner)))
 
 
 def align(batched: DataFrame, parsed: DataFrame) -> DataFrame:

@@ -75,14 +75,14 @@ def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = ~F.col("event_type").isin("signup", "error")
     return first.select(
         "model", (F.col("n") - 1).alias("probe_no"), F.when(good, F.col("value")).alias("sec"), F.when(good, F.col("value") / 2).alias("ttft"),
-        F.when(good, F.get_json_object("props", "$.k").cast("int") % 4).alias("zh"), F.lit(3).alias("items"), (F.col("event_type") == "signup").alias("timed_out"),
+        F.when(good, F.get_json_object("props", "$.k").cast("int") % 4).alias("zh"), F.lit(3).alias("items"), (F.col("event_type") == "signup").alias("timed_out"), (F.col("value") * 1.25).alias("wall"),
         F.when(F.col("event_type") == "error", "http 400").alias("err"),
     )
 
 
 PROBES_SQL = """ranked AS (SELECT *, 'm' || (user_id % 30) AS model, row_number() OVER (PARTITION BY user_id % 30 ORDER BY ts, event_id) AS n FROM events),
 probes AS (SELECT model, n - 1 AS probe_no, CASE WHEN event_type NOT IN ('signup', 'error') THEN value END AS sec, CASE WHEN event_type NOT IN ('signup', 'error') THEN value / 2 END AS ttft,
-  CASE WHEN event_type NOT IN ('signup', 'error') THEN json_extract_string(props, '$.k')::INT % 4 END AS zh, 3 AS items, event_type = 'signup' AS timed_out,
+  CASE WHEN event_type NOT IN ('signup', 'error') THEN json_extract_string(props, '$.k')::INT % 4 END AS zh, 3 AS items, event_type = 'signup' AS timed_out, value * 1.25::DOUBLE AS wall,
   CASE WHEN event_type = 'error' THEN 'http 400' END AS err FROM ranked WHERE n <= 3)"""
 
 

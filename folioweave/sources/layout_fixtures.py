@@ -129,3 +129,13 @@ scanned AS (SELECT doc_id, page, n_text_chars < 20 AND EXISTS (SELECT 1 FROM ima
 n AS (SELECT doc_id, max(page) + 1 AS n FROM scanned GROUP BY doc_id),
 sample AS (SELECT DISTINCT doc_id, CASE WHEN n <= 6 THEN i ELSE i * n // 6 END AS page FROM n, unnest(range(0, least(n, 6))) AS u(i)),
 ratios AS (SELECT doc_id, count(*) AS sampled, avg(coalesce(scanned::INT, 0)) AS ratio FROM sample LEFT JOIN scanned USING (doc_id, page) GROUP BY doc_id)"""
+
+
+def page_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, page, width, height): every fourth page has another format."""
+    usual = (F.col("doc_id") + F.col("page")) % 4 < 3
+    pages = body_spans(spark, sf_dir).select("doc_id", "page").distinct()
+    return pages.withColumns({"width": F.when(usual, 595.0).otherwise(612.0), "height": F.when(usual, 842.0).otherwise(792.0)})
+
+
+SIZES_SQL = "page_sizes AS (SELECT DISTINCT doc_id, page, CASE WHEN (doc_id + page) % 4 < 3 THEN 595.0::DOUBLE ELSE 612.0::DOUBLE END AS width, CASE WHEN (doc_id + page) % 4 < 3 THEN 842.0::DOUBLE ELSE 792.0::DOUBLE END AS height FROM body)"
