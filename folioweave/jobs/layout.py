@@ -65,6 +65,22 @@ def columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.split_columns(edge)
 
 
+def page_number_parts(given: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Lines, running lines and their columns of spans."""
+    own = L.lines_of(given)
+    edge = L.running_lines(own, L.repeated_edge_lines(own))
+    return own, edge, L.split_columns(given.join(edge.select("doc_id", "page", "line_id"), ["doc_id", "page", "line_id"]))
+
+
+def page_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.page_numbers(*page_number_parts(G.numbered_spans(spark, sf_dir)))
+
+
+def body_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own, edge, _ = page_number_parts(G.numbered_spans(spark, sf_dir))
+    return L.body_lines(own, edge).select("doc_id", "page", "line_id")
+
+
 def running_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.running_blocks(columns(spark, sf_dir).join(running_lines(spark, sf_dir), ["doc_id", "page", "line_id"]))
 
@@ -110,7 +126,7 @@ QUERIES = {
     "scan_page": scan_page, "scan_ratio": lambda s, d: L.scan_ratio(scan_page(s, d)), "route_docs": lambda s, d: L.route(L.scan_ratio(scan_page(s, d))),
     "font_family": lambda s, d: G.spans(s, d).groupBy("doc_id", X.font_family(F.col("font")).alias("family")).agg(F.count("*").alias("n")), "span_math": span_math,
     "norm_edge_text": lambda s, d: lines(s, d).select("doc_id", "page", "line_id", X.edge_text(F.col("text")).alias("norm")), "repeated_edge_lines": lambda s, d: L.repeated_edge_lines(lines(s, d)),
-    "running_lines": running_lines, "split_columns": columns, "page_numbers": lambda s, d: L.page_numbers(lines(s, d)), "running_blocks": running_blocks,
+    "running_lines": running_lines, "split_columns": columns, "page_numbers": page_numbers, "body_lines": body_lines, "running_blocks": running_blocks,
     "paragraphs": lambda s, d: paragraphs(s, d).select("doc_id", "page", "line_id", "para"), "bullet_split": lambda s, d: L.bullet_segments(paragraphs(s, d)).select("doc_id", "page", "line_id", "segment", "role"),
     "page_boxes": boxes, "box_dedup": lambda s, d: L.box_dedup(boxes(s, d)), "containers": lambda s, d: L.containers(lines(s, d, False), L.box_dedup(boxes(s, d))),
     "image_zones": lambda s, d: L.image_lines(lines(s, d, False), L.image_zones(G.images(s, d))), "fraction_words": lambda s, d: L.fraction_words(G.spans(s, d, False), G.rules(s, d)),
@@ -132,6 +148,9 @@ gaps AS (SELECT s.*, region, CASE WHEN s.x0 - lag(s.x1) OVER w > 12 THEN 1 ELSE
 cols AS (SELECT *, sum(gap) OVER (PARTITION BY doc_id, page, line_id ORDER BY x0, span_no ROWS UNBOUNDED PRECEDING) AS g FROM gaps),
 folded AS (SELECT *, CASE WHEN m + 1 > 3 THEN least(2, floor(g * 3 / (m + 1))) ELSE g END::INT AS col FROM (SELECT *, max(g) OVER (PARTITION BY doc_id, page, line_id) AS m FROM cols)),
 col_text AS (SELECT doc_id, page, line_id, col, region, string_agg(text, '' ORDER BY x0, span_no) AS text FROM folded GROUP BY ALL)"""
+NUMBER = "'^\\s*[-–—.]?\\s*[0-9]{1,4}\\s*([/|·]\\s*[0-9]{1,4}\\s*)?[-–—.]?\\s*$'"
+NUMBERED = EDGES.replace("FROM lines", "FROM numbered_lines").replace("FROM spans s", "FROM numbered_spans s") + f""",
+edge_numbers AS (SELECT doc_id, page, line_id FROM numbered_lines l WHERE regexp_matches(text, {NUMBER}) AND (y1 > 0.9 * 842 OR y0 < 0.1 * 842) AND NOT EXISTS (SELECT 1 FROM running r WHERE r.doc_id = l.doc_id AND r.page = l.page AND r.line_id = l.line_id))"""
 BODY_LINES = """, body_lines AS (SELECT doc_id, page, line_id, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, string_agg(text, '' ORDER BY span_no, x0) AS text FROM body GROUP BY ALL)"""
 PARAS = BODY_LINES + """, lows AS (SELECT *, max(y1) OVER (PARTITION BY doc_id, page ORDER BY y0, x0, line_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS low FROM body_lines),
 paras AS (SELECT *, sum(CASE WHEN y0 - low > 5.5 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page ORDER BY y0, x0, line_id ROWS UNBOUNDED PRECEDING)::INT AS para, regexp_matches(ltrim(text), '^[•·]') AS dot, regexp_matches(ltrim(text), '^[•·]|^[0-9]{1,2}[.)、]\\s') AS bullet FROM lows),
@@ -161,7 +180,8 @@ ORACLES = {
     "span_math": f"{WITH}, f AS ({FONT}) SELECT doc_id, page, count(*) AS n, count(*) FILTER (regexp_matches(text, '[·±×÷→]') OR (font LIKE '%CMMI%' AND body_font IS DISTINCT FROM 'CMMI')) AS n_math FROM spans LEFT JOIN f USING (doc_id) GROUP BY ALL",
     "norm_edge_text": f"{WITH}{EDGES} SELECT doc_id, page, line_id, norm FROM edge", "repeated_edge_lines": f"{WITH}{EDGES} SELECT * FROM again", "running_lines": f"{WITH}{EDGES} SELECT doc_id, page, line_id, region FROM running",
     "split_columns": f"{WITH}{EDGES} SELECT doc_id, page, line_id, col, text FROM col_text",
-    "page_numbers": f"{WITH} SELECT doc_id, bool_or(regexp_matches(text, '^\\s*[-–—.]?\\s*[0-9]{{1,4}}\\s*([/|·]\\s*[0-9]{{1,4}}\\s*)?[-–—.]?\\s*$') AND (y1 > 0.9 * 842 OR y0 < 0.1 * 842)) AS has_pagenum FROM lines GROUP BY doc_id",
+    "page_numbers": f"{WITH}, {G.NUMBERED_SQL}{NUMBERED}, hits AS (SELECT doc_id FROM edge_numbers UNION SELECT doc_id FROM col_text WHERE regexp_matches(trim(text), {NUMBER})) SELECT doc_id, doc_id IN (SELECT doc_id FROM hits) AS has_pagenum FROM (SELECT DISTINCT doc_id FROM numbered_lines)",
+    "body_lines": f"{WITH}, {G.NUMBERED_SQL}{NUMBERED} SELECT doc_id, page, line_id FROM numbered_lines WHERE trim(text) <> '' EXCEPT ALL (SELECT doc_id, page, line_id FROM edge_numbers UNION ALL SELECT doc_id, page, line_id FROM running WHERE trim(text) <> '')",
     "running_blocks": f"{WITH}{EDGES} SELECT doc_id, region, trim(text) AS template, page, col FROM col_text WHERE trim(text) <> '' QUALIFY row_number() OVER (PARTITION BY doc_id, region, trim(text) ORDER BY page, line_id, col) = 1",
     "paragraphs": f"{WITH}{PARAS} SELECT doc_id, page, line_id, para FROM paras",
     "bullet_split": f"{WITH}{PARAS} SELECT doc_id, page, line_id, segment, CASE WHEN first_value(dot) OVER (PARTITION BY doc_id, page, para, segment ORDER BY y0, x0, line_id) THEN 'list' ELSE 'body' END AS role FROM segments",

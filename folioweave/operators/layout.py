@@ -126,10 +126,23 @@ def split_columns(spans: DataFrame) -> DataFrame:
     return rows.select("doc_id", "page", "line_id", "col", F.array_join(F.transform("s", lambda x: x.text), "").alias("text"))
 
 
-def page_numbers(lines: DataFrame, height: float = 842.0) -> DataFrame:
-    """(doc_id, has_pagenum): some line near an edge is a page number."""
-    hit = F.col("text").rlike(PAGE_NUMBER) & ((F.col("y1") > 0.9 * height) | (F.col("y0") < 0.1 * height))
-    return lines.groupBy("doc_id").agg(F.bool_or(hit).alias("has_pagenum"))
+def edge_numbers(lines: DataFrame, running: DataFrame, height: float = 842.0) -> DataFrame:
+    """The lines that aren't running ones, stand near an edge and hold nothing but a page number."""
+    own = lines.join(running.select("doc_id", "page", "line_id"), ["doc_id", "page", "line_id"], "left_anti")
+    return own.where(F.col("text").rlike(PAGE_NUMBER) & ((F.col("y1") > 0.9 * height) | (F.col("y0") < 0.1 * height)))
+
+
+def page_numbers(lines: DataFrame, running: DataFrame, columns: DataFrame, height: float = 842.0) -> DataFrame:
+    """(doc_id, has_pagenum): some column of a running line is a page number, or some other line near an edge."""
+    found = edge_numbers(lines, running, height).select("doc_id").union(columns.where(X.strip(F.col("text")).rlike(PAGE_NUMBER)).select("doc_id"))
+    return lines.select("doc_id").distinct().join(found.distinct().withColumn("has_pagenum", F.lit(True)), "doc_id", "left").withColumn("has_pagenum", F.coalesce("has_pagenum", F.lit(False)))
+
+
+def body_lines(lines: DataFrame, running: DataFrame, height: float = 842.0) -> DataFrame:
+    """The lines of the body: neither running ones, nor page numbers near an edge, nor blank."""
+    place = ["doc_id", "page", "line_id"]
+    out = running.select(*place).union(edge_numbers(lines, running, height).select(*place))
+    return lines.where(X.strip(F.col("text")) != "").join(out, place, "left_anti")
 
 
 def running_blocks(columns: DataFrame) -> DataFrame:

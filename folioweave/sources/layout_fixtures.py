@@ -139,3 +139,20 @@ def page_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SIZES_SQL = "page_sizes AS (SELECT DISTINCT doc_id, page, CASE WHEN (doc_id + page) % 4 < 3 THEN 595.0::DOUBLE ELSE 612.0::DOUBLE END AS width, CASE WHEN (doc_id + page) % 4 < 3 THEN 842.0::DOUBLE ELSE 792.0::DOUBLE END AS height FROM body)"
+
+
+def numbered_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """spans() with other footers: every third document has its page numbers beside a name, the next one has none."""
+    every = spans(spark, sf_dir)
+    third = F.col("doc_id") % 3
+    feet = every.where((F.col("line_id") == -1) & (third == 0))
+    name = feet.withColumns({"line_id": F.lit(-3), "span_no": F.lit(0), "text": F.lit("Seb"), "x0": F.lit(62.0), "x1": F.lit(77.0), "y0": F.lit(815.0), "y1": F.lit(826.0)})
+    number = feet.withColumns({"line_id": F.lit(-3), "span_no": F.lit(1), "y0": F.lit(815.0), "y1": F.lit(826.0)})
+    return every.where((F.col("line_id") != -1) | (third == 2)).unionByName(name).unionByName(number)
+
+
+NUMBERED_SQL = """feet AS (SELECT * FROM spans WHERE line_id = -1 AND doc_id % 3 = 0),
+numbered_spans AS (SELECT * FROM spans WHERE line_id <> -1 OR doc_id % 3 = 2
+  UNION ALL SELECT * REPLACE (-3 AS line_id, 0 AS span_no, 'Seb' AS text, 62.0::DOUBLE AS x0, 77.0::DOUBLE AS x1, 815.0::DOUBLE AS y0, 826.0::DOUBLE AS y1) FROM feet
+  UNION ALL SELECT * REPLACE (-3 AS line_id, 1 AS span_no, 815.0::DOUBLE AS y0, 826.0::DOUBLE AS y1) FROM feet),
+numbered_lines AS (SELECT doc_id, page, line_id, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, string_agg(text, '' ORDER BY span_no, x0) AS text FROM numbered_spans GROUP BY ALL)"""
