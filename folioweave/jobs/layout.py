@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folioweave.functions import text as X
 from folioweave.operators import layout as L
 from folioweave.operators import metrics as M
+from folioweave.operators import structure as T
 from folioweave.operators import units as U
 from folioweave.sources import fixtures as S
 from folioweave.sources import layout_fixtures as G
@@ -86,7 +87,11 @@ def running_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.paragraphs(lines(spark, sf_dir, running=False))
+    """Body lines in paragraphs, by their boxes and by what they hold."""
+    own, place = lines(spark, sf_dir, running=False), ["doc_id", "page", "line_id"]
+    spans = L.with_math(G.spans(spark, sf_dir, False), L.body_font(G.spans(spark, sf_dir)))
+    places = L.containers(own, L.box_dedup(boxes(spark, sf_dir))).join(T.line_kinds(spans).select(*place, "pure"), place)
+    return L.paragraphs(own, places)
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,9 +157,35 @@ NUMBER = "'^\\s*[-–—.]?\\s*[0-9]{1,4}\\s*([/|·]\\s*[0-9]{1,4}\\s*)?[-–—
 NUMBERED = EDGES.replace("FROM lines", "FROM numbered_lines").replace("FROM spans s", "FROM numbered_spans s") + f""",
 edge_numbers AS (SELECT doc_id, page, line_id FROM numbered_lines l WHERE regexp_matches(text, {NUMBER}) AND (y1 > 0.9 * 842 OR y0 < 0.1 * 842) AND NOT EXISTS (SELECT 1 FROM running r WHERE r.doc_id = l.doc_id AND r.page = l.page AND r.line_id = l.line_id))"""
 BODY_LINES = """, body_lines AS (SELECT doc_id, page, line_id, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, string_agg(text, '' ORDER BY span_no, x0) AS text FROM body GROUP BY ALL)"""
-PARAS = BODY_LINES + """, lows AS (SELECT *, max(y1) OVER (PARTITION BY doc_id, page ORDER BY y0, x0, line_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS low FROM body_lines),
-paras AS (SELECT *, sum(CASE WHEN y0 - low > 5.5 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page ORDER BY y0, x0, line_id ROWS UNBOUNDED PRECEDING)::INT AS para, regexp_matches(ltrim(text), '^[•·]') AS dot, regexp_matches(ltrim(text), '^[•·]|^[0-9]{1,2}[.)、]\\s') AS bullet FROM lows),
+
+
+def without(words: tuple[str, ...], text: str = "s") -> str:
+    for w in sorted(words, key=lambda w: (-len(w), w)):
+        text = f"replace({text}, '{w}', '')"
+    return text
+
+
+def emptied(name: str, source: str, words: tuple[str, ...]) -> str:
+    """A recursive table (t, s): each text of source(t) and what is left of it after each pass."""
+    return f", {name}(t, s) AS (SELECT DISTINCT t, regexp_replace(lower(t), '[^a-zà-ÿ]', '', 'g') FROM {source} UNION SELECT t, {without(words)} FROM {name})"
+
+
+IN_BOX = "l.doc_id = k.doc_id AND l.page = k.page AND l.y0 >= k.y0 - 6 AND l.y1 <= k.y1 + 6 AND l.x0 >= k.x0 - 8 AND l.x1 <= k.x1 + 8"
+CONTAINERS = f"SELECT l.doc_id, l.page, l.line_id, arg_min(k.rect_no, (k.x1 - k.x0) * (k.y1 - k.y0)) AS rect_no FROM body_lines l LEFT JOIN kept k ON {IN_BOX} GROUP BY ALL"
+PARAS = (
+    BODY_LINES
+    + f""", fonts AS ({FONT}), {G.RECTS_SQL}, held AS ({CONTAINERS}),
+line_rests AS (SELECT doc_id, page, line_id, bool_or(m) AS has_math, trim(regexp_replace(trim(coalesce(string_agg(text, '' ORDER BY span_no, x0) FILTER (NOT m), '')), '^[•·]+', '')) AS t
+  FROM (SELECT b.*, regexp_matches(text, '[·±×÷→]') OR (font LIKE '%CMMI%' AND body_font IS DISTINCT FROM 'CMMI') AS m FROM body b LEFT JOIN fonts USING (doc_id)) GROUP BY ALL)"""
+    + emptied("line_passes", "line_rests", T.FORMULA_WORDS)
+    + r""",
+placed_lines AS (SELECT l.*, rect_no, has_math AND (length(t) < 3 OR t IN (SELECT t FROM line_passes WHERE s = '')) AS pure FROM body_lines l JOIN held USING (doc_id, page, line_id) JOIN line_rests USING (doc_id, page, line_id)),
+lows AS (SELECT *, max(y1) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS low, lag(pure) OVER w AS last_pure, first_value(y0) OVER w AS top, first_value(x0) OVER w AS top_x, first_value(line_id) OVER w AS top_line FROM placed_lines
+  WINDOW w AS (PARTITION BY doc_id, page, rect_no ORDER BY y0, x0, line_id)),
+paras AS (SELECT *, (sum(CASE WHEN low IS NULL OR y0 - low > 5.5 OR pure <> last_pure THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page ORDER BY top, top_x, top_line, y0, x0, line_id ROWS UNBOUNDED PRECEDING) - 1)::INT AS para,
+  regexp_matches(ltrim(text), '^[•·]') AS dot, regexp_matches(ltrim(text), '^[•·]|^[0-9]{1,2}[.)、]\s') AS bullet FROM lows),
 segments AS (SELECT *, sum(bullet::INT) OVER (PARTITION BY doc_id, page, para ORDER BY y0, x0, line_id ROWS UNBOUNDED PRECEDING)::INT AS segment FROM paras)"""
+)
 SCANS = f", {G.IMAGES_SQL}, {G.PAGE_TEXT_SQL}"
 STATS = S.PROBES_SQL + """, stats AS (SELECT model, count(*) AS n, count(sec) AS n_ok, sum(sec) AS sum_sec, min(ttft) AS ttft, bool_or(timed_out) AS timed_out, max(err) AS err, max(wall) AS wall, count(*) FILTER (sec IS NOT NULL AND zh >= greatest(1, items - 1)) AS zh_ok FROM probes GROUP BY model),
 judged AS (SELECT *, CASE WHEN n_ok > 0 THEN sum_sec / n_ok END AS sec, n_ok > 0 AND zh_ok >= (n + 1) // 2 AND NOT timed_out AS ok FROM stats)"""
@@ -186,7 +217,7 @@ ORACLES = {
     "paragraphs": f"{WITH}{PARAS} SELECT doc_id, page, line_id, para FROM paras",
     "bullet_split": f"{WITH}{PARAS} SELECT doc_id, page, line_id, segment, CASE WHEN first_value(dot) OVER (PARTITION BY doc_id, page, para, segment ORDER BY y0, x0, line_id) THEN 'list' ELSE 'body' END AS role FROM segments",
     "page_boxes": f"{WITH}, {G.RECTS_SQL} SELECT * FROM boxes", "box_dedup": f"{WITH}, {G.RECTS_SQL} SELECT * FROM kept",
-    "containers": f"{WITH}{BODY_LINES}, {G.RECTS_SQL} SELECT l.doc_id, l.page, l.line_id, arg_min(k.rect_no, (k.x1 - k.x0) * (k.y1 - k.y0)) AS rect_no FROM body_lines l LEFT JOIN kept k ON l.doc_id = k.doc_id AND l.page = k.page AND l.y0 >= k.y0 - 6 AND l.y1 <= k.y1 + 6 AND l.x0 >= k.x0 - 8 AND l.x1 <= k.x1 + 8 GROUP BY ALL",
+    "containers": f"{WITH}{BODY_LINES}, {G.RECTS_SQL} {CONTAINERS}",
     "image_zones": f"{WITH}{BODY_LINES}, {G.IMAGES_SQL} SELECT l.doc_id, l.page, l.line_id, xref FROM body_lines l JOIN zones z ON l.doc_id = z.doc_id AND l.page = z.page AND (l.x0 + l.x1) / 2 BETWEEN z.x0 - 2 AND z.x1 + 2 AND (l.y0 + l.y1) / 2 BETWEEN z.y0 - 2 AND z.y1 + 2",
     "fraction_words": f"{WITH}, {G.RULES_SQL} SELECT s.doc_id, s.page, s.line_id, s.span_no FROM body s WHERE regexp_matches(trim(text), '^[\\p{{L}}]+$') AND EXISTS (SELECT 1 FROM rules r WHERE r.doc_id = s.doc_id AND r.page = s.page AND r.y1 - r.y0 <= 2.6 AND r.x1 - r.x0 <= 3 * greatest(s.x1 - s.x0, 8) AND least(s.x1, r.x1) - greatest(s.x0, r.x0) >= 0.7::DOUBLE * (s.x1 - s.x0) AND (r.y0 - s.y1 BETWEEN -1.5 AND 4 OR s.y0 - r.y1 BETWEEN -1.5 AND 4))",
     "intake_validate": "WITH f AS (SELECT 'f' || doc_id || CASE WHEN doc_id % 10 = 9 THEN '.txt' WHEN doc_id % 10 = 8 THEN '.PDF' ELSE '.pdf' END AS path, n_chars * 20000 AS length, 1 + n_chars // 100 AS n_pages FROM documents) SELECT *, CASE WHEN lower(path) NOT LIKE '%.pdf' THEN 'type' WHEN length > 31457280 THEN 'size' WHEN n_pages > 60 THEN 'pages' END AS reason FROM f",

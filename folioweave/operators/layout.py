@@ -152,12 +152,26 @@ def running_blocks(columns: DataFrame) -> DataFrame:
     return first.select("doc_id", "region", "template", F.col("at.page").alias("page"), F.col("at.col").alias("col"))
 
 
-def paragraphs(lines: DataFrame) -> DataFrame:
-    """lines with para, numbered from 0 in each page: a new one where y0 leaves the lowest bottom so far by more than PARAGRAPH_GAP."""
-    order = Window.partitionBy("doc_id", "page").orderBy("y0", "x0", "line_id")
+def paragraphs(lines: DataFrame, places: DataFrame | None = None) -> DataFrame:
+    """lines with para, numbered from 0 in each page.
+
+    places(doc_id, page, line_id, rect_no, pure) holds each line's box (null: none) and whether it is a formula only.  Lines of a box make
+    paragraphs of their own, boxes in order of their first lines.  In a box a new paragraph begins where y0 leaves the lowest bottom so far by more
+    than PARAGRAPH_GAP, and between formulas and prose.  Without places, or for lines that it lacks, there is no box and all is prose.
+    """
+    line = ["doc_id", "page", "line_id"]
+    if places is None:
+        placed = lines.withColumns({"_box": F.lit(None).cast("int"), "_pure": F.lit(False)})
+    else:
+        placed = lines.join(places.select(*line, F.col("rect_no").alias("_box"), F.col("pure").alias("_pure")), line, "left")
+    box, place = Window.partitionBy("doc_id", "page", "_box"), ("y0", "x0", "line_id")
+    order = box.orderBy(*place)
     low = F.max("y1").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.coalesce((F.col("y0") - low > PARAGRAPH_GAP).cast("int"), F.lit(0))
-    return lines.withColumn("_new", new).withColumn("para", F.sum("_new").over(order).cast("int")).drop("_new")
+    pure = F.coalesce("_pure", F.lit(False))
+    new = F.coalesce(F.col("y0") - low > PARAGRAPH_GAP, F.lit(True)) | (F.lag(pure).over(order) != pure)
+    marked = placed.withColumns({"_new": F.coalesce(new, F.lit(True)).cast("int"), "_top": F.min(F.struct(*place)).over(box)})
+    page = Window.partitionBy("doc_id", "page").orderBy("_top", *place)
+    return marked.withColumn("para", (F.sum("_new").over(page) - 1).cast("int")).drop("_new", "_top", "_box", "_pure")
 
 
 def bullet_segments(paras: DataFrame) -> DataFrame:
