@@ -86,12 +86,17 @@ def running_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.running_blocks(columns(spark, sf_dir).join(running_lines(spark, sf_dir), ["doc_id", "page", "line_id"]))
 
 
+def places(spark: SparkSession, sf_dir: str, own: DataFrame) -> DataFrame:
+    """The box of each body line, and whether it is a formula only."""
+    place = ["doc_id", "page", "line_id"]
+    spans = L.with_math(G.spans(spark, sf_dir, False), L.body_font(G.spans(spark, sf_dir)))
+    return L.containers(own, L.box_dedup(boxes(spark, sf_dir))).join(T.line_kinds(spans).select(*place, "pure"), place)
+
+
 def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Body lines in paragraphs, by their boxes and by what they hold."""
-    own, place = lines(spark, sf_dir, running=False), ["doc_id", "page", "line_id"]
-    spans = L.with_math(G.spans(spark, sf_dir, False), L.body_font(G.spans(spark, sf_dir)))
-    places = L.containers(own, L.box_dedup(boxes(spark, sf_dir))).join(T.line_kinds(spans).select(*place, "pure"), place)
-    return L.paragraphs(own, places)
+    own = lines(spark, sf_dir, running=False)
+    return L.paragraphs(own, places(spark, sf_dir, own))
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,9 +177,8 @@ def emptied(name: str, source: str, words: tuple[str, ...]) -> str:
 
 IN_BOX = "l.doc_id = k.doc_id AND l.page = k.page AND l.y0 >= k.y0 - 6 AND l.y1 <= k.y1 + 6 AND l.x0 >= k.x0 - 8 AND l.x1 <= k.x1 + 8"
 CONTAINERS = f"SELECT l.doc_id, l.page, l.line_id, arg_min(k.rect_no, (k.x1 - k.x0) * (k.y1 - k.y0)) AS rect_no FROM body_lines l LEFT JOIN kept k ON {IN_BOX} GROUP BY ALL"
-PARAS = (
-    BODY_LINES
-    + f""", fonts AS ({FONT}), {G.RECTS_SQL}, held AS ({CONTAINERS}),
+PARAS_OF_LINES = (
+    f""", fonts AS ({FONT}), {G.RECTS_SQL}, held AS ({CONTAINERS}),
 line_rests AS (SELECT doc_id, page, line_id, bool_or(m) AS has_math, trim(regexp_replace(trim(coalesce(string_agg(text, '' ORDER BY span_no, x0) FILTER (NOT m), '')), '^[•·]+', '')) AS t
   FROM (SELECT b.*, regexp_matches(text, '[·±×÷→]') OR (font LIKE '%CMMI%' AND body_font IS DISTINCT FROM 'CMMI') AS m FROM body b LEFT JOIN fonts USING (doc_id)) GROUP BY ALL)"""
     + emptied("line_passes", "line_rests", T.FORMULA_WORDS)
@@ -186,6 +190,7 @@ paras AS (SELECT *, (sum(CASE WHEN low IS NULL OR y0 - low > 5.5 OR pure <> last
   regexp_matches(ltrim(text), '^[•·]') AS dot, regexp_matches(ltrim(text), '^[•·]|^[0-9]{1,2}[.)、]\s') AS bullet FROM lows),
 segments AS (SELECT *, sum(bullet::INT) OVER (PARTITION BY doc_id, page, para ORDER BY y0, x0, line_id ROWS UNBOUNDED PRECEDING)::INT AS segment FROM paras)"""
 )
+PARAS = BODY_LINES + PARAS_OF_LINES
 SCANS = f", {G.IMAGES_SQL}, {G.PAGE_TEXT_SQL}"
 STATS = S.PROBES_SQL + """, stats AS (SELECT model, count(*) AS n, count(sec) AS n_ok, sum(sec) AS sum_sec, min(ttft) AS ttft, bool_or(timed_out) AS timed_out, max(err) AS err, max(wall) AS wall, count(*) FILTER (sec IS NOT NULL AND zh >= greatest(1, items - 1)) AS zh_ok FROM probes GROUP BY model),
 judged AS (SELECT *, CASE WHEN n_ok > 0 THEN sum_sec / n_ok END AS sec, n_ok > 0 AND zh_ok >= (n + 1) // 2 AND NOT timed_out AS ok FROM stats)"""

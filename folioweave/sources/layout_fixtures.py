@@ -156,3 +156,32 @@ numbered_spans AS (SELECT * FROM spans WHERE line_id <> -1 OR doc_id % 3 = 2
   UNION ALL SELECT * REPLACE (-3 AS line_id, 0 AS span_no, 'Seb' AS text, 62.0::DOUBLE AS x0, 77.0::DOUBLE AS x1, 815.0::DOUBLE AS y0, 826.0::DOUBLE AS y1) FROM feet
   UNION ALL SELECT * REPLACE (-3 AS line_id, 1 AS span_no, 815.0::DOUBLE AS y0, 826.0::DOUBLE AS y1) FROM feet),
 numbered_lines AS (SELECT doc_id, page, line_id, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, string_agg(text, '' ORDER BY span_no, x0) AS text FROM numbered_spans GROUP BY ALL)"""
+
+
+def figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, page, zone, x0, y0, x1, y1): one figure within the boxes of a page, one below them."""
+    kind = "struct<zone:int,x0:double,y0:double,x1:double,y1:double>"
+    one = lambda zone, y0, y1: F.struct(*(F.lit(v) for v in (zone, 100, y0, 300, y1))).cast(kind)
+    some = F.filter(F.array(F.when(F.col("page") % 3 == 0, one(0, 150, 200)), F.when(F.col("page") % 4 < 2, one(1, 400, 500))), lambda f: f.isNotNull())
+    return pages(spark, sf_dir).select("doc_id", "page", F.inline(some))
+
+
+FIGURES_SQL = """figures AS (SELECT DISTINCT doc_id, page, 0 AS zone, 100.0::DOUBLE AS x0, 150.0::DOUBLE AS y0, 300.0::DOUBLE AS x1, 200.0::DOUBLE AS y1 FROM body WHERE page % 3 = 0
+  UNION ALL SELECT DISTINCT doc_id, page, 1, 100, 400, 300, 500 FROM body WHERE page % 4 < 2)"""
+
+
+def glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, page, line_id, ord, text, size, y0, y1): the words in a mathematical font, some with symbols, raised, lowered or without a command."""
+    mix = F.col("ln") * 31 + F.col("wp")
+    text = F.translate(F.regexp_replace("text", r"[^ -~]", ""), "aeinorst", "αε∈νℝ≤{τ")
+    shift = F.when(mix % 5 == 1, -5.0).when(mix % 5 == 2, 4.0).otherwise(0.0)
+    b = body_spans(spark, sf_dir).where("font LIKE '%CMMI%'")
+    return b.select(
+        "doc_id", "page", "line_id", F.col("span_no").alias("ord"), F.when(mix % 41 == 0, F.concat(F.lit("√"), text)).otherwise(text).alias("text"),
+        F.when(shift == 0, 11.0).otherwise(7.0).alias("size"), (F.col("y0") + shift).alias("y0"), (F.col("y0") + F.when(mix % 101 == 0, 30.0).otherwise(11.0) + shift).alias("y1"),
+    )
+
+
+GLYPHS_SQL = """glyph_words AS (SELECT *, ln * 31 + wp AS mix, translate(regexp_replace(text, '[^ -~]', '', 'g'), 'aeinorst', 'αε∈νℝ≤{τ') AS plain, CASE (ln * 31 + wp) % 5 WHEN 1 THEN -5.0::DOUBLE WHEN 2 THEN 4.0::DOUBLE ELSE 0.0::DOUBLE END AS shift FROM body WHERE font LIKE '%CMMI%'),
+glyphs AS (SELECT doc_id, page, line_id, span_no AS ord, CASE WHEN mix % 41 = 0 THEN '√' ELSE '' END || plain AS text, CASE WHEN shift = 0 THEN 11.0::DOUBLE ELSE 7.0::DOUBLE END AS size, y0 + shift AS y0,
+  y0 + CASE WHEN mix % 101 = 0 THEN 30.0::DOUBLE ELSE 11.0::DOUBLE END + shift AS y1 FROM glyph_words)"""
