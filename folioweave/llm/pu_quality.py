@@ -8,7 +8,7 @@ The model is linear over dense text features (FEATURES) under the logistic loss,
 The prior is estimated from positives and unlabelled rows alone: a linear model tells the two apart on one half of each; on the other half, the share of
 unlabelled rows above a score, over that of positives above it, bounds the prior from above at every score.  The estimate is the least such bound, each
 widened by what chance allows (prior_of).  Only rows whose crc32(doc_id as text) mod 4 is not 2 are learnt from, as positives and as unlabelled.  The fit takes at most SAMPLE
-rows of each kind, those whose ids hash lowest; scores are given to every row.
+ids of each kind, those that hash lowest; an id that several rows share counts once, with its least text.  Scores are given to every row.
 
 Defined cases: null and empty texts get the score of the all-zero counts; without positives the score is the prior everywhere (0.5 if
 no labels at all); repeated rows get equal scores; a null doc_id is held out; empty tables give no rows.
@@ -40,7 +40,8 @@ FEATURES = (
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = re.compile(r"[#*$%&|<>{}\[\]\\^~_=]")
 RUNS = re.compile(r"([^\w\s.])\1+")
-ENDS = re.compile(r"[.?]+(?=\s|$)")
+#: A run of marks is tried once, from its first mark: time stays linear where a long run ends in a letter.
+ENDS = re.compile(r"(?<![.?])[.?]++(?=\s|$)")
 DIGITS = re.compile(r"[0-9]")
 WIDE = re.compile(r"[^\x00-\x7f]")
 LETTER_END = re.compile(r"[\w.,;:!?\"')-]$")
@@ -128,9 +129,9 @@ def to_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def gathered(rows: DataFrame, sample: int) -> np.ndarray:
-    """Features of rows(order, text), at most `sample` of them, in an order of their own."""
-    each = rows.mapInArrow(to_features, "order long, x array<double>").groupBy("order").agg(F.min("x").alias("x"))  # one row for each id
-    found = each.orderBy("order").limit(sample).collect()
+    """Features of rows(order, text), one text for each order and at most `sample` of them, in an order of their own."""
+    each = rows.groupBy("order").agg(F.min("text").alias("text"))  # before the features: a repeated id is one row
+    found = each.mapInArrow(to_features, "order long, x array<double>").orderBy("order").limit(sample).collect()
     return np.array([r.x for r in found]) if found else np.empty((0, len(FEATURES)))
 
 
@@ -141,7 +142,7 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mode
     if not n:
         return constant(0.5)
     learnt = documents.select("doc_id", "text").where(~held_out(F.col("doc_id")))
-    by_hash = lambda df, seed: hashed_sample(df.select("doc_id"), ["doc_id"], sample, seed)
+    by_hash = lambda df, seed: hashed_sample(df.select("doc_id").distinct(), ["doc_id"], sample, seed)
     # Both lists are bounded by `sample`, so they may be broadcast.
     trusted = gathered(learnt.join(F.broadcast(by_hash(known.where("quality = 1"), 1)), "doc_id").select("order", "text"), sample)
     web = gathered(learnt.join(F.broadcast(by_hash(learnt.select("doc_id"), 2)), "doc_id").select("order", "text"), sample)

@@ -36,6 +36,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ARCHIVE_BYTES, DICTIONARY_BYTES, TRAINING_BYTES = 4 << 20, 16 << 10, 512 << 10
 LEVEL = 3
 STEP = 1 << 15
+#: Bytes of a dictionary at most; its frame is decompressed by so many compressed bytes at a time that no step makes over some 8 MB.
+DICTIONARY_LIMIT, SMALL_STEP = 64 << 20, 256
 MANDATORY = ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length")
 HTTP_LENGTH = re.compile(rb"^Content-Length: *([0-9]+)\r$", re.M | re.I)
 
@@ -84,8 +86,22 @@ def archive(records: list[bytes], dictionary_bytes: int = DICTIONARY_BYTES) -> b
     return lead + b"".join(pack.compress(r) for r in records)
 
 
-def load_dictionary(data: bytes) -> tuple[zstandard.ZstdCompressionDict | None, int]:
-    """The dictionary of the leading skippable frame, and where the records begin."""
+def unpacked(body: bytes, most: int) -> bytes:
+    """The content of one frame, with or without its size in the header; a frame of more than `most` bytes is refused before it fills the memory."""
+    reader, out, held = zstandard.ZstdDecompressor().decompressobj(), [], 0
+    view = memoryview(body)
+    for at in range(0, len(body), SMALL_STEP):
+        out.append(reader.decompress(view[at : at + SMALL_STEP]))
+        held += len(out[-1])
+        if held > most:
+            raise ValueError(f"the dictionary is larger than {most} bytes")
+        if reader.eof:
+            return b"".join(out)
+    raise ValueError("the dictionary frame is cut off")
+
+
+def load_dictionary(data: bytes, most: int = DICTIONARY_LIMIT) -> tuple[zstandard.ZstdCompressionDict | None, int]:
+    """The dictionary of the leading skippable frame, and where the records begin.  It may be compressed at once or as a stream."""
     if len(data) < 8 or struct.unpack_from("<I", data)[0] != SKIPPABLE:
         return None, 0
     size = struct.unpack_from("<I", data, 4)[0]
@@ -93,7 +109,7 @@ def load_dictionary(data: bytes) -> tuple[zstandard.ZstdCompressionDict | None,
     if len(body) != size:
         raise ValueError("the dictionary frame is cut off")
     if body[:4] == FRAME:
-        body = zstandard.ZstdDecompressor().decompress(body)
+        body = unpacked(body, most)
     if body[:4] != DICTIONARY:
         raise ValueError("the leading frame holds no dictionary")
     return zstandard.ZstdCompressionDict(body), 8 + size

@@ -15,6 +15,7 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from folioweave.llm import bpe, media, mixing, pii, pu_quality, quality_rules, queries, secrets, simhash, tool_calls, warc
@@ -336,6 +337,34 @@ def plain_features(text):
     ]
 
 
+def test_quality_features_of_a_megabyte_take_linear_time():
+    for piece in (".", "?", ".x", "a", "#", "!?", "\n", "| ", "..\n"):
+        began = time.time()
+        pu_quality.features(piece * (1_000_000 // len(piece)) + "x")
+        assert time.time() - began < 15, piece
+    for text in ("a... b? c?! d.", "..", "x..y ..", "?. \n.", "end."):
+        assert pu_quality.ENDS.findall(text) == re.findall(r"[.?]+(?=\s|$)", text)
+
+
+def test_a_repeated_id_is_featurised_once(spark, monkeypatch):
+    rows = [(i, long_text(20, i)) for i in range(300)] + [(8, long_text(20, k % 7)) for k in range(600)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0), 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    made = []
+
+    def counting(df, sample):
+        made.append((df.count(), df.select("order").distinct().count()))
+        return real(df, sample)
+
+    real = pu_quality.gathered
+    monkeypatch.setattr(pu_quality, "gathered", counting)
+    model = pu_quality.train(documents, labels)
+    learnt = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    assert made[1] == (len(learnt), len({i for i, _ in learnt}))  # a row of the table at most once, then one for each id
+    once = [r for i, r in enumerate(rows) if r[0] != 8] + [(8, min(t for i, t in rows if i == 8))]
+    assert model == pu_quality.train(spark.createDataFrame(once, "doc_id long, text string"), labels)
+
+
 def test_pu_risk_learns_without_negatives():
     r = np.random.default_rng(3)
     positive, unlabelled = r.normal(1, 1, (500, 3)), np.vstack((r.normal(1, 1, (300, 3)), r.normal(-2, 1, (700, 3))))
@@ -422,6 +451,25 @@ def test_warc_damage_is_reported():
         warc.load_dictionary(data[:20])
 
 
+def test_warc_dictionary_frames_without_a_size_are_read_within_a_bound():
+    made = [warc.record(i, "u", long_text(400, i).encode(), None) for i in range(300)]
+    data = warc.archive(made)
+    size = int.from_bytes(data[4:8], "little")
+    raw = zstandard.ZstdDecompressor().decompress(data[8 : 8 + size])
+    stream = zstandard.ZstdCompressor(level=9, write_content_size=False).compressobj()
+    body = stream.compress(raw) + stream.flush()
+    with pytest.raises(zstandard.ZstdError):  # the header doesn't tell the size
+        zstandard.ZstdDecompressor().decompress(body)
+    again = data[:4] + len(body).to_bytes(4, "little") + body + data[8 + size :]
+    assert [x for _, x in warc.frames(again)] == made
+    assert warc.load_dictionary(again)[0].as_bytes() == raw
+    with pytest.raises(ValueError, match="larger than"):
+        warc.load_dictionary(again, most=len(raw) - 1)
+    half = body[: len(body) // 2]
+    with pytest.raises(ValueError, match="cut off"):
+        warc.load_dictionary(data[:4] + len(half).to_bytes(4, "little") + half)
+
+
 def test_bpe_equals_the_library(spark, tricky):
     own = bpe.codec(bpe.default_path())
     for text, r in rows_by_text(spark, tricky, "op7_bpe"):
