@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, mixing, pii, pu_quality, quality_rules, secrets, simhash, tool_calls, warc
+from . import bpe, decontamination, filter_audit, media, mixing, pii, pu_quality, quality_rules, secrets, simhash, tandem_runs, tool_calls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": secrets.scan,
@@ -19,8 +19,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": mixing.scan,
     "op9_pii": pii.scan,
     "op10_media_columns": media.scan,
+    "op11_benchmark_decontamination": decontamination.scan,
+    "op12_periodic_runs": tandem_runs.scan,
+    "op13_filter_audit": filter_audit.scan,
 }
 
 ORACLES: dict[str, str] = {
     "op1_secret_scans": secrets.ORACLE, "op9_pii": pii.ORACLE, "op4_chat_formatting": tool_calls.ORACLE, "op6_warc": warc.ORACLE, "op8_mixing": mixing.ORACLE,
+    "op11_benchmark_decontamination": decontamination.ORACLE, "op13_filter_audit": filter_audit.ORACLE,
 }
