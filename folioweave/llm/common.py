@@ -7,6 +7,7 @@ import functools
 import shutil
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable
 from typing import ClassVar
 
@@ -57,24 +58,28 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
         self.path = f"{shared_dir(spark)}/folioweave/{name}-{uuid.uuid4().hex}"
-        self.made: dict[int, str] = {}
+        self.made: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
         Scratch.live.append(self)
         atexit.register(self.clear)
 
+    def folder(self, name: str) -> str:
+        """A new place under this owner's folder, for tables that are written bit by bit."""
+        return f"{self.path}/{name}-{uuid.uuid4().hex[:8]}"
+
     def written(self, df: DataFrame, name: str) -> DataFrame:
         """Cuts the lineage: df is written once, and read again from there.
 
         A lost executor then costs a re-read of files, not a recomputation; and joins see the true sizes.
         """
-        path = f"{self.path}/{name}-{uuid.uuid4().hex[:8]}"
+        path = self.folder(name)
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.made[id(out)] = path
+        self.made[out] = path
         return out
 
     def drop(self, *frames: DataFrame) -> None:
         for df in frames:
-            path = self.made.pop(id(df), None)
+            path = self.made.pop(df, None)
             if path is not None:
                 remove(self.spark, path)
 
@@ -82,7 +87,7 @@ class Scratch:
         """Deletes the whole folder; once the session is gone, only a local one can be reached."""
         atexit.unregister(self.clear)
         Scratch.live = [s for s in Scratch.live if s is not self]
-        self.made = {}
+        self.made.clear()
         try:
             if self.spark.sparkContext._jsc is not None:
                 remove(self.spark, self.path)

@@ -2,12 +2,13 @@
 
 Calls and results meet by a hash join on conversation and identifier.  Arguments are parsed as variants and checked against the tool's
 schema: required parameters, types, ranges, enumerations, unknown names.  Every call is a record of its own, and so is every result without
-a call: no conversation is gathered in a row, however many of the rows it holds.
+a call: no conversation's texts are gathered in a row, however many of the rows it holds.
 
 The topological order is a level: 0 for calls that depend on no call of their conversation, else one more than the highest level among those they depend on.
-Rounds of joins release the calls whose dependencies are released; each round handles only what still waits.  Where a round releases nothing, the
-waiting calls that others wait for form knots of cycles; there, dependencies on later calls (by turn, then key) are cut, and calls that lose one
-are marked cyclic.  Records sorted by (conversation, level, turn, identifier) are the conversation's order.
+Where calls depend on each other in cycles, the dependencies of a cycle that go to later calls (by turn, then key; or to the call itself) are cut, and calls
+that lose one are marked cyclic; all others, also those between two cycles, are kept.  A conversation of at most BOUND dependencies is ordered in one row, from
+arrays of its call keys and turns alone; longer ones by rounds of joins, with equal results.  Records sorted by (conversation, level, turn, identifier) are the
+conversation's order.
 
 Canonical JSON has keys in byte order, no blanks, and numbers as the variant prints them.
 
@@ -20,6 +21,8 @@ a missing result is null; empty tables give no rows; other columns are not carri
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +36,8 @@ SCHEMAS: dict[str, dict[str, tuple]] = {
 }
 KINDS = {"integer": ("BIGINT",), "string": ("STRING",), "boolean": ("BOOLEAN",)}
 JSON = {"ignoreNullFields": "false"}
+#: Dependencies of a conversation that is ordered in one row, at most; calls per whole number of a set.
+BOUND, BITS = 2_048, 62
 
 
 def errors(name: Column, args: Column, schemas: dict[str, dict[str, tuple]] = SCHEMAS) -> Column:
@@ -100,46 +105,132 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, tupl
     )
 
 
-def levels(linked: DataFrame, scratch: Scratch) -> DataFrame:
+def levels(linked: DataFrame, scratch: Scratch, bound: int = BOUND) -> DataFrame:
     """(node, level, cyclic) of every call of link()'s rows that depends on another of its conversation."""
     wants = linked.where("kind = 'call'").select("conv_id", "node", "turn", F.explode(F.array_distinct("depends")).alias("dep"))
     named = linked.where("holder").select("conv_id", F.col("call_id").alias("dep"), F.col("node").alias("on"), F.col("turn").alias("on_turn"))
-    pending = scratch.written(wants.join(named, ["conv_id", "dep"]).select("node", F.struct(F.col("turn"), "node").alias("at"), "on", F.struct(F.col("on_turn").alias("turn"), F.col("on").alias("node")).alias("on_at")), "pending")
-    found, cut, level = [], [], 0
-    n = pending.count()
+    at, on_at = F.struct("turn", "node").alias("at"), F.struct(F.col("on_turn").alias("turn"), F.col("on").alias("node")).alias("on_at")
+    edges = scratch.written(wants.join(named, ["conv_id", "dep"]).select("conv_id", "node", at, "on", on_at).distinct(), "edges")
+    long = scratch.written(edges.groupBy("conv_id").agg(F.count("*").alias("n")).where(F.col("n") > bound).select("conv_id"), "long")
+    short = levels_in_rows(edges.join(long, "conv_id", "left_anti"))
+    if long.isEmpty():
+        return short
+    return short.unionByName(levels_in_rounds(scratch.written(edges.join(long, "conv_id", "left_semi").drop("conv_id"), "rest"), scratch))
+
+
+def settled(values: Column, n: Column, update: Callable[[Column, Column], Column]) -> Column:
+    """The array values with each place i (from 1) set to update(array, i), up and down again and again, until nothing changes."""
+
+    def at(acc: Column, i: Column) -> Column:
+        return F.concat(F.slice(acc, F.lit(1), i - 1), F.array(update(acc, i)), F.slice(acc, i + 1, n))
+
+    def sweep(acc: Column) -> Column:
+        return F.aggregate(F.sequence(n, F.lit(1)), F.aggregate(F.sequence(F.lit(1), n), acc, at), at)
+
+    def step(acc: Column, _: Column) -> Column:
+        return F.when(acc.done, acc).otherwise(let(sweep(acc.v), lambda v: F.struct(v.alias("v"), (v == acc.v).alias("done"))))
+
+    return F.aggregate(F.sequence(F.lit(0), n), F.struct(values.alias("v"), F.lit(False).alias("done")), step, lambda acc: acc.v)
+
+
+def levels_in_rows(edges: DataFrame) -> DataFrame:
+    """levels() of edges(conv_id, at, on_at), a conversation in a row: each has so few edges that its arrays are small.
+
+    The waiting calls are numbered by turn and key.  Each gets a set (bits of whole numbers) of the calls it leads to; a dependency on a later call that leads
+    back is cut.  Then each gets the highest level among its dependencies, and one more.
+    """
+    nodes = edges.groupBy("conv_id", "at").agg(F.collect_list("on_at").alias("ons")).groupBy("conv_id").agg(F.collect_list(F.struct("at", "ons")).alias("calls"))
+
+    def sets(deps: Column, n: Column, places: Column) -> Column:
+        merged = lambda r, j, more: F.transform(places, lambda w: r[w].bitwiseOR(more[w]).bitwiseOR(bit(j, w)))
+        leads = lambda acc, i: F.aggregate(deps[i - 1], acc[i - 1], lambda r, j: F.when(j > 0, merged(r, j, acc[j - 1])).otherwise(r))
+        return settled(F.transform(deps, lambda _: F.transform(places, lambda _: F.expr("0L"))), n, leads)
+
+    def kept(deps: Column, n: Column, places: Column) -> Column:
+        back = lambda leads, i, j: (j >= i) & ((j == i) | F.exists(places, lambda w: leads[j - 1][w].bitwiseAND(bit(i, w)) != 0))
+        cut = let(sets(deps, n, places), lambda leads: F.transform(F.sequence(F.lit(1), n), lambda i: F.filter(deps[i - 1], lambda j: ~back(leads, i, j))))
+        late = F.exists(F.sequence(F.lit(1), n), lambda i: F.exists(deps[i - 1], lambda j: j >= i))
+        return F.when(late, cut).otherwise(deps)
+
+    def found(keys: Column, deps: Column, n: Column, own: Column, level: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(keys[i]["node"].alias("node"), level[i].alias("level"), (F.size(own[i]) < F.size(deps[i])).alias("cyclic")))
+
+    def ordered(keys: Column, deps: Column, n: Column) -> Column:
+        highest = lambda own: lambda acc, i: F.aggregate(own[i - 1], F.lit(0), lambda top, j: F.greatest(top, 1 + F.when(j > 0, acc[j - 1]).otherwise(0)))
+        of = lambda own: let(settled(F.transform(deps, lambda _: F.lit(0)), n, highest(own)), lambda level: found(keys, deps, n, own, level))
+        places = F.sequence(F.lit(0), F.floor((n - 1) / BITS).cast("int"))
+        return let(places, lambda places: let(kept(deps, n, places), of))
+
+    # Each value is bound once (let): lambdas would otherwise make it anew for every element.
+    numbered = lambda calls, keys: F.transform(calls, lambda c: F.transform(c.ons, lambda o: F.array_position(keys, o).cast("int")))  # noqa: E731, 0: waits for nothing
+    by_number = lambda calls, keys: let(numbered(calls, keys), lambda deps: let(F.size(deps), lambda n: ordered(keys, deps, n)))
+    whole = let(F.array_sort("calls"), lambda calls: let(F.transform(calls, lambda c: c["at"]), lambda keys: by_number(calls, keys)))
+    return nodes.select(F.inline(whole))
+
+
+def bit(j: Column, w: Column) -> Column:
+    """The w-th whole number of a set that holds j (from 1) alone."""
+    return F.when(w == F.floor((j - 1) / BITS), F.expr("1L")).otherwise(F.expr("0L")) * F.pow(F.lit(2), F.pmod(j - 1, F.lit(BITS))).cast("long")
+
+
+def levels_in_rounds(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """levels() of edges(node, at, on, on_at) by rounds of joins, for conversations too long for a row; as many rounds as the longest chain has calls."""
+    late = scratch.written(cycle_edges(edges, scratch).where("on_at >= at").select("node", "on"), "late")
+    pending = scratch.written(edges.join(late, ["node", "on"], "left_anti").select("node", "on"), "pending")
+    calls = edges.select("node").distinct().join(late.select("node").distinct().withColumn("cyclic", F.lit(True)), "node", "left")
+    path, level, n = scratch.folder("released"), 0, pending.count()
     while n:
         level += 1
         waiting = pending.select("node").distinct()
         left = scratch.written(pending.join(waiting.withColumnRenamed("node", "on"), "on", "left_semi"), "left")
-        n_left = left.count()
-        if n_left < n:
-            found.append(scratch.written(waiting.join(left.select("node").distinct(), "node", "left_anti").withColumn("level", F.lit(level)), "released"))
-        else:  # knots of cycles, and what waits for them
-            level -= 1
-            left, gone = untied(left, scratch)
-            cut.append(gone)
-            n_left = left.count()
-            free = scratch.written(waiting.join(left.select("node").distinct(), "node", "left_anti").withColumn("level", F.lit(level)), "released")
-            found.append(free)
+        waiting.join(left.select("node").distinct(), "node", "left_anti").withColumn("level", F.lit(level)).write.mode("append").parquet(path)
         scratch.drop(pending)
-        pending, n = left, n_left
-    known = pending.select("node", F.lit(0).alias("level")).limit(0)
-    for part in found:
-        known = known.unionByName(part)
-    loose = pending.select("node").limit(0)
-    for part in cut:
-        loose = loose.unionByName(part)
-    return known.join(loose.distinct().withColumn("cyclic", F.lit(True)), "node", "left").select("node", "level", F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
-
-
-def untied(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """edges without those of its knots that go to a later call (or to itself), and the nodes that lost one."""
-    core, n = edges, -1
-    while n != (now := core.count()):
-        n = now
-        core = scratch.written(core.join(core.select(F.col("on").alias("node")).distinct(), "node", "left_semi"), "core")
-    late = scratch.written(core.where("on_at >= at").select("node", "on").distinct(), "late")
-    return scratch.written(edges.join(late, ["node", "on"], "left_anti"), "left"), late.select("node").distinct()
+        pending, n = left, left.count()
+    released = scratch.spark.read.schema("node string, level int").parquet(path) if level else pending.select("node", F.lit(0).alias("level"))
+    return calls.join(released, "node", "left").select("node", F.coalesce("level", F.lit(0)).alias("level"), F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
+
+
+def cycle_edges(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """The edges whose two ends lie on a common cycle: ends are trimmed, then strongly connected parts found, colour by colour.
+
+    A node's colour is the greatest key from which a chain of dependencies leads to it.  The nodes of a colour that lead back to the key of that name are one
+    strongly connected part; they go, and the rest is coloured anew.
+    """
+
+    def rounds(df: DataFrame, step: Callable[[DataFrame], DataFrame], measure: Column) -> DataFrame:
+        df, before = scratch.written(df, "round"), None
+        while (now := df.agg(measure).first()[0]) != before:
+            before, last = now, df
+            df = scratch.written(step(df), "round")
+            scratch.drop(last)
+        return df
+
+    def ends(df: DataFrame) -> DataFrame:
+        return df.join(df.select(F.col("on").alias("node")).distinct(), "node", "left_semi").join(df.select(F.col("node").alias("on")).distinct(), "on", "left_semi").select(*df.columns)
+
+    path, left, some = scratch.folder("parts"), rounds(edges, ends, F.count("*")), False
+    while not left.isEmpty():
+        some = True
+        own = left.select("node").union(left.select("on")).distinct().withColumn("colour", F.col("node"))
+
+        def paint(c: DataFrame, left: DataFrame = left) -> DataFrame:
+            return left.join(c, "node").select(F.col("on").alias("node"), "colour").union(c.select("node", "colour")).groupBy("node").agg(F.max("colour").alias("colour"))
+
+        colours = rounds(own, paint, F.bit_xor(F.xxhash64("node", "colour")))
+
+        def back(part: DataFrame, left: DataFrame = left, colours: DataFrame = colours) -> DataFrame:
+            more = left.join(part.select(F.col("node").alias("on"), "colour"), "on").select("node", "colour")
+            return more.join(colours, ["node", "colour"], "left_semi").union(part.select("node", "colour")).distinct()
+
+        part = rounds(colours.where("node = colour"), back, F.count("*"))
+        part.write.mode("append").parquet(path)
+        rest = left.join(part.select("node"), "node", "left_anti").join(part.select(F.col("node").alias("on")), "on", "left_anti").select(*edges.columns)
+        left = rounds(rest, ends, F.count("*"))
+    if not some:
+        return edges.limit(0)
+    parts = scratch.spark.read.schema("node string, colour string").parquet(path)
+    ours, theirs = parts.withColumnRenamed("colour", "part"), parts.select(F.col("node").alias("on"), F.col("colour").alias("part"))
+    return edges.join(ours, "node").join(theirs, ["on", "part"]).select(*edges.columns)
 
 
 def records(linked: DataFrame, scratch: Scratch) -> DataFrame:

@@ -54,13 +54,14 @@ def tricky(spark, tmp_path_factory):
     pages = [(1, "u", "same"), (2, "u\r\nX: y", "same"), (3, None, None), (4, "v", ""), (5, "w", "é" * 90_000), (5, "w", "é" * 90_000), (None, "n", "same"), (None, "n", "alone")] + [(100 + i, f"u{i}", long_text(40, i)) for i in range(300)]
     spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("digest", F.lit("clash")).write.parquet(f"{path}/pages.parquet")
     spark.createDataFrame([(1, 1, "assistant", None), (1, 2, "user", None), (None, 1, "assistant", "a"), (1, 1, "assistant", "zz"), (2, 4, "user", "orphan"), (3, None, "assistant", "x" * 50_000)], "conv_id long, turn long, role string, text string").write.parquet(f"{path}/conversations.parquet")
+    spark.createDataFrame([(1, long_text(12, 9)), (None, None)], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
     return path
 
 
 @pytest.fixture(scope="module")
 def empty(spark, tricky, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("empty"))
-    for t in ("documents", "labels", "pages", "conversations"):
+    for t in ("documents", "labels", "pages", "conversations", "benchmark"):
         spark.read.parquet(f"{tricky}/{t}.parquet").limit(0).write.parquet(f"{path}/{t}.parquet")
     return path
 
@@ -419,6 +420,62 @@ def test_levels_equal_longest_paths(spark):
     assert got == {c[2]: (level(c), False) for c in calls} and max(v for v, _ in got.values()) >= 2
 
 
+def ordered_by_parts(calls):
+    """{id: (level, cyclic)} of calls(conversation, turn, id, dependencies): loops over strongly connected parts found by reachability."""
+    key = {c[2]: (c[0], c[1]) for c in calls}
+    deps = {c[2]: [d for d in dict.fromkeys(c[3]) if d in key and key[d][0] == c[0]] for c in calls}
+    leads = {}
+    for i in deps:
+        seen, stack = set(), list(deps[i])
+        while stack:
+            if (j := stack.pop()) not in seen:
+                seen.add(j)
+                stack += deps[j]
+        leads[i] = seen
+    kept = {i: [j for j in js if not (key[j][1] >= key[i][1] and i in leads[j])] for i, js in deps.items()}
+    level: dict[str, int] = {}
+    while len(level) < len(kept):
+        level |= {i: max((1 + level[j] for j in js), default=0) for i, js in kept.items() if i not in level and all(j in level for j in js)}
+    return {i: (level[i], len(kept[i]) < len(deps[i])) for i in deps}
+
+
+def linked_graph(spark, calls):
+    rows = [(c, t, i, "search", '{"query":"q"}', d) for c, t, i, d in calls]
+    made = spark.createDataFrame(rows, "conv_id string, turn long, call_id string, name string, arguments string, depends array<string>")
+    return tool_calls.link(made, spark.createDataFrame([], "conv_id string, turn long, call_id string, content string"))
+
+
+@pytest.mark.parametrize("bound", [2_048, 0])
+def test_calls_between_cycles_keep_their_order(spark, bound):
+    bridge = [("b", 1, "A1", ["A2", "B"]), ("b", 2, "A2", ["A1"]), ("b", 5, "B", ["C1"]), ("b", 6, "C1", ["C2"]), ("b", 7, "C2", ["C1"])]
+    r = random.Random(3)
+    graphs = []
+    for g in range(60 if bound else 4):
+        n = r.randint(1, 70 if bound and g % 20 == 0 else 9)
+        graphs += [(f"g{g}", t, f"g{g}-{t}", [f"g{g}-{r.randrange(n)}" for _ in range(r.choice((0, 1, 1, 2, 3)))]) for t in range(n)]
+    calls = bridge + graphs
+    scratch = Scratch(spark, "test")
+    linked = scratch.written(linked_graph(spark, calls), "linked")
+    found = linked.join(tool_calls.levels(linked, scratch, bound), "node", "left").collect()
+    wanted = ordered_by_parts(calls)
+    assert {r.call_id: (r.level or 0, bool(r.cyclic)) for r in found} == wanted
+    assert wanted["C1"] == (0, True) and wanted["B"] == (1, False) and wanted["A1"] == (2, True)
+    assert any(c for _, c in wanted.values())
+    scratch.clear()
+
+
+def test_long_chains_take_no_round_per_call(spark):
+    n = 1_000
+    calls = [("up", t, f"u{t}", [f"u{t - 1}", f"u{t - 2}"]) for t in range(n)] + [("down", t, f"d{t}", [f"d{t + 1}"]) for t in range(n)] + [("ring", t, f"r{t}", [f"r{(t + 1) % n}"]) for t in range(n)]
+    scratch = Scratch(spark, "test")
+    linked = scratch.written(linked_graph(spark, calls), "linked")
+    began = time.time()
+    found = {r.call_id: (r.level or 0, bool(r.cyclic)) for r in linked.join(tool_calls.levels(linked, scratch), "node", "left").collect()}
+    assert time.time() - began < 60
+    assert all(found[f"u{t}"] == (t, False) and found[f"d{t}"] == (n - 1 - t, False) and found[f"r{t}"] == ((0, True) if t < n - 1 else (1, False)) for t in range(n))
+    scratch.clear()
+
+
 def test_warc(spark, tricky):
     got = sorted((r.page_id is None, r.page_id or 0, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in queries.QUERIES["op6_warc"](spark, tricky).collect())
     pages = spark.read.parquet(f"{tricky}/pages.parquet").collect()
