@@ -12,6 +12,7 @@ from folioweave.operators import structure as T
 from folioweave.operators import units as U
 from folioweave.sources import fixtures as S
 from folioweave.sources import layout_fixtures as G
+from folioweave.sources.shared import once, sharing
 from folioweave.sources.tables import load_layout, shared_folder, table
 
 from . import translation
@@ -20,6 +21,7 @@ WITH = "WITH RECURSIVE " + G.SPANS_SQL
 NOW = "2024-01-31 00:00:00"
 
 
+@once
 def lines(spark: SparkSession, sf_dir: str, running: bool = True) -> DataFrame:
     return L.lines_of(G.spans(spark, sf_dir, running))
 
@@ -52,6 +54,7 @@ def span_math(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.with_math(s, L.body_font(s)).groupBy("doc_id", "page").agg(F.count("*").alias("n"), F.count_if("is_math").alias("n_math"))
 
 
+@once
 def running(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = lines(spark, sf_dir)
     return L.running_lines(own, L.repeated_edge_lines(own))
@@ -93,9 +96,10 @@ def places(spark: SparkSession, sf_dir: str, own: DataFrame) -> DataFrame:
     return L.containers(own, L.box_dedup(boxes(spark, sf_dir))).join(T.line_kinds(spans).select(*place, "pure"), place)
 
 
+@once
 def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Body lines in paragraphs, by their boxes and by what they hold."""
-    own = lines(spark, sf_dir, running=False)
+    own = lines(spark, sf_dir, False)
     return L.paragraphs(own, places(spark, sf_dir, own))
 
 
@@ -137,7 +141,8 @@ QUERIES = {
     "font_family": lambda s, d: G.spans(s, d).groupBy("doc_id", X.font_family(F.col("font")).alias("family")).agg(F.count("*").alias("n")), "span_math": span_math,
     "norm_edge_text": lambda s, d: lines(s, d).select("doc_id", "page", "line_id", X.edge_text(F.col("text")).alias("norm")), "repeated_edge_lines": lambda s, d: L.repeated_edge_lines(lines(s, d)),
     "running_lines": running_lines, "split_columns": columns, "page_numbers": page_numbers, "body_lines": body_lines, "running_blocks": running_blocks,
-    "paragraphs": lambda s, d: paragraphs(s, d).select("doc_id", "page", "line_id", "para"), "bullet_split": lambda s, d: L.bullet_segments(paragraphs(s, d)).select("doc_id", "page", "line_id", "segment", "role"),
+    "paragraphs": sharing(lambda s, d: paragraphs(s, d).select("doc_id", "page", "line_id", "para")),
+    "bullet_split": sharing(lambda s, d: L.bullet_segments(paragraphs(s, d)).select("doc_id", "page", "line_id", "segment", "role")),
     "page_boxes": boxes, "box_dedup": lambda s, d: L.box_dedup(boxes(s, d)), "containers": lambda s, d: L.containers(lines(s, d, False), L.box_dedup(boxes(s, d))),
     "image_zones": lambda s, d: L.image_lines(lines(s, d, False), L.image_zones(G.images(s, d))), "fraction_words": lambda s, d: L.fraction_words(G.spans(s, d, False), G.rules(s, d)),
     "intake_validate": intake, "probe_stats": lambda s, d: M.probe_stats(S.probes(s, d)), "model_ranking": lambda s, d: M.model_ranking(M.probe_stats(S.probes(s, d))), "stale_results": stale_results,

@@ -10,14 +10,14 @@ from pyspark.sql import DataFrame
 
 from folioweave.functions import text as X
 
-from .structure import FORMULA_WORDS
+from .structure import FORMULA_WORDS, longest_first
 
 # Fixed values of the continuation rules.
 INSIDE, PROSE_OVERLAP, BULLET_GAP, LINE_OVERLAP = 0.8, 3.0, 12.0, 1.0
 PUNCTUATION = frozenset(",.;:!?·、。，；：！？…'\"“”‘’")
 NUMBERED = re.compile(r"[0-9]{1,2}[.)、]\s")
 LETTER = re.compile("[A-Za-zÀ-ÿ]")
-LONGEST_FIRST = sorted(FORMULA_WORDS, key=lambda w: (-len(w), w))
+LONGEST_FIRST = longest_first(FORMULA_WORDS)
 RESULT = "doc_id long, page int, line_id int, span_no int, host int"
 
 
@@ -84,12 +84,14 @@ def merged_lines(lines: list[Line]) -> list[Line]:
 def continuation_merge(spans: DataFrame) -> DataFrame:
     """(doc_id, page, line_id, span_no, host) of spans with is_math: the line that each span's line has become part of; most are their own.
 
-    Null texts count as empty.  Lines go by (y0, x0, line_id), spans of a line by (span_no, x0); rows that are the same stay.
+    Null texts count as empty; spans without a line_id stand in no line and stay out.  Lines go by (y0, x0, line_id), spans of a line by (span_no, x0); rows that are the same stay.
     """
 
     def page(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.assign(text=rows["text"].fillna("")).sort_values(["line_id", "span_no", "x0"])
+        rows = rows.assign(text=rows["text"].fillna("")).dropna(subset=["line_id"]).sort_values(["line_id", "span_no", "x0"])
         columns = ["x0", "y0", "span_no", "text", "is_math", "x1", "y1", "line_id"]
+        if rows.empty:
+            return pd.DataFrame(columns=["doc_id", "page", "line_id", "span_no", "host"])
         lines = [Line(int(n), list(own[columns].itertuples(index=False, name=None))) for n, own in rows.groupby("line_id")]
         merged = merged_lines(sorted(lines, key=lambda line: (line.box[1], line.box[0], line.host)))
         out = pd.DataFrame([(s[7], s[2], line.host) for line in merged for s in line.spans], columns=["line_id", "span_no", "host"])

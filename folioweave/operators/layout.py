@@ -18,6 +18,7 @@ ENUMERATOR = r"^\d{1,2}[.)、](?U)\s"
 MATH_FAMILIES = "CMMI|CMSY|CMEX|MSAM|MSBM|CMU|CMR|CMTI|CMBX|CMSS|CMFinite|LMMath|Cambria|STIX|STIXTwo|Asana|XITS|Euler|MnSymbol|MathJax|Symbol"
 MATH_CHARS = "≤≥≠≈≡≃≅∼∝∞∂∇±×÷·∈∉⊂⊆⊃⊇∪∩∅∀∃∑∏∫⟨⟩∥⊥∠⩽⩾→←↦⇒⇐⇔↔↑↓"
 MATH_RANGES = r"\x{0370}-\x{03FF}\x{1D400}-\x{1D7FF}\x{2190}-\x{21FF}\x{2200}-\x{22FF}\x{27C0}-\x{27EF}\x{2A00}-\x{2AFF}\x{2100}-\x{214F}"
+IMAGE_SIDE, IMAGE_LEAST, IMAGE_AREA = 40.0, 3000.0, 0.85
 UPLOAD_BYTES, UPLOAD_PAGES = 30 * 1024 * 1024, 60
 
 
@@ -51,8 +52,7 @@ def page_extent(spans: DataFrame, sizes: DataFrame | None = None, width: float =
     if sizes is None:
         e = e.withColumns({"width": F.lit(width), "height": F.lit(height)})
     else:
-        first = sizes.where("page = 0").groupBy("doc_id").agg(F.min("width").alias("width"), F.min("height").alias("height"))
-        e = e.join(first, "doc_id", "left").withColumns({"width": F.coalesce("width", F.lit(width)), "height": F.coalesce("height", F.lit(height))})
+        e = e.join(document_sizes(sizes), "doc_id", "left").withColumns({"width": F.coalesce("width", F.lit(width)), "height": F.coalesce("height", F.lit(height))})
     return e.select("doc_id", "left", "top", (F.col("width") - F.col("x1")).alias("right"), (F.col("height") - F.col("y1")).alias("bottom"), "width", "height")
 
 
@@ -216,11 +216,23 @@ def containers(lines: DataFrame, boxes: DataFrame) -> DataFrame:
     return hit.select("doc_id", "page", "line_id", F.col("s.rect_no").alias("rect_no"))
 
 
-def image_zones(images: DataFrame, width: float = 595.0, height: float = 842.0) -> DataFrame:
-    """Placements worth keeping: the first of each image on a page, neither small nor the whole page."""
+def image_zones(images: DataFrame, sizes: DataFrame | None = None, width: float = 595.0, height: float = 842.0) -> DataFrame:
+    """Placements worth keeping: the first of each image on a page, neither small nor the whole page.
+
+    sizes(doc_id, width, height) are the documents' measures (document_sizes); the given ones hold for other documents.
+    """
     first = images.groupBy("doc_id", "page", "xref").agg(F.min(F.struct("x0", "y0", "x1", "y1")).alias("r")).select("doc_id", "page", "xref", "r.*")
     w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-    return first.where((w >= 40) & (h >= 40) & (w * h >= 3000) & (w * h <= 0.85 * width * height))
+    area = F.lit(width * height)
+    if sizes is not None:
+        first = first.join(sizes.select("doc_id", "width", "height"), "doc_id", "left")
+        area = F.coalesce("width", F.lit(width)) * F.coalesce("height", F.lit(height))
+    return first.where((w >= IMAGE_SIDE) & (h >= IMAGE_SIDE) & (w * h >= IMAGE_LEAST) & (w * h <= IMAGE_AREA * area)).drop("width", "height")
+
+
+def document_sizes(sizes: DataFrame) -> DataFrame:
+    """(doc_id, width, height) of each document: its first page's, of sizes(doc_id, page, width, height)."""
+    return sizes.where("page = 0").groupBy("doc_id").agg(F.min("width").alias("width"), F.min("height").alias("height"))
 
 
 def image_lines(lines: DataFrame, zones: DataFrame) -> DataFrame:

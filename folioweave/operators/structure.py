@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,19 +19,24 @@ from folioweave.functions import text as X
 from .layout import ENUMERATOR
 
 # Fixed values of the formula rules.
-FORMULA_WORDS = ("avec", "pour", "donc", "arg", "cos", "sin", "tan", "log", "exp", "mod", "min", "max", "sup", "inf", "re", "im", "ou", "si", "ln", "sh", "ch", "th")
-ZONE_WORDS = ("arccos", "arcsin", "arctan", "mod", "arg", "cos", "sin", "tan", "cot", "log", "exp", "sup", "inf", "min", "max", "lim", "re", "im", "ln", "ch", "sh", "th")
+FORMULA_WORDS = ("re", "im", "ou", "avec", "si", "pour", "donc", "arg", "cos", "sin", "tan", "ln", "log", "exp", "mod", "min", "max", "sup", "inf", "sh", "ch", "th")
+ZONE_WORDS = ("re", "im", "mod", "arg", "cos", "sin", "tan", "cot", "ln", "log", "exp", "sup", "inf", "min", "max", "ch", "sh", "th", "lim", "arccos", "arcsin", "arctan")
 PUNCTUATION = r"""^(?U)\s*[,.;:!?·、。，；：！？…'"“”‘’]+\s*$"""
 BAND, COVER, TALLER, PROSE, STRAY, EMPHASIS = 0.15, 0.12, 1.7, 6, 6.5, 0.6
 
 
+def longest_first(words: tuple[str, ...]) -> list[str]:
+    """The order in which words are taken out of a text; equal lengths by the alphabet."""
+    return sorted(words, key=lambda w: (-len(w), w))
+
+
 def formula_only(text: Column, words: tuple[str, ...] = FORMULA_WORDS) -> Column:
     """Whether nothing is left once the words are taken out of the text's letters, longest first, again and again."""
     letters = F.regexp_replace(F.lower(text), "[^a-zà-ÿ]", "")
     alphabet = "".join(sorted(set("".join(words))))
 
     def once(s: Column) -> Column:
-        for w in sorted(words, key=lambda w: (-len(w), w)):
+        for w in longest_first(words):
             s = F.replace(s, F.lit(w), F.lit(""))
         return s
 
@@ -88,22 +94,33 @@ def bands_of(x0: list, y0: list, x1: list, y1: list) -> list[int]:
 
 
 def closure_of(x0: list, y0: list, x1: list, y1: list) -> list[int]:
-    """Zone of each box: the first pair that is near in order (by growing extents) merges, until none is."""
-    zones = [[list(b), [i]] for i, b in enumerate(zip(x0, y0, x1, y1, strict=True))]
-
-    def near(a: list[float], b: list[float]) -> bool:
-        x_over, y_over = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
-        return (y_over > 0 and -x_over < 12) or (-y_over < 8 and x_over > 0.4 * min(a[2] - a[0], b[2] - b[0]))
-
-    pair = True
-    while pair:
-        pair = next(((i, j) for i in range(len(zones)) for j in range(i + 1, len(zones)) if near(zones[i][0], zones[j][0])), None)
-        if pair:
-            b, more = zones.pop(pair[1])
-            a, held = zones[pair[0]]
-            zones[pair[0]] = [[min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3])], held + more]
-    label = {i: n for n, zone in enumerate(zones) for i in zone[1]}
-    return [label[i] for i in range(len(x0))]
+    """Zone of each box: the first pair that is near in order (by growing extents) merges, until none is.
+
+    Only pairs of a zone that has grown can be new, and of those the ones with an earlier zone come first.  So the search goes on at the zone that has grown,
+    instead of at the start: it looks at all others once for each zone and each merge.
+    """
+    box = np.array([x0, y0, x1, y1], float)
+    n = box.shape[1]
+    whole, into, i = np.ones(n, bool), np.arange(n), 0
+    while i < n:
+        if not whole[i]:
+            i += 1
+            continue
+        a = box[:, i : i + 1]
+        x_over, y_over = np.minimum(a[2], box[2]) - np.maximum(a[0], box[0]), np.minimum(a[3], box[3]) - np.maximum(a[1], box[1])
+        near = ((y_over > 0) & (-x_over < 12)) | ((-y_over < 8) & (x_over > 0.4 * np.minimum(a[2] - a[0], box[2] - box[0])))
+        near[i] = False
+        others = np.flatnonzero(near & whole)
+        if not len(others):
+            i += 1
+            continue
+        first, second = min(i, int(others[0])), max(i, int(others[0]))
+        box[:2, first] = np.minimum(box[:2, first], box[:2, second])
+        box[2:, first] = np.maximum(box[2:, first], box[2:, second])
+        whole[second], into[second], i = False, first, first
+    for k in range(n):  # a zone goes into an earlier one, which may have gone on itself
+        into[k] = into[into[k]]
+    return (np.cumsum(whole) - 1)[into].tolist()
 
 
 def labelled(rows: DataFrame, key: str, label: Callable[[list, list, list, list], list[int]], name: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioweave.functions import text as X
 
+from .shared import once
 from .tables import table
 
 
@@ -18,6 +19,7 @@ def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 LINES_SQL = """doc_lines AS (SELECT doc_id, (i - 1)::INT AS ln, l[i] AS base FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents) d, unnest(range(1, len(l) + 1)) AS u(i))"""
 
 
+@once
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, unit_no, region, template, sig, key, base), one per document line."""
     ln = F.col("ln")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .fixtures import LINES_SQL, doc_lines
+from .shared import once
 from .tables import table
 
 
@@ -16,6 +17,7 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.withColumn("v", F.dense_rank().over(Window.partitionBy("doc_id").orderBy("ln", "vl")) - 1)
 
 
+@once
 def body_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     ln, wp, n = F.col("ln"), F.col("wp"), F.length("wd")
     before = Window.partitionBy("doc_id", "ln", "vl").orderBy("wp").rowsBetween(Window.unboundedPreceding, -1)
@@ -30,6 +32,7 @@ def body_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@once
 def spans(spark: SparkSession, sf_dir: str, running: bool = True) -> DataFrame:
     body = body_spans(spark, sf_dir).drop("ln", "wp")
     if not running:
