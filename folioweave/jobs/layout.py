@@ -144,7 +144,7 @@ QUERIES = {
     "paragraphs": sharing(lambda s, d: paragraphs(s, d).select("doc_id", "page", "line_id", "para")),
     "bullet_split": sharing(lambda s, d: L.bullet_segments(paragraphs(s, d)).select("doc_id", "page", "line_id", "segment", "role")),
     "page_boxes": boxes, "box_dedup": lambda s, d: L.box_dedup(boxes(s, d)), "containers": lambda s, d: L.containers(lines(s, d, False), L.box_dedup(boxes(s, d))),
-    "image_zones": lambda s, d: L.image_lines(lines(s, d, False), L.image_zones(G.images(s, d))), "fraction_words": lambda s, d: L.fraction_words(G.spans(s, d, False), G.rules(s, d)),
+    "image_zones": lambda s, d: L.image_lines(lines(s, d, False), L.image_zones(G.images(s, d), L.document_sizes(G.page_sizes(s, d)))), "fraction_words": lambda s, d: L.fraction_words(G.spans(s, d, False), G.rules(s, d)),
     "intake_validate": intake, "probe_stats": lambda s, d: M.probe_stats(S.probes(s, d)), "model_ranking": lambda s, d: M.model_ranking(M.probe_stats(S.probes(s, d))), "stale_results": stale_results,
     "expired_jobs": expired_jobs, "quality_report": quality_report, "lang_share": lambda s, d: M.language_share(S.translations(s, d)),
 }

@@ -113,13 +113,16 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("page")
     some = F.expr("array(struct(page + 0, 640, 480, 100, 400, 300, 500), struct(1000 + page, 16, 16, 10, 10, 30, 30))").cast(f"array<{kind}>")
     own = pages(spark, sf_dir).where(p % 4 == 1).select("doc_id", "page", F.inline(some))
+    large = F.expr("array(struct(2000 + page, 900, 1500, 40, 3, 540, 839))").cast(f"array<{kind}>")  # too large for the lesser format alone
+    own = own.unionByName(pages(spark, sf_dir).where(p % 8 == 6).select("doc_id", "page", F.inline(large)))
     scans = table(spark, sf_dir, "documents").where("n_chars < 20").select("doc_id", F.lit(0).alias("page"), F.inline(F.expr("array(struct(9999, 1200, 1600, 0, 0, 595, 842))").cast(f"array<{kind}>")))
     return own.unionByName(scans)
 
 
 IMAGES_SQL = """images AS (SELECT DISTINCT doc_id, page, page AS xref, 640 AS px_w, 480 AS px_h, 100.0::DOUBLE AS x0, 400.0::DOUBLE AS y0, 300.0::DOUBLE AS x1, 500.0::DOUBLE AS y1 FROM body WHERE page % 4 = 1
-  UNION ALL SELECT DISTINCT doc_id, page, 1000 + page, 16, 16, 10, 10, 30, 30 FROM body WHERE page % 4 = 1 UNION ALL SELECT doc_id, 0, 9999, 1200, 1600, 0, 0, 595, 842 FROM documents WHERE n_chars < 20),
-zones AS (SELECT doc_id, page, xref, x0, y0, x1, y1 FROM images WHERE x1 - x0 >= 40 AND y1 - y0 >= 40 AND (x1 - x0) * (y1 - y0) >= 3000 AND (x1 - x0) * (y1 - y0) <= 0.85 * 595 * 842)"""
+  UNION ALL SELECT DISTINCT doc_id, page, 1000 + page, 16, 16, 10, 10, 30, 30 FROM body WHERE page % 4 = 1 UNION ALL SELECT DISTINCT doc_id, page, 2000 + page, 900, 1500, 40, 3, 540, 839 FROM body WHERE page % 8 = 6 UNION ALL SELECT doc_id, 0, 9999, 1200, 1600, 0, 0, 595, 842 FROM documents WHERE n_chars < 20),
+areas AS (SELECT DISTINCT doc_id, CASE WHEN doc_id % 4 < 3 THEN 595 * 842 ELSE 612 * 792 END AS area FROM body WHERE page = 0),
+zones AS (SELECT doc_id, page, xref, x0, y0, x1, y1 FROM images LEFT JOIN areas USING (doc_id) WHERE x1 - x0 >= 40 AND y1 - y0 >= 40 AND (x1 - x0) * (y1 - y0) >= 3000 AND (x1 - x0) * (y1 - y0) <= 0.85::DOUBLE * coalesce(area, 595 * 842))"""
 
 
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
