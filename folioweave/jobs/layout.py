@@ -135,7 +135,7 @@ def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "body_font": lambda s, d: L.body_font(G.spans(s, d)), "body_size": lambda s, d: L.body_size(G.spans(s, d)), "page_extent": lambda s, d: L.page_extent(G.spans(s, d), G.page_sizes(s, d)), "doc_profile": doc_profile,
+    "body_font": lambda s, d: L.body_font(G.spans(s, d)), "body_size": lambda s, d: L.body_size(G.spans(s, d)), "page_extent": lambda s, d: L.page_extent(G.spans(s, d), G.page_sizes(s, d)), "doc_profile": sharing(doc_profile),
     "layout_source": layout_source, "write_speed": write_speed,
     "scan_page": scan_page, "scan_ratio": lambda s, d: L.scan_ratio(scan_page(s, d)), "route_docs": lambda s, d: L.route(L.scan_ratio(scan_page(s, d))),
     "font_family": lambda s, d: G.spans(s, d).groupBy("doc_id", X.font_family(F.col("font")).alias("family")).agg(F.count("*").alias("n")), "span_math": span_math,

@@ -18,6 +18,7 @@ ENUMERATOR = r"^\d{1,2}[.)、](?U)\s"
 MATH_FAMILIES = "CMMI|CMSY|CMEX|MSAM|MSBM|CMU|CMR|CMTI|CMBX|CMSS|CMFinite|LMMath|Cambria|STIX|STIXTwo|Asana|XITS|Euler|MnSymbol|MathJax|Symbol"
 MATH_CHARS = "≤≥≠≈≡≃≅∼∝∞∂∇±×÷·∈∉⊂⊆⊃⊇∪∩∅∀∃∑∏∫⟨⟩∥⊥∠⩽⩾→←↦⇒⇐⇔↔↑↓"
 MATH_RANGES = r"\x{0370}-\x{03FF}\x{1D400}-\x{1D7FF}\x{2190}-\x{21FF}\x{2200}-\x{22FF}\x{27C0}-\x{27EF}\x{2A00}-\x{2AFF}\x{2100}-\x{214F}"
+BAND, BANDS = 50.0, 400
 IMAGE_SIDE, IMAGE_LEAST, IMAGE_AREA = 40.0, 3000.0, 0.85
 UPLOAD_BYTES, UPLOAD_PAGES = 30 * 1024 * 1024, 60
 
@@ -244,15 +245,32 @@ def image_lines(lines: DataFrame, zones: DataFrame) -> DataFrame:
     return l.join(z, same & inside).select("l.doc_id", "l.page", "l.line_id", "z.xref")
 
 
+def banded(df: DataFrame, low: Column, high: Column) -> DataFrame:
+    """df with a row for each band of BAND points of the page that low to high meets, as _band; _first is the lowest of them.
+
+    Two intervals that meet share a band.  Rows joined by _band, where _band is the greater of their _first, meet once; candidates are the rows of one band, not
+    of the page.  Places outside of the bands count to the outermost ones.
+    """
+    place = lambda c: F.floor(F.least(F.greatest(c, F.lit(0.0)), F.lit(BAND * BANDS)) / BAND).cast("int")
+    ends = df.withColumns({"_first": place(F.least(low, high)), "_last": place(F.greatest(low, high))})
+    return ends.withColumn("_band", F.explode(F.sequence("_first", "_last"))).drop("_last")
+
+
+def same_band(a: str, b: str) -> Column:
+    """Of two banded tables: rows of one page and band, in the first band they share."""
+    keys = [F.col(f"{a}.{c}") == F.col(f"{b}.{c}") for c in ("doc_id", "page", "_band")]
+    return keys[0] & keys[1] & keys[2] & (F.col(f"{a}._band") == F.greatest(f"{a}._first", f"{b}._first"))
+
+
 def fraction_words(spans: DataFrame, rules: DataFrame) -> DataFrame:
     """(doc_id, page, line_id, span_no) of alphabetic spans under or over a short rule that covers 70 % of their width."""
-    s, r = spans.where(X.strip(F.col("text")).rlike(r"^[\p{L}]+$")).alias("s"), rules.alias("r")
+    words = spans.where(X.strip(F.col("text")).rlike(r"^[\p{L}]+$"))
+    s, r = banded(words, F.col("y0") - 4, F.col("y1") + 4).alias("s"), banded(rules, F.col("y0"), F.col("y1")).alias("r")
     w = F.col("s.x1") - F.col("s.x0")
     short = (F.col("r.y1") - F.col("r.y0") <= 2.6) & (F.col("r.x1") - F.col("r.x0") <= 3 * F.greatest(w, F.lit(8.0)))
     cover = F.least("s.x1", "r.x1") - F.greatest("s.x0", "r.x0") >= 0.7 * w
     near = (F.col("r.y0") - F.col("s.y1")).between(-1.5, 4.0) | (F.col("s.y0") - F.col("r.y1")).between(-1.5, 4.0)
-    same = (F.col("s.doc_id") == F.col("r.doc_id")) & (F.col("s.page") == F.col("r.page"))
-    return s.join(r, same & short & cover & near, "left_semi").select("doc_id", "page", "line_id", "span_no")
+    return s.join(r, same_band("s", "r") & short & cover & near, "left_semi").select("doc_id", "page", "line_id", "span_no").distinct()
 
 
 def accepted_files(files: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from folioweave.functions import text as X
 
-from .layout import ENUMERATOR
+from .layout import ENUMERATOR, banded, same_band
 
 # Fixed values of the formula rules.
 FORMULA_WORDS = ("re", "im", "ou", "avec", "si", "pour", "donc", "arg", "cos", "sin", "tan", "ln", "log", "exp", "mod", "min", "max", "sup", "inf", "sh", "ch", "th")
@@ -228,19 +228,21 @@ def crop_masks(spans: DataFrame, rules: DataFrame) -> DataFrame:
 
     spans have crop (null: none).  Spans with combining accents reach up by 0.6 of their size; thin rules count unless they lie inside the crop's own core.
     """
-    page, same = ["doc_id", "page"], lambda a, b: (F.col(f"{a}.doc_id") == F.col(f"{b}.doc_id")) & (F.col(f"{a}.page") == F.col(f"{b}.page"))
+    page = ["doc_id", "page"]
     top = F.col("y0") - F.when(F.col("text").rlike(r"[\x{0300}-\x{036F}\x{20D0}-\x{20F0}]"), 0.6 * F.col("size")).otherwise(0.0)
     spans = spans.withColumn("top", top)
-    c = spans.where("crop IS NOT NULL").groupBy(*page, "crop").agg(
+    crops = spans.where("crop IS NOT NULL").groupBy(*page, "crop").agg(
         (F.min("x0") - 1.2).alias("cx0"), (F.min("y0") - 1.2).alias("cy0"), (F.max("x1") + 1.2).alias("cx1"), (F.max("y1") + 1.2).alias("cy1"),
         (F.min("x0") - 2.5).alias("kx0"), (F.min("top") - 2.5).alias("ky0"), (F.max("x1") + 2.5).alias("kx1"), (F.max("y1") + 2.5).alias("ky1"),
-    ).alias("c")
+    )
+    c = banded(crops, F.col("cy0"), F.col("cy1")).alias("c")
     cut = lambda p, y0: [F.greatest(f"{p}.x0", "cx0").alias("x0"), F.greatest(y0, F.col("cy0")).alias("y0"), F.least(f"{p}.x1", "cx1").alias("x1"), F.least(f"{p}.y1", "cy1").alias("y1")]
     out = lambda pairs, p, kind, y0: pairs.select("c.doc_id", "c.page", "c.crop", F.lit(kind).alias("kind"), *cut(p, y0))
-    foreign = out(c.join(spans.alias("s"), same("c", "s") & ~F.col("s.crop").eqNullSafe(F.col("c.crop"))), "s", "span", F.col("s.top")).where("x1 - x0 >= 0.2 AND y1 - y0 >= 0.2")
+    foreign = out(c.join(banded(spans, F.col("top"), F.col("y1")).alias("s"), same_band("c", "s") & ~F.col("s.crop").eqNullSafe(F.col("c.crop"))), "s", "span", F.col("s.top")).where("x1 - x0 >= 0.2 AND y1 - y0 >= 0.2")
     thick = lambda a, b: F.when(F.col(b) - F.col(a) < 0.6, 0.5).otherwise(0.0)
     r = rules.select(*page, (F.col("x0") - thick("x0", "x1")).alias("x0"), (F.col("y0") - thick("y0", "y1")).alias("y0"), (F.col("x1") + thick("x0", "x1")).alias("x1"), (F.col("y1") + thick("y0", "y1")).alias("y1"))
-    r = r.where(F.least(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) <= 4).alias("r")
+    r = r.where(F.least(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) <= 4)
+    r = banded(r, F.col("y0"), F.col("y1")).alias("r")
     inside = (F.col("r.x0") >= F.col("kx0")) & (F.col("r.x1") <= F.col("kx1")) & (F.col("r.y0") >= F.col("ky0")) & (F.col("r.y1") <= F.col("ky1"))
-    lines = out(c.join(r, same("c", "r") & ~inside), "r", "rule", F.col("r.y0")).where("x1 > x0 AND y1 > y0")
+    lines = out(c.join(r, same_band("c", "r") & ~inside), "r", "rule", F.col("r.y0")).where("x1 > x0 AND y1 > y0")
     return foreign.unionByName(lines)

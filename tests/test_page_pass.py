@@ -201,3 +201,20 @@ def test_registered_pass_covers_every_page(spark):
     assert pages.select("part").distinct().count() == 3
     body = G.spans(spark, SF, False)
     assert pages.where("part = 'span'").count() == body.count()
+
+
+def test_banded_joins_keep_their_rows_and_meet_few_candidates(spark):
+    r = random.Random(9)
+    n = 5_000
+    spans = [(0, 0, i, 0, "abc", "F", 11.0, x := r.uniform(0, 2_000), y := r.uniform(-60, 21_000) if i % 2 else r.uniform(100, 9_000), x + r.uniform(5, 30), y + r.uniform(5, 14)) for i in range(n)]
+    rules = [(0, 0, x := r.uniform(0, 2_000), y := r.uniform(-60, 21_000) if i % 2 else r.uniform(100, 9_000), x + r.uniform(5, 40), y + r.uniform(0, 3)) for i in range(n)]
+    s, u = spark.createDataFrame(spans, SPAN), spark.createDataFrame(rules, "doc_id long, page int, x0 double, y0 double, x1 double, y1 double")
+    found = {x.line_id for x in L.fraction_words(s, u).collect()}
+    wanted = set()
+    for _, _, i, _, _, _, _, x0, y0, x1, y1 in spans:
+        w = x1 - x0
+        if any(v1 - v0 <= 2.6 and u1 - u0 <= 3 * max(w, 8) and min(x1, u1) - max(x0, u0) >= 0.7 * w and (-1.5 <= v0 - y1 <= 4 or -1.5 <= y0 - v1 <= 4) for _, _, u0, v0, u1, v1 in rules):
+            wanted.add(i)
+    assert found == wanted and len(found) > 20
+    a, b = (L.banded(df, F.col("y0"), F.col("y1")).groupBy("_band").count().withColumnRenamed("count", c) for df, c in ((s, "a"), (u, "b")))
+    assert a.join(b, "_band").agg(F.sum(F.col("a") * F.col("b"))).first()[0] < n * n / 40  # of 25 million pairs on the page
