@@ -47,7 +47,10 @@ def formula_only(text: Column, words: tuple[str, ...] = FORMULA_WORDS) -> Column
         passes = F.sequence(F.lit(0), F.floor(F.length(s) / 2).cast("int"))
         return F.aggregate(passes, F.struct(s.alias("s"), (s == "").alias("done")), step, lambda acc: acc.s == "")
 
-    return X.let(letters, lambda s: F.when(s.rlike(f"^[{alphabet}]*$"), left(s)).otherwise(False))
+    # What can be emptied is empty, or begins as a word begins, ends as one ends, and holds one: few texts go through the passes.
+    first, last = ("".join(sorted({w[k] for w in words})) for k in (0, -1))
+    hopeful = lambda s: s.rlike(f"^(?:[{first}][{alphabet}]*[{last}])?$") & ((s == "") | s.rlike("|".join(longest_first(words))))
+    return X.let(letters, lambda s: F.when(hopeful(s), left(s)).otherwise(False))
 
 
 def line_kinds(spans: DataFrame) -> DataFrame:
