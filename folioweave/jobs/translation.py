@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folioweave.functions import text as X
 from folioweave.operators import units as U
 from folioweave.sources import fixtures as S
+from folioweave.sources.memory import Memory
 from folioweave.sources.tables import load_memory, shared_folder, table, upsert_memory
 
 TARGET = "Simplified Chinese"
@@ -241,6 +242,14 @@ def sse_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SSE = "SELECT conv_id || '-' || turn AS request_id, coalesce(text, '') AS text, conv_id % 10 <> 0 AS finished FROM conversations WHERE conv_id % 10 <> 0 OR length(text) > 0"
 
+def tm_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bucketed memory after two versions, the second of which adds translations and renews some; as tm_upsert on the whole."""
+    memory = Memory(spark, shared_folder(spark, "versions"))
+    memory.upsert(S.memory(spark, sf_dir).withColumns({"source": F.lit(None).cast("string"), "version": F.lit(0)}))
+    memory.upsert(S.translations(spark, sf_dir).select("key", "value", F.col("template").alias("source"), F.col("doc_id").alias("version")))
+    return memory.read()
+
+
 def tm_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "memory")
     S.memory(spark, sf_dir).write.parquet(path)
@@ -265,14 +274,14 @@ REQUEUE_PROMPT = UNITS + f", requeued AS ((FROM ({UNTRANSLATED})) UNION (FROM ({
 
 QUERIES = {
     "collect_units": collect_units, "has_text": has_text, "unit_sig": unit_sig, "unit_key": unit_key, "tm_lookup": tm_lookup, "tm_hits": tm_hits, "tm_pending": tm_pending, "tm_upsert": tm_upsert,
-    "batch_pack": packed, "prompt_build": prompt_build, "prompt_requeue": prompt_requeue, "tm_load": tm_load, "response_parse": response_parse, "response_align": response_align, "glossary": glossary, "merged_suspects": merged_suspects,
+    "batch_pack": packed, "prompt_build": prompt_build, "prompt_requeue": prompt_requeue, "tm_load": tm_load, "tm_versions": tm_versions, "response_parse": response_parse, "response_align": response_align, "glossary": glossary, "merged_suspects": merged_suspects,
     "untranslated": untranslated, "placeholder_repair": column("repaired", lambda: X.repair(F.col("template"), F.col("value"))), "fix_markers": column("fixed", lambda: X.fix_markers(F.col("value"))),
     "tidy_text": column("tidied", lambda: X.tidy(F.col("value"))), "finalize_units": finalize_units, "strip_bullet": strip_bullet, "split_items": lambda s, d: U.split_items(S.units(s, d)),
     "assign_back": assign_back, "sse_assemble": sse_assemble,
 }
 ORACLES = {
     "collect_units": COLLECT, "has_text": UNITS + " SELECT doc_id, unit_no, texted AS has_text FROM units", "unit_sig": SIG, "unit_key": UNITS + " SELECT doc_id, unit_no, key FROM units", "tm_lookup": LOOKUP,
-    "tm_hits": HITS, "tm_pending": PENDING, "tm_upsert": UPSERT, "batch_pack": PACK, "prompt_build": PROMPT, "prompt_requeue": REQUEUE_PROMPT, "tm_load": UNITS + f", {MEMORY} SELECT key, value FROM tm", "response_parse": PARSE, "response_align": ALIGN, "glossary": GLOSSARY,
+    "tm_hits": HITS, "tm_pending": PENDING, "tm_upsert": UPSERT, "tm_versions": UPSERT, "batch_pack": PACK, "prompt_build": PROMPT, "prompt_requeue": REQUEUE_PROMPT, "tm_load": UNITS + f", {MEMORY} SELECT key, value FROM tm", "response_parse": PARSE, "response_align": ALIGN, "glossary": GLOSSARY,
     "merged_suspects": MERGED, "untranslated": UNTRANSLATED, "placeholder_repair": REPAIR, "fix_markers": FIX, "tidy_text": TIDY, "finalize_units": FINAL, "strip_bullet": STRIP, "split_items": SPLIT,
     "assign_back": ASSIGN, "sse_assemble": SSE,
 }
