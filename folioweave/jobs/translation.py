@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioweave.functions import text as X
+from folioweave.operators import requeue as Q
 from folioweave.operators import units as U
 from folioweave.sources import fixtures as S
 from folioweave.sources.memory import Memory
@@ -157,20 +158,61 @@ def merged_suspects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.merged_suspects(S.translations(spark, sf_dir))
 
 
-MERGED = UNITS + f", {TRANSLATIONS}" + f""",
-flat AS (SELECT doc_id, unit_no, {PLAIN_SQL.format('template')} AS src, {PLAIN_SQL.format('value')} AS p FROM translations WHERE value <> ''),
-firsts AS (SELECT doc_id, p, min(unit_no) AS first_no FROM flat GROUP BY ALL),
-pairs AS (SELECT f.*, first_no, o.src AS first_src FROM flat f JOIN firsts USING (doc_id, p) JOIN flat o ON o.doc_id = f.doc_id AND o.unit_no = first_no),
-bad AS (SELECT doc_id, unit_no FROM pairs WHERE src <> first_src UNION SELECT doc_id, first_no FROM pairs WHERE src <> first_src
-  UNION SELECT doc_id, unit_no FROM pairs WHERE length(src) > 6 AND length(p) > length(src) * 1.8::DOUBLE + 12)
-SELECT doc_id, unit_no FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY unit_no) AS n FROM bad) WHERE n <= 40"""
+def merged_sql(rows: str) -> str:
+    """The CTEs of the merged suspects of rows, and what selects them."""
+    return f"""{rows}_flat AS (SELECT doc_id, unit_no, {PLAIN_SQL.format('template')} AS src, {PLAIN_SQL.format('value')} AS p FROM {rows} WHERE value <> ''),
+{rows}_firsts AS (SELECT doc_id, p, min(unit_no) AS first_no FROM {rows}_flat GROUP BY ALL),
+{rows}_pairs AS (SELECT f.*, first_no, o.src AS first_src FROM {rows}_flat f JOIN {rows}_firsts USING (doc_id, p) JOIN {rows}_flat o ON o.doc_id = f.doc_id AND o.unit_no = first_no),
+{rows}_bad AS (SELECT doc_id, unit_no FROM {rows}_pairs WHERE src <> first_src UNION SELECT doc_id, first_no FROM {rows}_pairs WHERE src <> first_src
+  UNION SELECT doc_id, unit_no FROM {rows}_pairs WHERE length(src) > 6 AND length(p) > length(src) * 1.8::DOUBLE + 12),
+{rows}_merged AS (SELECT doc_id, unit_no FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY unit_no) AS n FROM {rows}_bad) WHERE n <= 40)"""
+
+
+MERGED = UNITS + f", {TRANSLATIONS}, {merged_sql('translations')} SELECT * FROM translations_merged"
 
 
 def untranslated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.untranslated(S.translations(spark, sf_dir))
 
 
-UNTRANSLATED = UNITS + f", {TRANSLATIONS} SELECT doc_id, unit_no FROM translations WHERE trim(value) = trim(template) AND length(regexp_replace(template, '[^A-Za-z]', '', 'g')) > 3"
+UNCHANGED_SQL = "SELECT doc_id, unit_no FROM {} WHERE trim(value) = trim(template) AND length(regexp_replace(template, '[^A-Za-z]', '', 'g')) > 3"
+UNTRANSLATED = UNITS + f", {TRANSLATIONS} " + UNCHANGED_SQL.format("translations")
+
+ROUNDS = 3
+
+
+def recorded(batches: DataFrame, n: int) -> DataFrame:
+    """The recorded answers to a round's batches: some units come back unchanged, empty, or like others again."""
+    m = (F.col("doc_id") + F.col("unit_no") * 3 + n) % 5
+    value = F.when(m == 0, F.col("text")).when(m == 1, "").when(m == 2, "译文同一句").otherwise(F.concat(F.lit("译"), "unit_no", F.lit(f"/{n}")))
+    obj = F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("k").cast("string").alias("k"), value.alias("v"))))))
+    return batches.groupBy("doc_id", "batch_id").agg(obj.alias("raw"))
+
+
+def requeue_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Translations after rounds of asking again for those that look merged or came back unchanged, with the recorded answers."""
+    base = shared_folder(spark, "requeue")
+
+    def write(df: DataFrame, name: str) -> DataFrame:
+        df.write.option("compression", "zstd").parquet(f"{base}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{base}/{name}")
+
+    return Q.settled(S.translations(spark, sf_dir), recorded, write, ROUNDS).select("doc_id", "unit_no", "value", "asked")
+
+
+def rounds_sql() -> str:
+    """Every unit in every round, without putting documents aside."""
+    parts, rows = ["s0_out AS MATERIALIZED (SELECT doc_id, unit_no, template, value, 0 AS asked FROM translations)"], "s0_out"
+    for n in range(ROUNDS):
+        given = f"CASE (doc_id + unit_no * 3 + {n}) % 5 WHEN 0 THEN template WHEN 1 THEN '' WHEN 2 THEN '译文同一句' ELSE '译' || unit_no || '/{n}' END"
+        for name in ("m", "u"):
+            new = f"{name}{n}_out"
+            parts.append(merged_sql(rows) if name == "m" else f"{rows}_merged AS ({UNCHANGED_SQL.format(rows)})")
+            parts.append(f"""{new} AS MATERIALIZED (SELECT s.doc_id, s.unit_no, template, CASE WHEN q.unit_no IS NULL THEN value ELSE coalesce(nullif(trim(regexp_replace(given, '[\r\n]', ' ', 'g')), ''), template) END AS value,
+  asked + (q.unit_no IS NOT NULL)::INT AS asked FROM (SELECT *, {given} AS given FROM {rows}) s LEFT JOIN {rows}_merged q ON q.doc_id = s.doc_id AND q.unit_no = s.unit_no)""")
+            rows = new
+    return UNITS + f", {TRANSLATIONS}, " + ", ".join(parts) + f" SELECT doc_id, unit_no, value, asked FROM {rows}"
+
 
 #: SQL of the text functions, as macros of columns: q is the regular expression of placeholders.
 FIX_SQL = r"""regexp_replace(regexp_replace({0}, '\[\[\s*[''‘’"“”]?\s*(/?)\s*([bi])\s*[''‘’"“”]?\s*\]\]', '[[\1\2]]', 'g'), '\[\[x\]\]', '', 'g')"""
@@ -274,14 +316,14 @@ REQUEUE_PROMPT = UNITS + f", requeued AS ((FROM ({UNTRANSLATED})) UNION (FROM ({
 
 QUERIES = {
     "collect_units": collect_units, "has_text": has_text, "unit_sig": unit_sig, "unit_key": unit_key, "tm_lookup": tm_lookup, "tm_hits": tm_hits, "tm_pending": tm_pending, "tm_upsert": tm_upsert,
-    "batch_pack": packed, "prompt_build": prompt_build, "prompt_requeue": prompt_requeue, "tm_load": tm_load, "tm_versions": tm_versions, "response_parse": response_parse, "response_align": response_align, "glossary": glossary, "merged_suspects": merged_suspects,
+    "batch_pack": packed, "prompt_build": prompt_build, "prompt_requeue": prompt_requeue, "requeue_rounds": requeue_rounds, "tm_load": tm_load, "tm_versions": tm_versions, "response_parse": response_parse, "response_align": response_align, "glossary": glossary, "merged_suspects": merged_suspects,
     "untranslated": untranslated, "placeholder_repair": column("repaired", lambda: X.repair(F.col("template"), F.col("value"))), "fix_markers": column("fixed", lambda: X.fix_markers(F.col("value"))),
     "tidy_text": column("tidied", lambda: X.tidy(F.col("value"))), "finalize_units": finalize_units, "strip_bullet": strip_bullet, "split_items": lambda s, d: U.split_items(S.units(s, d)),
     "assign_back": assign_back, "sse_assemble": sse_assemble,
 }
 ORACLES = {
     "collect_units": COLLECT, "has_text": UNITS + " SELECT doc_id, unit_no, texted AS has_text FROM units", "unit_sig": SIG, "unit_key": UNITS + " SELECT doc_id, unit_no, key FROM units", "tm_lookup": LOOKUP,
-    "tm_hits": HITS, "tm_pending": PENDING, "tm_upsert": UPSERT, "tm_versions": UPSERT, "batch_pack": PACK, "prompt_build": PROMPT, "prompt_requeue": REQUEUE_PROMPT, "tm_load": UNITS + f", {MEMORY} SELECT key, value FROM tm", "response_parse": PARSE, "response_align": ALIGN, "glossary": GLOSSARY,
+    "tm_hits": HITS, "tm_pending": PENDING, "tm_upsert": UPSERT, "tm_versions": UPSERT, "batch_pack": PACK, "prompt_build": PROMPT, "prompt_requeue": REQUEUE_PROMPT, "requeue_rounds": rounds_sql(), "tm_load": UNITS + f", {MEMORY} SELECT key, value FROM tm", "response_parse": PARSE, "response_align": ALIGN, "glossary": GLOSSARY,
     "merged_suspects": MERGED, "untranslated": UNTRANSLATED, "placeholder_repair": REPAIR, "fix_markers": FIX, "tidy_text": TIDY, "finalize_units": FINAL, "strip_bullet": STRIP, "split_items": SPLIT,
     "assign_back": ASSIGN, "sse_assemble": SSE,
 }

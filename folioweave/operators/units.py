@@ -131,14 +131,21 @@ def glossary(texts: DataFrame, limit: int = GLOSSARY_TERMS) -> DataFrame:
     return terms.withColumn("rank", rank).where(F.col("rank") <= limit).select("doc_id", F.col("rank").cast("long").alias("rank"), "term")
 
 
-def merged_suspects(out: DataFrame, limit: int = REQUEUE) -> DataFrame:
+def merged(out: DataFrame) -> DataFrame:
     """(doc_id, unit_no) of out(doc_id, unit_no, template, value) that look merged: equal output first seen with another source, or too long."""
     rows = out.where("value <> ''").select("doc_id", "unit_no", X.plain(F.col("template")).alias("src"), X.plain(F.col("value")).alias("p"))
     w = Window.partitionBy("doc_id", F.md5(F.col("p").cast("binary"))).orderBy("unit_no")
     rows = rows.withColumns({"first_src": F.first("src").over(w), "first_no": F.first("unit_no").over(w)})
     clash = F.col("src") != F.col("first_src")
     long = (F.length("src") > 6) & (F.length("p") > F.length("src") * F.lit(1.8) + 12)
-    flagged = rows.select("doc_id", F.explode(F.array_compact(F.array(F.when(clash | long, F.col("unit_no")), F.when(clash, F.col("first_no"))))).alias("unit_no")).distinct()
+    return rows.select("doc_id", F.explode(F.array_compact(F.array(F.when(clash | long, F.col("unit_no")), F.when(clash, F.col("first_no"))))).alias("unit_no")).distinct()
+
+
+def merged_suspects(out: DataFrame, limit: int | None = REQUEUE) -> DataFrame:
+    """The units of merged() with the lowest numbers of each document, at most limit; all of them if that is None."""
+    flagged = merged(out)
+    if limit is None:
+        return flagged
     n = F.row_number().over(Window.partitionBy("doc_id").orderBy("unit_no"))
     return flagged.withColumn("n", n).where(F.col("n") <= limit).select("doc_id", "unit_no")
 
