@@ -57,10 +57,43 @@ def page_extent(spans: DataFrame, sizes: DataFrame | None = None, width: float =
     return e.select("doc_id", "left", "top", (F.col("width") - F.col("x1")).alias("right"), (F.col("height") - F.col("y1")).alias("bottom"), "width", "height")
 
 
-def doc_profile(spans: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
-    pages = spans.groupBy("doc_id").agg((F.max("page") + 1).alias("n_pages"))
-    out = pages.join(body_font(spans), "doc_id", "left").join(body_size(spans), "doc_id", "left").join(page_extent(spans, sizes), "doc_id", "left")
-    return out.withColumn("body_size", F.coalesce("body_size", F.lit(BODY_SIZE)))
+def doc_profile(spans: DataFrame, sizes: DataFrame | None = None, width: float = 595.0, height: float = 842.0) -> DataFrame:
+    """(doc_id, n_pages, body_font, body_size, left, top, right, bottom, width, height): body_font(), body_size() and page_extent() in one pass.
+
+    Spans are read once and shuffled once, by page, without their texts.  A page leaves the weights, first places and extents of its styles (family and size), which merge
+    map-side, so a document of any length is gathered as its distinct styles.
+    """
+    own = spans.select(
+        "doc_id", "page", "line_id", X.font_family(F.col("font")).alias("family"), F.round("size", 1).alias("points"), "x0", "y0", "x1", "y1",
+        F.coalesce(F.length(X.strip(F.col("text"))), F.lit(0)).alias("n"), "span_no",
+    ).repartition("doc_id", "page")
+    full = F.max(F.col("n") > 0).over(Window.partitionBy("doc_id", "page", "line_id"))
+    edges = {"x0": F.min, "y0": F.min, "x1": F.max, "y1": F.max}
+    of_pages = own.withColumn("full", full).groupBy("doc_id", "page", "family", "points").agg(
+        F.sum("n").alias("n"), F.min(F.when(F.col("n") > 0, ordinal())).alias("at"), *(f(F.when(F.col("full"), F.col(c))).alias(c) for c, f in edges.items())
+    )
+    styles = of_pages.groupBy("doc_id", "family", "points").agg(F.sum("n").alias("n"), F.min("at").alias("at"), F.max("page").alias("page"), *(f(c).alias(c) for c, f in edges.items()))
+    style = F.struct("family", "points", "n", "at")
+    docs = styles.groupBy("doc_id").agg((F.max("page") + 1).alias("n_pages"), F.collect_list(F.when(F.col("n") > 0, style)).alias("styles"), *(f(c).alias(c) for c, f in edges.items()))
+
+    def heaviest(name: str) -> Column:
+        """The value of most characters among the styles; ties go to the one met first."""
+
+        def weight(value: Column) -> Column:
+            same = F.filter("styles", lambda s: s[name].eqNullSafe(value))
+            return F.struct(-F.aggregate(same, F.lit(0).cast("long"), lambda a, s: a + s.n), F.array_min(F.transform(same, lambda s: s["at"])), value.alias("value"))
+
+        return F.array_min(F.transform(F.array_distinct(F.transform("styles", lambda s: s[name])), weight)).value
+
+    if sizes is None:
+        docs = docs.withColumns({"width": F.lit(width), "height": F.lit(height)})
+    else:
+        docs = docs.join(document_sizes(sizes), "doc_id", "left").withColumns({"width": F.coalesce("width", F.lit(width)), "height": F.coalesce("height", F.lit(height))})
+    shown = F.size("styles") > 0
+    return docs.select(
+        "doc_id", "n_pages", heaviest("family").alias("body_font"), F.coalesce(heaviest("points"), F.lit(BODY_SIZE)).alias("body_size"), F.col("x0").alias("left"), F.col("y0").alias("top"),
+        (F.col("width") - F.col("x1")).alias("right"), (F.col("height") - F.col("y1")).alias("bottom"), *(F.when(shown, F.col(c)).alias(c) for c in ("width", "height")),
+    )
 
 
 def scanned_pages(page_text: DataFrame, images: DataFrame) -> DataFrame:
