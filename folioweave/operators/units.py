@@ -10,14 +10,25 @@ from folioweave.functions import text as X
 
 BATCH_CHARS, BATCH_ITEMS, ITEM_EXTRA = 1400, 40, 8
 GLOSSARY_TERMS, REQUEUE = 120, 40
+PART_ROWS = 1000
 REGION_RANK = {"body": 0, "header": 1, "footer": 2}
 
 
-def collect_units(blocks: DataFrame) -> DataFrame:
-    """Paragraphs with text, body before header before footer, numbered from 0 in each document."""
+def collect_units(blocks: DataFrame, part: Column | None = None) -> DataFrame:
+    """Paragraphs with text, body before header before footer, numbered from 0 in each document.
+
+    part never falls as ord grows within a document, and holds a bounded number of paragraphs: a page, say, or ord in thousands where ord is a number (the default).
+    Paragraphs are numbered in their parts, and a part starts where those before it end, so windows over a document have a row for each part, not for each paragraph.
+    """
     rank = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in REGION_RANK.items() for x in kv]), F.col("region")), F.lit(len(REGION_RANK)))
-    w = Window.partitionBy("doc_id").orderBy(rank, "ord")
-    return blocks.where(X.has_text(F.col("template"))).withColumn("unit_no", F.row_number().over(w) - 1)
+    own = blocks.where(X.has_text(F.col("template"))).withColumns({"_rank": rank, "_part": F.floor(F.col("ord") / PART_ROWS) if part is None else part})
+    place = ["doc_id", "_rank", "_part"]
+    counts = own.groupBy(*place).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("doc_id").orderBy("_rank", "_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*(F.col(c).alias(f"{c}_of") for c in place), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    same = [F.col(c).eqNullSafe(F.col(f"{c}_of")) for c in place]
+    numbered = own.withColumn("_at", F.row_number().over(Window.partitionBy(*place).orderBy("ord")) - 1)
+    return numbered.join(starts, same).select(*blocks.columns, (F.col("_start") + F.col("_at")).cast("int").alias("unit_no"))
 
 
 def unit_signatures(refs: DataFrame) -> DataFrame:
