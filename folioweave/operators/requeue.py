@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -28,37 +29,37 @@ def together(wanted: DataFrame) -> DataFrame:
     return packs.join(wanted.select(*UNIT, "text"), UNIT)
 
 
-def asked_again(state: DataFrame, suspects: DataFrame, batch: Callable[[DataFrame], DataFrame], ask: Callable[[DataFrame], DataFrame], write: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """state with the new values of its suspects; a failed batch or an empty answer leaves the source, as the first translation would."""
-    wanted = state.join(suspects, UNIT).select(*UNIT, F.col("template").alias("text"))
-    batches = write(batch(wanted))
-    answers = U.align(batches, U.parse_responses(ask(batches))).select(*UNIT, F.col("value").alias("answer"))
-    both = state.join(answers, UNIT, "left")
-    return both.select(*UNIT, "template", F.coalesce("answer", "value").alias("value"), (F.col("asked") + F.col("answer").isNotNull().cast("int")).alias("asked"))
-
-
 def settled(out: DataFrame, ask: Ask, write: Write, rounds: int = 3, limit: int | None = U.REQUEUE) -> DataFrame:
     """(doc_id, unit_no, template, value, asked) of out(doc_id, unit_no, template, value), asked counting how often a unit was asked for again.
 
     A round asks for merged suspects one by one (the lowest `limit` of each document), then for what is untranslated after that, in batches.  It ends when no document
-    has either, or after `rounds` rounds: a service may never answer well.  With one round this is the rule's own check.
+    has either, or after `rounds` rounds: a service may never answer well.  With one round this is the rule's own check.  A failed batch or an empty answer leaves
+    the source, as the first translation would.
 
-    Both checks look at one document, so a document in which nothing is left is put aside, and later rounds read and write the others alone.  The state of each round is
-    written: a lost executor costs a re-read, and no answer is asked for twice.  Units are unique by (doc_id, unit_no); a null value is never asked for and stays.
-    Answers to units that weren't asked for are ignored.
+    What goes from round to round is a few bytes of each unit (checks) of the documents in which something is left; texts are brought to the units that are asked for, and
+    the last answers to all units at the end.  Checks, batches and answers of each round are written: a lost executor costs a re-read, and no answer is asked for twice.
+    Units are unique by (doc_id, unit_no); a null value is never asked for and stays.  Answers to units that weren't asked for are ignored.
     """
-    done: list[DataFrame] = []
-    state = out.select(*UNIT, "template", "value", F.lit(0).alias("asked"))
+    given = write(out.select(*UNIT, "template", "value"), "given")
+    state, answers = write(U.checks(given), "checks"), []
     for n in range(rounds):
-        state = write(state, f"state-{n}")
-        suspects = write(U.merged_suspects(state, limit).unionByName(U.untranslated(state)).select("doc_id").distinct(), f"open-{n}")
-        if suspects.isEmpty():
+        of_round = U.lowest(U.merged(state), limit).withColumn("merged", F.lit(True)).unionByName(state.where("unchanged").select(*UNIT, F.lit(False).alias("merged")))
+        open_units = write(of_round, f"open-{n}")
+        if open_units.isEmpty():
             break
-        done.append(state.join(suspects, "doc_id", "left_anti"))
-        state = state.join(suspects, "doc_id", "left_semi")
-        for name, flagged, batch in (("merged", lambda s: U.merged_suspects(s, limit), alone), ("unchanged", U.untranslated, together)):
-            state = asked_again(state, flagged(state), batch, lambda b: ask(b, n), lambda b: write(b, f"{name}-batches-{n}"))  # noqa: B023
-            state = write(state, f"{name}-{n}") if name == "merged" else state
-    for part in done:
-        state = state.unionByName(part)
-    return state
+        state = state.join(open_units.select("doc_id").distinct(), "doc_id", "left_semi")
+        for name, batch in (("merged", alone), ("unchanged", together)):
+            suspects = open_units.where("merged").select(*UNIT) if name == "merged" else state.where("unchanged").select(*UNIT)
+            wanted = given.select(*UNIT, F.col("template").alias("text")).join(suspects, UNIT)
+            batches = write(batch(wanted), f"{name}-batches-{n}")
+            got = U.align(batches, U.parse_responses(ask(batches, n))).select(*UNIT, "value")
+            fresh = write(got, f"{name}-answers-{n}")
+            answers.append(fresh.withColumn("at", F.lit(len(answers))))
+            new = U.checks(batches.select(*UNIT, F.col("text").alias("template")).join(fresh, UNIT))
+            both = state.join(new.select(*UNIT, F.struct("src", "p", "long", "unchanged").alias("new")), UNIT, "left")
+            kept = F.coalesce("new", F.struct("src", "p", "long", "unchanged"))
+            state = write(both.select(*UNIT, kept.alias("now")).select(*UNIT, "now.*"), f"{name}-checks-{n}")
+    if not answers:
+        return given.withColumn("asked", F.lit(0))
+    last = functools.reduce(DataFrame.unionByName, answers).groupBy(*UNIT).agg(F.max_by("value", "at").alias("answer"), F.count("*").cast("int").alias("times"))
+    return given.join(last, UNIT, "left").select(*UNIT, "template", F.coalesce("answer", "value").alias("value"), F.coalesce("times", F.lit(0)).alias("asked"))

@@ -142,19 +142,33 @@ def glossary(texts: DataFrame, limit: int = GLOSSARY_TERMS) -> DataFrame:
     return terms.withColumn("rank", rank).where(F.col("rank") <= limit).select("doc_id", F.col("rank").cast("long").alias("rank"), "term")
 
 
-def merged(out: DataFrame) -> DataFrame:
-    """(doc_id, unit_no) of out(doc_id, unit_no, template, value) that look merged: equal output first seen with another source, or too long."""
-    rows = out.where("value <> ''").select("doc_id", "unit_no", X.plain(F.col("template")).alias("src"), X.plain(F.col("value")).alias("p"))
-    w = Window.partitionBy("doc_id", F.md5(F.col("p").cast("binary"))).orderBy("unit_no")
-    rows = rows.withColumns({"first_src": F.first("src").over(w), "first_no": F.first("unit_no").over(w)})
+def is_unchanged() -> Column:
+    return (X.strip(F.col("value")) == X.strip(F.col("template"))) & (F.length(F.regexp_replace("template", "[^A-Za-z]", "")) > 3)
+
+
+def checks(out: DataFrame) -> DataFrame:
+    """(doc_id, unit_no, src, p, long, unchanged) of out(doc_id, unit_no, template, value): what its checks look at, with digests of the plain texts; p is null without a value."""
+    digest = lambda c: F.unhex(F.md5(c.cast("binary")))
+    rows = out.select("doc_id", "unit_no", X.plain(F.col("template")).alias("s"), F.when(F.col("value") != "", X.plain(F.col("value"))).alias("v"), F.coalesce(is_unchanged(), F.lit(False)).alias("unchanged"))
+    long = (F.length("s") > 6) & (F.length("v") > F.length("s") * F.lit(1.8) + 12)
+    return rows.select("doc_id", "unit_no", digest(F.col("s")).alias("src"), digest(F.col("v")).alias("p"), F.coalesce(long, F.lit(False)).alias("long"), "unchanged")
+
+
+def merged(checked: DataFrame) -> DataFrame:
+    """(doc_id, unit_no) of checks() that look merged: equal output first seen with another source, or too long."""
+    w = Window.partitionBy("doc_id", "p").orderBy("unit_no")
+    rows = checked.where("p IS NOT NULL").withColumns({"first_src": F.first("src").over(w), "first_no": F.first("unit_no").over(w)})
     clash = F.col("src") != F.col("first_src")
-    long = (F.length("src") > 6) & (F.length("p") > F.length("src") * F.lit(1.8) + 12)
-    return rows.select("doc_id", F.explode(F.array_compact(F.array(F.when(clash | long, F.col("unit_no")), F.when(clash, F.col("first_no"))))).alias("unit_no")).distinct()
+    return rows.select("doc_id", F.explode(F.array_compact(F.array(F.when(clash | F.col("long"), F.col("unit_no")), F.when(clash, F.col("first_no"))))).alias("unit_no")).distinct()
 
 
 def merged_suspects(out: DataFrame, limit: int | None = REQUEUE) -> DataFrame:
-    """The units of merged() with the lowest numbers of each document, at most limit; all of them if that is None."""
-    flagged = merged(out)
+    """The units of out(doc_id, unit_no, template, value) that look merged, as lowest() bounds them."""
+    return lowest(merged(checks(out)), limit)
+
+
+def lowest(flagged: DataFrame, limit: int | None) -> DataFrame:
+    """Of flagged(doc_id, unit_no) the lowest numbers of each document, at most limit; all of them if that is None."""
     if limit is None:
         return flagged
     n = F.row_number().over(Window.partitionBy("doc_id").orderBy("unit_no"))
@@ -162,8 +176,7 @@ def merged_suspects(out: DataFrame, limit: int | None = REQUEUE) -> DataFrame:
 
 
 def untranslated(out: DataFrame) -> DataFrame:
-    same = X.strip(F.col("value")) == X.strip(F.col("template"))
-    return out.where(same & (F.length(F.regexp_replace("template", "[^A-Za-z]", "")) > 3)).select("doc_id", "unit_no")
+    return out.where(is_unchanged()).select("doc_id", "unit_no")
 
 
 def split_items(paragraphs: DataFrame) -> DataFrame:
