@@ -55,6 +55,8 @@ def settled(out: DataFrame, ask: Ask, write: Write, rounds: int = 3, limit: int
             got = U.align(batches, U.parse_responses(ask(batches, n))).select(*UNIT, "value")
             fresh = write(got, f"{name}-answers-{n}")
             answers.append(fresh.withColumn("at", F.lit(len(answers))))
+            if (n, name) == (rounds - 1, "unchanged"):
+                break  # nothing looks at the checks after the last answers
             new = U.checks(batches.select(*UNIT, F.col("text").alias("template")).join(fresh, UNIT))
             both = state.join(new.select(*UNIT, F.struct("src", "p", "long", "unchanged").alias("new")), UNIT, "left")
             kept = F.coalesce("new", F.struct("src", "p", "long", "unchanged"))
