@@ -3,8 +3,12 @@
 A payload becomes a medium: a binary greymap (PGM) of 64 samples a row, 8 bits each.  A gear hash rolls over its bytes; where the
 hash's top bits are zero the medium is cut, no chunk being shorter than LEAST or longer than MOST bytes.  Chunks go by their SHA-256;
 equal ones are stored once (Zstandard-coded, with a dictionary
-trained on a bounded sample, as chunks are small).  A recipe lists a medium's chunks in order.  Rebuilding joins recipes
-to the chunk store, puts each medium together in order, and verifies its length and SHA-256; then come the features.
+trained on a bounded sample, as chunks are small).  A recipe lists a medium's chunks in order.
+
+Chunks lie in containers, one for each medium.  Digests alone are joined to find the chunks that have several places: the first of
+these keeps the chunk and lends it, the others are left empty.  So the bodies of all chunks cross one exchange, by their medium, and
+only lent ones travel again.  Rebuilding fills the empty places from what other containers lend, puts each medium together in order,
+and verifies its length and SHA-256; then come the features.
 
 The gear hash of a place depends on the 32 bytes up to it, so it is computed for all places at once, by doubling.
 
@@ -25,6 +29,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Scratch, hashed_sample, table
 
@@ -142,63 +147,111 @@ def train_dictionary(texts: DataFrame) -> bytes:
         return b""
 
 
-def chunk_store(texts: DataFrame, dictionary: bytes = b"") -> DataFrame:
-    """(chunk_id, body) of every distinct chunk of texts(text); body is Zstandard-coded.  Equal chunks meet map-side first."""
+def places(lists: DataFrame) -> DataFrame:
+    """(media_id, place, chunk_id) of lists(media_id, chunks)."""
+    return lists.select("media_id", F.posexplode("chunks").alias("place", "chunk_id"))
+
+
+def first_places(lists: DataFrame) -> DataFrame:
+    """(chunk_id, media_id, place, n): where each chunk comes first, by media_id and place, and at how many places it is."""
+    found = places(lists).groupBy("chunk_id").agg(F.min(F.struct("media_id", "place")).alias("first"), F.count("*").alias("n"))
+    return found.select("chunk_id", "first.media_id", "first.place", "n")
+
+
+def links(lists: DataFrame) -> DataFrame:
+    """(media_id, place, chunk_id, lends) of the places of every chunk that has several: the first lends it to the others."""
+    shared = first_places(lists).where("n > 1").select("chunk_id", F.struct("media_id", "place").alias("first"))
+    return places(lists).join(shared, "chunk_id").select("media_id", "place", "chunk_id", (F.struct("media_id", "place") == F.col("first")).alias("lends"))
+
+
+PACKED = T.StructType([T.StructField("media_id", T.BinaryType(), False), T.StructField("bodies", T.ArrayType(T.BinaryType()), False)])
+
+
+def packed(texts: DataFrame, dictionary: bytes = b"") -> DataFrame:
+    """(media_id, bodies) of every distinct medium of texts(text): its chunks in order, Zstandard-coded each.  Equal media meet map-side first.
+
+    media_id is never null, so that no join puts a filter before the exchange: all that reads these rows then shares that exchange.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gear, pack = gear_table(), zstandard.ZstdCompressor(level=LEVEL, dict_data=loaded(dictionary), write_checksum=False, write_dict_id=False)
+        out = lambda ids, bodies: pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(bodies, pa.list_(pa.binary()))], names=["media_id", "bodies"])
         for b in batches:
-            seen: dict[bytes, bytes] = {}
-            held = 0
+            seen: set[bytes] = set()
+            ids, bodies, held = [], [], 0
             for text in b.column(0):
                 data, _ = medium(text.as_py())
+                key = hashlib.sha256(data).digest()
+                if key in seen:
+                    continue
+                seen.add(key)
                 ends = cuts(data, gear)
-                for x, y in zip([0, *ends[:-1]], ends, strict=True):
-                    part = data[x:y]
-                    key = hashlib.sha256(part).digest()
-                    if key not in seen:
-                        seen[key] = pack.compress(part)
-                        held += len(seen[key])
+                ids.append(key)
+                bodies.append([pack.compress(data[x:y]) for x, y in zip([0, *ends[:-1]], ends, strict=True)])
+                held += sum(map(len, bodies[-1]))
                 if held > 8 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.binary())], names=["chunk_id", "body"])
-                    seen, held = {}, 0
-            if seen:
-                yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.binary())], names=["chunk_id", "body"])
+                    yield out(ids, bodies)
+                    ids, bodies, held = [], [], 0
+            if ids:
+                yield out(ids, bodies)
+
+    return texts.select("text").mapInArrow(run, PACKED).groupBy("media_id").agg(F.first("bodies").alias("bodies"))
+
+
+def containers(media: DataFrame, linked: DataFrame) -> DataFrame:
+    """The chunk store, (media_id, bodies): a container for each of media(media_id, bodies), null at the places that borrow, so that every chunk is stored once."""
+    borrowed = linked.where("not lends").groupBy("media_id").agg(F.sort_array(F.collect_list("place")).alias("borrowed"))
+    gap = lambda p, before: F.concat(F.array_repeat(F.lit(False), p - before - 1), F.array(F.lit(True)))
+    before = F.slice(F.concat(F.array(F.lit(-1)), F.col("borrowed")), F.lit(1), F.size("borrowed"))
+    marks = borrowed.select("media_id", F.flatten(F.zip_with("borrowed", before, gap)).alias("lacks"))
+    kept = F.transform("bodies", lambda body, i: F.when(~F.coalesce(F.get("lacks", i), F.lit(False)), body))
+    return media.join(marks, "media_id", "left").select("media_id", F.when(F.col("lacks").isNull(), F.col("bodies")).otherwise(kept).alias("bodies"))
+
+
+def taken(store: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(chunk_id, body) at the wanted(media_id, place, chunk_id) of the store's containers."""
+    each = wanted.groupBy("media_id").agg(F.collect_list(F.struct("place", "chunk_id")).alias("wanted"))
+    return store.join(each, "media_id").select(F.inline(F.transform("wanted", lambda w: F.struct(w.chunk_id.alias("chunk_id"), F.get("bodies", w.place).alias("body")))))
+
+
+def chunk_store(texts: DataFrame, dictionary: bytes = b"") -> DataFrame:
+    """(chunk_id, body) of every distinct chunk of texts(doc_id, text), out of the containers; body is Zstandard-coded."""
+    lists = media_lists(recipes(texts))
+    return taken(containers(packed(texts, dictionary), links(lists)), first_places(lists).select("media_id", "place", "chunk_id"))
+
 
-    return texts.select("text").mapInArrow(run, "chunk_id binary, body binary").groupBy("chunk_id").agg(F.first("body").alias("body"))
+def media_lists(made: DataFrame) -> DataFrame:
+    """(media_id, chunks) of every distinct medium of made, as recipes() gives it."""
+    return made.groupBy("media_id").agg(F.first("chunks").alias("chunks"))
 
 
-def rebuild(lists: DataFrame, store: DataFrame, dictionary: bytes = b"") -> DataFrame:
-    """Features of the media of lists(media_id, chunks), each put together from the store, one at a time."""
-    places = lists.select("media_id", F.size("chunks").alias("n"), F.posexplode("chunks").alias("place", "chunk_id"))
-    parts = places.join(store, "chunk_id", "left").select("media_id", "n", "place", "body")
-    ordered = parts.repartition("media_id").sortWithinPartitions("media_id", "place")
+def rebuild(store: DataFrame, linked: DataFrame, dictionary: bytes = b"") -> DataFrame:
+    """Features of the media of the store, each put together from its container and the chunks that others lend it, one at a time."""
+    lent = linked.where("not lends").select("media_id", "place", "chunk_id").join(taken(store, linked.where("lends")), "chunk_id")
+    parts = lent.groupBy("media_id").agg(F.sort_array(F.collect_list(F.struct("place", "body"))).alias("lent"))
+    whole = store.join(parts, "media_id", "left").select("media_id", "bodies", F.col("lent.place").alias("places"), F.col("lent.body").alias("lent"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor(dict_data=loaded(dictionary))
-        held: list[bytes] = []
         for b in batches:
             done = []
-            for media_id, n, place, body in zip(*(b.column(i) for i in range(4)), strict=True):
-                if place.as_py() != len(held) or body.as_py() is None:
+            for media_id, bodies, at, lent in zip(*(b.column(i) for i in range(4)), strict=True):
+                own, rest = bodies.as_py(), dict(zip(at.as_py() or [], lent.as_py() or [], strict=True))
+                chunks = [rest.get(i) if body is None else body for i, body in enumerate(own)]
+                if None in chunks:
                     raise ValueError(f"medium {media_id.as_py().hex()} lacks a chunk")
-                held.append(unpack.decompress(body.as_py()))
-                if len(held) == n.as_py():
-                    done.append(described(media_id.as_py(), b"".join(held), len(held)))
-                    held = []
-            if done:
-                yield pa.RecordBatch.from_pylist(done, FEATURES)
-        if held:
-            raise ValueError("the last medium lacks a chunk")
+                done.append(described(media_id.as_py(), b"".join(map(unpack.decompress, chunks)), len(chunks)))
+            yield pa.RecordBatch.from_pylist(done, FEATURES)
 
-    return ordered.mapInArrow(run, FEATURES_SQL)
+    return whole.mapInArrow(run, FEATURES_SQL)
 
 
 def scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op10: one row per document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    made = Scratch(spark, "media").written(recipes(docs), "recipes")
+    scratch = Scratch(spark, "media")
+    made = scratch.written(recipes(docs), "recipes")
+    linked = scratch.written(links(media_lists(made)), "links")
     words = train_dictionary(docs)
-    lists = made.groupBy("media_id").agg(F.first("chunks").alias("chunks"))
-    rows = made.select("doc_id", "media_id", "n_bytes").join(rebuild(lists, chunk_store(docs, words), words), "media_id")
+    rows = made.select("doc_id", "media_id", "n_bytes").join(rebuild(containers(packed(docs, words), linked), linked, words), "media_id")
     return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")

@@ -6,6 +6,7 @@ import pathlib
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from folioweave.llm import bpe, media, pii, queries, simhash, tool_calls
@@ -101,3 +102,53 @@ def test_ibans_among_other_capitals_and_digits_are_masked(spark):
     }
     rows = pii.mask_documents(spark.createDataFrame([(t,) for t in cases], "text string")).collect()
     assert sorted(r.text for r in rows) == sorted(cases.values())
+
+
+def test_every_chunk_is_kept_in_one_container_and_lent_to_the_other_media(spark):
+    rng = random.Random(8)
+    words = lambda n: " ".join("".join(rng.choices("etaoinshrdlu", k=5)) for _ in range(n))
+    passage = words(900)
+    texts = [f"{words(90)} {passage} {words(90)}" for _ in range(5)] + [passage * 3, "x" * 200_000, words(300), "", None, passage * 3]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lists = media.media_lists(media.recipes(docs)).cache()
+    linked = media.links(lists).cache()
+    store = {bytes(r.media_id): r.bodies for r in media.containers(media.packed(docs), linked).collect()}
+    ids = {bytes(r.media_id): [bytes(c) for c in r.chunks] for r in lists.collect()}
+    assert store.keys() == ids.keys() and all(len(store[m]) == len(ids[m]) for m in ids)
+    kept = [c for m in ids for c, body in zip(ids[m], store[m], strict=True) if body is not None]
+    assert len(kept) == len(set(kept)) and set(kept) == {c for m in ids for c in ids[m]} and len(kept) < sum(map(len, ids.values()))
+    places = {(bytes(r.media_id), r.place): (bytes(r.chunk_id), r.lends) for r in linked.collect()}
+    every = [(m, i, c) for m in ids for i, c in enumerate(ids[m])]
+    first = {c: (m, i) for m, i, c in sorted(every, reverse=True)}
+    assert places == {(m, i): (c, first[c] == (m, i)) for m, i, c in every if sum(c == d for _, _, d in every) > 1}
+    whole = media.containers(media.packed(docs), linked)
+    chunks = {bytes(r.media_id): int(r.feature.split(":")[-1]) for r in media.rebuild(whole, linked).collect()}
+    assert chunks == {m: len(ids[m]) for m in ids}
+    lost = linked.where("not lends").orderBy("media_id", "place").first()
+    with pytest.raises(Exception, match="lacks a chunk"):
+        media.rebuild(whole, linked.where((F.col("media_id") != F.lit(lost.media_id)) | (F.col("place") != lost.place) | F.col("lends"))).collect()
+
+
+def test_bodies_of_chunks_cross_one_exchange(spark, tmp_path):
+    rng = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
+    docs = [(i, "".join(rng.choices(letters, k=20_000))) for i in range(100)]
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+
+    def shuffled() -> dict[int, int]:
+        sc = spark.sparkContext
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+        return {x.stageId(): x.shuffleWriteBytes() for x in map(stages.apply, range(stages.size()))}
+
+    before, threshold = shuffled(), "spark.sql.autoBroadcastJoinThreshold"
+    usual = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")  # a small store would be broadcast, which large ones aren't
+    try:
+        queries.QUERIES["op10_media_columns"](spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    finally:
+        spark.conf.set(threshold, usual)
+    crossed = sum(n for stage, n in shuffled().items() if stage not in before)
+    stored = sum(len(r.body) for r in media.chunk_store(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect())
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 100
+    assert stored < crossed < 1.5 * stored
