@@ -57,3 +57,17 @@ def test_lines_are_made_where_documents_are_read(spark, name):
 def test_a_union_is_not_taken_for_dealt_out(spark, folder):
     G.pages(spark, folder)
     assert spark.conf.get("spark.sql.unionOutputPartitioning") == "false"
+
+
+def test_columns_are_made_of_spans_at_edges_only(spark, folder):
+    spans = layout.edge_spans(spark, folder)
+    assert spans.where("y0 BETWEEN 118 AND 724").count() == 0
+    same(spans, G.spans(spark, folder).where("line_id < 0"))
+
+
+def test_spans_bring_their_paragraphs_without_being_dealt_out(spark, folder):
+    from folioweave.jobs import structure
+
+    paras = layout.paragraphs(spark, folder).select("doc_id", "page", "line_id", "para")
+    spans = G.spans(spark, folder, False).join(paras, ["doc_id", "page", "line_id"])
+    same(structure.para_spans(spark, folder).drop("is_math"), spans)
